@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from evigraph.llm import quality_rules, secret_scan
+from evigraph.llm import mixing, quality_rules, secret_scan, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_secret_scans": secret_scan.op1_secret_scans,
+        "op6_document_fingerprints": winnowing.op6_document_fingerprints,
+        "op8_mixing": mixing.op8_mixing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op8_mixing": mixing.OP8_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
     }
