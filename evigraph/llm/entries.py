@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from evigraph.llm import mixing, quality_rules, secret_scan, winnowing
+from evigraph.llm import language_id, mixing, quality_model, quality_rules, secret_scan, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_secret_scans": secret_scan.op1_secret_scans,
+        "op3_language_id": language_id.op3_language_id,
+        "op4_quality_classifier": quality_model.op4_quality_classifier,
         "op6_document_fingerprints": winnowing.op6_document_fingerprints,
         "op8_mixing": mixing.op8_mixing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
