@@ -27,7 +27,7 @@ from evigraph.llm.common import documents, held_out
 BINS = 8192
 CENTROIDS = 3
 MAX_FIT_ROWS = 3000
-REJECT_QUANTILE, REJECT_FACTOR = 0.001, 0.5
+REJECT_QUANTILE, REJECT_FACTOR = 0.001, 0.35
 PIECE = 1 << 20
 UNDETERMINED = "und"
 _LETTERS: list[np.ndarray] = []
