@@ -1,7 +1,9 @@
 """Quality classifier on supervised subword embeddings.
 
 A document is the mean of learned vectors of its hashed words and character
-trigrams; a softmax layer gives the probability of label 1.  Vectors and layer
+trigrams, and of one vector for a word that repeats the word before it; a softmax
+layer gives the probability of label 1.  Texts of few features are drawn towards
+the share of label 1 among the training labels, which weighs ``PRIOR_FEATURES``.  Vectors and layer
 are trained by stochastic gradient descent in numpy on a bounded sample of at
 most about ``max_fit_rows`` labelled rows, chosen by a hash of the id.  Scoring
 folds each vector into one number per bucket, which gives the same result.
@@ -29,6 +31,8 @@ DIM = 8
 MAX_FIT_ROWS = 3000
 EPOCHS = 12
 RATE = 0.5
+PRIOR_FEATURES = 40
+AGAIN = 0  # bucket of a word equal to the one before
 THRESHOLD = 0.7
 PIECE = 1 << 20
 _SPACES = np.zeros(256, bool)
@@ -60,6 +64,8 @@ def features(text: str | None) -> np.ndarray:
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
         words = (sums[ends] - sums[starts]) * down[starts]
+        again = np.count_nonzero((words[1:] == words[:-1]) & (ends[1:] - starts[1:] == ends[:-1] - starts[:-1]))
+        found.append(np.full(again, AGAIN, np.int32))
         words = ((words ^ (words >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)
         found.append(words.astype(np.int32))
         c = b.astype(np.uint32)
@@ -92,10 +98,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FI
     return [(y[i], bins[i].values.to_numpy(), counts[i].values.to_numpy()) for i in sorted(range(len(ids)), key=lambda i: ids[i]) if len(bins[i])]
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float | None = None, seed: int = 7) -> dict:
-    """The model: ``table`` (number per bucket) and ``bias``; the score is sigmoid(mean(table[features]) + bias)."""
+def label_share(labels: DataFrame) -> float:
+    """Share of label 1 among the labels that may be learned from; 0.5 without any."""
+    got = labels.where(F.col("quality").isin(0, 1) & ~held_out()).agg(F.avg("quality").alias("p")).first()["p"]
+    return 0.5 if got is None else float(got)
+
+
+def train(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float = 0.5, seed: int = 7) -> dict:
+    """The model: ``table`` (number per bucket), ``bias`` and ``prior`` (log odds of label 1).
+
+    With z = mean(table[features]) + bias, the score is the sigmoid of z, which
+    n features weigh by n, and the prior, which weighs ``PRIOR_FEATURES``.
+    """
+    share = min(0.99, max(0.01, share))
+    prior = math.log(share / (1 - share))
     if len({r[0] for r in rows}) < 2:
-        return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0 if not rows else math.copysign(4.0, rows[0][0] - 0.5)}
+        return {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0 if not rows else math.copysign(4.0, rows[0][0] - 0.5), "prior": prior}
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
@@ -115,7 +133,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float | None =
             layer -= rate * np.outer(mean, p)
             bias -= rate * p
             vectors[bins] -= (rate * len(bins) ** 0.5) * share[:, None] * back[None, :]
-    return {"table": (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), "bias": float(bias[1] - bias[0])}
+    return {"table": (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), "bias": float(bias[1] - bias[0]), "prior": prior}
 
 
 def score(text: str | None, model: dict) -> float:
@@ -123,6 +141,7 @@ def score(text: str | None, model: dict) -> float:
     if not len(found):
         return 0.0
     z = float(model["table"][found].mean(dtype=np.float64)) + model["bias"]
+    z = (len(found) * z + PRIOR_FEATURES * model["prior"]) / (len(found) + PRIOR_FEATURES)
     return 1 / (1 + math.exp(-min(50.0, max(-50.0, z))))
 
 
@@ -142,6 +161,7 @@ def classify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
 
 def op4_quality_classifier(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model = train(training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(training_rows(docs, labels), label_share(labels))
     scored = classify(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
