@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evigraph.llm import language_id, mixing, packing, quality_model, quality_rules, secret_scan, winnowing
+from evigraph.llm import language_id, mixing, packing, quality_model, quality_rules, secret_scan, simhash, winnowing
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_quality_classifier": quality_model.op4_quality_classifier,
         "op5_packing": packing.op5_packing,
         "op6_document_fingerprints": winnowing.op6_document_fingerprints,
+        "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_mixing": mixing.op8_mixing,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
