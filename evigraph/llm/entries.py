@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evigraph.llm import language_id, mixing, packing, quality_model, quality_rules, secret_scan, simhash, winnowing
+from evigraph.llm import language_id, line_dedup, mixing, packing, quality_model, quality_rules, secret_scan, simhash, winnowing
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_document_fingerprints": winnowing.op6_document_fingerprints,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
         "op8_mixing": mixing.op8_mixing,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
@@ -21,5 +22,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op8_mixing": mixing.OP8_SQL,
+        "op9_line_dedup": line_dedup.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
     }
