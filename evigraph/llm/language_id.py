@@ -141,6 +141,11 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
     return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents (all their columns) that the classifier doesn't reject."""
+    return identify(docs, fit(training_profiles(docs)), docs.columns).where(~F.col("rejected")).select(*docs.columns)
+
+
 def op3_language_id(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = identify(docs, fit(training_profiles(docs)))

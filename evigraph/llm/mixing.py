@@ -161,6 +161,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = B
     return taken(rows, plan, block), plan
 
 
+def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_TOKENS) -> DataFrame:
+    """The documents (all their columns) as often as the mix takes them, to the nearest whole number; a document that it takes less than half of goes."""
+    rows, plan = mix(docs, weights, most, block)
+    times = rows.where("size > 0").select(F.col("rid").alias("__rid"), F.expr("CAST(floor(taken / size + 0.5) AS INT)").alias("__n")).where("__n > 0")
+    again = docs.withColumn("__rid", F.monotonically_increasing_id()).join(times, "__rid")
+    return again.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+
+
 def op8_mixing(spark, sf_dir) -> DataFrame:
     rows, plan = mix(documents(spark, sf_dir))
     facts = spark.createDataFrame([(p["i"], p["size"], float(p["target"])) for p in plan], "i int, source_size long, target double")

@@ -264,9 +264,13 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard:
 
         def emit():
             out, packer.out = packer.out, []
-            rows = [(ids_of[0], start, n, zlib.crc32(part := ids_of[1][start : start + n].astype("<u4").tobytes()), len(ids_of[1]), base + seq, at, *((np.frombuffer(part, "<u4").tolist(),) if with_ids else ())) for ids_of, start, n, seq, at in out]
-            types = [pa.int64()] * 7 + [pa.list_(pa.int64())] * with_ids
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            parts = [ids_of[1][start : start + n] for ids_of, start, n, _, _ in out]
+            rows = [(ids_of[0], start, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids_of[1]), base + seq, at) for (ids_of, start, n, seq, at), part in zip(out, parts, strict=True)]
+            arrays = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            if with_ids:
+                ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32())))
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         for doc_id, ids in _encoded(batches, encode):
             row = (doc_id, ids)
@@ -285,7 +289,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard:
         if packer.out:
             yield emit()
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<long>" * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, schema)
 
 

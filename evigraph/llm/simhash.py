@@ -204,17 +204,24 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, keep: list[str] | None = None) -> DataFrame:
-    """The columns in ``keep``, fp and component_id of every row."""
+    """The columns in ``keep``, fp, component_id and root (the component's least fingerprint) of every row."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.table(fingerprints(docs, keep), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes, radius), scratch)
     linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "first", "root")
     ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = linked.join(ids, "root").select(F.col("fp").alias("k"), "component_id")
-    named = nodes.join(ids, nodes.fp == ids.k, "left").select(F.col("fp").alias("k"), F.coalesce("component_id", "first").alias("component_id"))
+    ids = linked.join(ids, "root").select(F.col("fp").alias("k"), "component_id", "root")
+    named = nodes.join(ids, nodes.fp == ids.k, "left").select(F.col("fp").alias("k"), F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     return rows.join(named, rows.fp == named.k).drop("k")
 
 
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The documents (all their columns), one of each group: that of the least doc_id, the first among equal rows."""
+    numbered = docs.withColumn("__rid", F.monotonically_increasing_id())
+    kept = groups(numbered, radius, ["doc_id", "__rid"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__rid")).alias("x"))
+    return numbered.join(kept.select(F.col("x.__rid").alias("__rid")), "__rid", "left_semi").select(*docs.columns)
+
+
 def op7_simhash_near_dedup(spark, sf_dir) -> DataFrame:
     return groups(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
