@@ -213,6 +213,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, keep: list[str] | None = None)
     ids = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = linked.join(ids, "root").select(F.col("fp").alias("k"), "component_id", "root")
     named = nodes.join(ids, nodes.fp == ids.k, "left").select(F.col("fp").alias("k"), F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    named = scratch.table(named, "named")  # both sides are then read by a plain shuffle, whose hot partitions the skew join can split
     return rows.join(named, rows.fp == named.k).drop("k")
 
 
