@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evigraph.llm import language_id, line_dedup, mixing, packing, quality_model, quality_rules, secret_scan, simhash, winnowing
+from evigraph.llm import language_id, line_dedup, mixing, packing, quality_model, quality_rules, secret_scan, simhash, suffix_dedup, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_secret_scans": secret_scan.op1_secret_scans,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_language_id": language_id.op3_language_id,
         "op4_quality_classifier": quality_model.op4_quality_classifier,
         "op5_packing": packing.op5_packing,
