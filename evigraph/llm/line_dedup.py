@@ -4,8 +4,8 @@ Lines of at least ``MIN_CHARS`` code points link when their edit distance is at
 most ``EDITS``; shorter lines link only when equal.  Each distinct line is cut into
 ``EDITS + 1`` segments.  Two lines within the distance agree in a segment of the
 shorter one, at a place that the multi-match-aware windows of the longer one bound, so the join key
-is a hash of (length, segment number, segment).  A pair must also agree in a
-letter-parity signature, which an edit changes in at most two bits; this is part
+is a hash of (length, segment number, segment).  A pair must also have nearly the same
+counts of eight letters, whose sum of differences an edit changes by at most two; this is part
 of the join condition, so that pairs of a crowded segment don't leave the join.
 Candidates are verified by a banded bit-parallel edit distance.
 
@@ -37,39 +37,51 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, place, line): each distinct line at its first place (doc_id, pos, rid).  Copies meet before the shuffle."""
-    first = lines.groupBy("h1").agg(F.min(F.struct("doc_id", "pos", "rid", "h2", "line")).alias("f"))
-    return first.select("h1", F.col("f.h2").alias("h2"), F.struct("f.doc_id", "f.pos", "f.rid").alias("place"), F.col("f.line").alias("line"))
+    """(h1, h2, place, counts, line): each distinct line at its first place (doc_id, pos, rid).  Copies meet before the shuffle."""
+    first = lines.groupBy("h1").agg(F.min(F.struct("doc_id", "pos", "rid", "h2", F.expr(letter_counts()).alias("counts"), "line")).alias("f"))
+    return first.select("h1", F.col("f.h2").alias("h2"), F.struct("f.doc_id", "f.pos", "f.rid").alias("place"), F.col("f.counts").alias("counts"), F.col("f.line").alias("line"))
 
 
-def _segment(length: str, i: int, edits: int) -> tuple[str, str]:
-    """SQL of start (from 1) and length of segment i (from 1) of a line of the given length."""
+def meeting_places(edits: int) -> list[tuple[bool, int, int, int]]:
+    """(probes, d, i, shift): a line meets segment i of lines of d characters less, at its own place moved by shift; its own segments come first."""
+    own = [(False, 0, i, 0) for i in range(1, edits + 2)]
+    return own + [
+        (True, d, i, shift)
+        for d in range(edits + 1)
+        for i in range(1, edits + 2)
+        for shift in range(max(-(i - 1), d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1)
+    ]
+
+
+def keys(sized: DataFrame, probes: bool, edits: int, least: int) -> DataFrame:
+    """(h, counts, key) of a line's own segments, or of the places where it meets those of lines up to its length.
+
+    The places are a constant array, so that one small expression makes the key of each.
+    """
+    at = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for side, d, i, shift in meeting_places(edits) if side == probes])
     k = edits + 1
-    base, long_from = f"({length} DIV {k})", f"({k} - {length} % {k})"
-    return f"({i - 1} * {base} + 1 + greatest(0, {i - 1} - {long_from}))", f"({base} + CASE WHEN {i} > {long_from} THEN 1 ELSE 0 END)"
+    each = sized.select("h1", "counts", "line", "n", F.explode(at).alias("m")).select("h1", "counts", "line", "n", (F.col("n") - F.col("m.d")).alias("length"), F.col("m.i").alias("i"), F.col("m.shift").alias("shift"))
+    each = each.where(f"length >= {least}").withColumn("longer", F.expr(f"{k} - length % {k}"))  # segments from this one on have one character more
+    each = each.withColumn("start", F.expr(f"(i - 1) * (length DIV {k}) + 1 + greatest(0, i - 1 - longer) + shift")).withColumn("size", F.expr(f"length DIV {k} + CASE WHEN i > longer THEN 1 ELSE 0 END"))
+    return each.where("start >= 1 AND start + size - 1 <= n").select(F.col("h1").alias("h"), "counts", F.expr("xxhash64(length, i, substr(line, start, size))").alias("key"))
 
 
-def index_keys(edits: int) -> str:
-    """SQL array of the keys of a line's own segments (columns line, n)."""
-    return "array(" + ", ".join(f"xxhash64(n, {i}, substr(line, {a}, {s}))" for i in range(1, edits + 2) for a, s in [_segment("n", i, edits)]) + ")"
+#: The letters counted in a line's signature, five bits each.
+LETTERS = "etaonirs"
 
 
-def probe_keys(edits: int, least: int) -> str:
-    """SQL array of the keys under which a line meets the segments of lines of n, n - 1, .. n - edits characters (null: no such place)."""
-    keys = []
-    for d in range(edits + 1):
-        for i in range(1, edits + 2):
-            a, s = _segment(f"(n - {d})", i, edits)
-            low, high = max(-(i - 1), d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i))
-            for shift in range(low, high + 1):
-                at = f"({a} + {shift})"
-                fits = f"n - {d} >= {least} AND {at} >= 1 AND {at} + {s} - 1 <= n"
-                keys.append(f"CASE WHEN {fits} THEN xxhash64(n - {d}, {i}, substr(line, {at}, {s})) END")
-    return "array(" + ", ".join(keys) + ")"
+def letter_counts(line: str = "line") -> str:
+    """SQL of the counts, modulo 32, of eight letters; one edit changes their sum of differences by at most two."""
+    return " | ".join(f"shiftleft(cast((octet_length({line}) - octet_length(replace({line}, '{c}', ''))) & 31 AS BIGINT), {5 * k})" for k, c in enumerate(LETTERS))
 
 
-#: Parity of the count of each letter, by the low five bits of the code: one edit changes at most two bits.
-SIGNATURE = "aggregate(split(line, ''), 0, (s, c) -> s ^ shiftleft(1, ascii(c) & 31))"
+def count_gap(a: str, b: str) -> str:
+    """SQL of the sum of differences of two signatures, each on a circle of 32."""
+    terms = []
+    for k in range(len(LETTERS)):
+        gap = f"abs((shiftright({a}, {5 * k}) & 31) - (shiftright({b}, {5 * k}) & 31))"
+        terms.append(f"least({gap}, 32 - {gap})")
+    return " + ".join(terms)
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -92,17 +104,19 @@ def banded_distance(text: str, pattern: str, edits: int) -> str:
 
 
 def links(distinct: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """(a, b, place_a, place_b): all pairs of distinct lines within the edit distance, by h1; a is the longer line."""
-    sized = distinct.select("h1", "h2", "place", "line", F.length("line").alias("n")).where(F.col("n") >= least)
-    signed = sized.withColumn("sig", F.expr(SIGNATURE))
-    index = signed.select(F.col("h1").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"), F.explode(F.expr(index_keys(edits))).alias("key"))
-    probe = signed.select(F.col("h1").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a"), F.explode(F.array_distinct(F.array_compact(F.expr(probe_keys(edits, least))))).alias("key"))
-    near = (F.bit_count(F.col("sig_a").bitwiseXOR(F.col("sig_b"))) <= 2 * edits) & ((F.col("n_a") > F.col("n_b")) | (F.col("a") > F.col("b")))
-    pairs = probe.join(index, (probe.key == index.key) & near).select("a", "b").distinct()
-    side = lambda name: distinct.select(F.col("h1").alias(name), F.col("place").alias(f"place_{name}"), F.col("line").alias(f"line_{name}"))
-    texts = pairs.join(side("a"), "a").join(side("b"), "b")
-    split = texts.select("a", "b", "place_a", "place_b", F.split("line_a", "").alias("t"), F.split("line_b", "").alias("p"))
-    return split.where(F.size("t") - F.size("p") <= edits).where(F.expr(f"{banded_distance('t', 'p', edits)} <= {edits}")).select("a", "b", "place_a", "place_b")
+    """(a, b, place_a, place_b): all pairs of distinct lines within the edit distance, by h1; each pair once."""
+    sized = distinct.select("h1", "counts", "line", F.length("line").alias("n")).where(F.col("n") >= least)
+    index, probe = (keys(sized, probes, edits, least).select(F.col("h").alias(h), F.col("counts").alias(f"counts_{h}"), F.col("key").alias(f"key_{h}")) for probes, h in ((False, "b"), (True, "a")))
+    near = (F.col("a") != F.col("b")) & F.expr(f"{count_gap('counts_a', 'counts_b')} <= {2 * edits}")
+    pairs = probe.join(index, (F.col("key_a") == F.col("key_b")) & near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # Both lines of a pair come by one join, and the pair is put together again.
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("h")).join(distinct.select(F.col("h1").alias("h"), "place", "line"), "h")
+    end = lambda name: F.max(F.when(F.col("h") == F.col(name), F.struct("place", "line"))).alias(f"x_{name}")
+    texts = ends.groupBy("a", "b").agg(end("a"), end("b")).select("a", "b", F.col("x_a.place").alias("place_a"), F.col("x_b.place").alias("place_b"), F.col("x_a.line").alias("line_a"), F.col("x_b.line").alias("line_b"))
+    longer = "length(line_a) >= length(line_b)"
+    split = lambda first, second: f"split(CASE WHEN {longer} THEN {first} ELSE {second} END, '')"
+    distance = _let("t", split("line_a", "line_b"), _let("p", split("line_b", "line_a"), banded_distance("t", "p", edits)))  # bound, so that no step splits again
+    return texts.where(F.expr(f"{distance} <= {edits}")).select("a", "b", "place_a", "place_b")
 
 
 def judged(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
