@@ -1,0 +1 @@
+"""Queries over the given tables; importing a plan module registers its queries."""
