@@ -1,0 +1,245 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evigraph.llm import language_id, line_dedup, mixing, packing, quality_model, quality_rules, secret_scan, simhash, suffix_dedup, winnowing
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, h string, key string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def saved(spark, tmp_path, texts, ids=None, sources=None, langs=None):
+    """A table with extra columns whose names clash with internal ones, read from files as in production."""
+    ids = ids or list(range(len(texts)))
+    rows = [(i, t, (langs or ["en"] * len(texts))[k], (sources or ["a"] * len(texts))[k], len(t or ""), "r", "h", "k") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(rows, SCHEMA).repartition(2).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    say = lambda k: " ".join(rng.choices(WORDS, k=k))
+    texts = [say(rng.randint(0, 120)) + ("\n" + say(20)) * rng.randint(0, 3) for _ in range(n)]
+    return [*texts, None, "", texts[0], texts[0], texts[1] + " x", "é" * 50, " \t\n ", " ".join(["word"] * 3000)]
+
+
+OPERATORS = {
+    "secrets": lambda d: secret_scan.findings_by_path(d, secret_scan.scan(d), ["doc_id"]),
+    "suffix": lambda d: suffix_dedup.removed(d, 40, 15),
+    "language": lambda d: language_id.identify(d, language_id.fit(language_id.training_profiles(d))),
+    "quality": lambda d: quality_model.classify(d, quality_model.train([])),
+    "packing": packing.pack,
+    "winnowing": winnowing.compare_with_next,
+    "simhash": simhash.groups,
+    "mixing": lambda d: mixing.mix(d)[0],
+    "lines": line_dedup.judged,
+    "rules": quality_rules.evaluate,
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_empty_table(spark, tmp_path, name):
+    assert OPERATORS[name](saved(spark, tmp_path, ["x"]).where("doc_id < 0")).count() == 0
+
+
+def test_secrets_match_the_contract_and_the_ledger_is_incremental(spark, tmp_path):
+    texts = ['é password = "abc123x" x', "token:abc secret:token:abcdef12", "AKIA" + "Z" * 16, "AKIAZZ", "f" * 24 + " " + "0" * 23, None, "", "x" * 5000 + " api_key=ABCDEF99", "api-key=ABCDEF99"]
+    docs = saved(spark, tmp_path, [*texts, texts[0]])
+    rows = {r["doc_id"]: r["findings"] for r in secret_scan.findings_by_path(docs, secret_scan.scan(docs), ["doc_id"]).collect()}
+    assert len(rows) == len(texts) + 1 and rows[0] == rows[len(texts)]
+    for i, text in enumerate(texts):
+        base = [f for f in rows[i] if f["kind"] in secret_scan.BASE]
+        digest = hashlib.sha256(",".join(f"{f['kind']}:{f['start']}:{f['end']}" for f in base).encode()).hexdigest()
+        assert (*(sum(f["kind"] == k for f in base) for k in secret_scan.BASE), digest) == secret_scan.base_by_hand(text)
+    ledger = secret_scan.ledger_rows(secret_scan.scan(docs))
+    assert secret_scan.scan(docs, ledger).count() == 0
+    newer = [(k, v + (k == "hex"), *rest) for k, v, *rest in secret_scan.RULES]
+    again = secret_scan.scan(docs, ledger, newer).collect()
+    assert len(again) == len(set(t or "" for t in texts)) and {tuple(r["scanned"]) for r in again} == {("hex@2",)}
+
+
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
+def test_suffix_dedup_equals_brute_force(spark, tmp_path, hot):
+    texts = [*corpus(3, 40), "a" * 300, "ab" * 100, "x" * 39, "y" * 40]
+    got = sorted(map(tuple, suffix_dedup.removed(saved(spark, tmp_path, texts), 40, 15, hot).collect()))
+    assert got == [(i, *x) for i, x in enumerate(suffix_dedup.by_hand(texts, 40))]
+
+
+def test_suffix_anchors_do_not_depend_on_pieces():
+    data = " ".join(random.Random(5).choices(WORDS, k=2000)).encode()
+    for a, b in zip(suffix_dedup.anchors(data), suffix_dedup.anchors(data, piece=700), strict=True):
+        assert np.array_equal(a, b)
+
+
+def test_language_on_held_out_rows(spark, tmp_path):
+    rng = random.Random(4)
+    alphabets = {"aa": "abcdefg", "bb": "fghijkl", "cc": "klmnopq"}
+    langs = [rng.choice(list(alphabets)) for _ in range(240)]
+    texts = [" ".join("".join(rng.choices(alphabets[g], k=rng.randint(2, 7))) for _ in range(30)) for g in langs]
+    docs = saved(spark, tmp_path, [*texts, None, "123 ..."], langs=[*langs, "aa", "bb"])
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.fit(language_id.training_profiles(docs))).collect()}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert held and sum(got[i]["lang_pred"] == langs[i] for i in held) >= 0.95 * len(held)
+    assert got[240]["lang_pred"] == got[241]["lang_pred"] == "und" and got[240]["rejected"]
+    long = "".join(rng.choices("abc déÉ1.", k=5000))
+    size, language_id.PIECE = language_id.PIECE, 777
+    pieces = language_id.profile(long)
+    language_id.PIECE = size
+    assert all(np.array_equal(a, b) for a, b in zip(pieces, language_id.profile(long), strict=True))
+
+
+def test_quality_on_held_out_rows(spark, tmp_path):
+    rng = random.Random(6)
+    y = [rng.randint(0, 1) for _ in range(240)]
+    texts = [" ".join(w + ("" if good else "***") for w in rng.choices(WORDS, k=25)) for good in y]
+    docs = saved(spark, tmp_path, [*texts, "", None])
+    labels = spark.createDataFrame([(i, v) for i, v in enumerate(y)] + [(9999, None)], "doc_id long, quality int")
+    model = quality_model.train(quality_model.training_rows(docs, labels), quality_model.label_share(labels))
+    got = {r["doc_id"]: r["score"] for r in quality_model.classify(docs, model).collect()}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum((got[i] >= 0.5) == bool(y[i]) for i in held) >= 0.95 * len(held)
+    assert got[240] == got[241] == 0.0
+
+
+def test_packing_round_trip(spark, tmp_path):
+    texts = [*corpus(7, 80), "漢字 mixed <|endoftext|> it's fine''s", "don't  stop\n\n now "]
+    docs = saved(spark, tmp_path, texts)
+    encoder, rows = packing.Encoder(packing.vocabulary()), packing.pack(docs, window=64, shard=16, with_ids=True).collect()
+    whole = {i: encoder.whole.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    for i, ids in whole.items():
+        mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert [x for r in mine for x in r["ids"]] == ids and all(r["doc_tokens"] == len(ids) and r["length"] == len(r["ids"]) for r in mine)
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in mine)
+    by = {}
+    for r in rows:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and parts[0][0] == 0 and sum(parts[-1]) <= 64
+    assert sum(sum(max(p)) < 64 for p in by.values()) <= docs.rdd.getNumPartitions()
+
+
+def test_fast_encoding_equals_the_tokenizer():
+    rng = random.Random(8)
+    encoder = packing.Encoder(packing.vocabulary())
+    texts = ["".join(rng.choices([chr(i) for i in range(1, 0x250)] if k % 2 else "'stmdrevel 12\n\t.é ", k=rng.randint(0, 40))) for k in range(1500)]
+    for text, ids in zip(texts, encoder.encode_batch(texts), strict=True):
+        assert ids.tolist() == encoder.whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_winnowing_by_hand_and_its_guarantee(spark, tmp_path):
+    text = "".join(random.Random(9).choices("abcd é", k=700))
+    hashes = winnowing.gram_hashes(np.frombuffer(text.encode("utf-32-le"), np.uint32), 12) >> np.uint64(21)
+    want = sorted({max(i + j for j in range(32) if hashes[i + j] == hashes[i : i + 32].min()) for i in range(len(hashes) - 31)})
+    assert winnowing.winnow(text)[1].tolist() == want
+    part = text[100 : 100 + winnowing.W + winnowing.K - 1]
+    assert set(winnowing.winnow("zz" * 40 + part + "yy" * 40)[0]) & set(winnowing.winnow(text)[0])
+    texts = corpus(10, 30)
+    got = {r["doc_id"]: r for r in winnowing.compare_with_next(saved(spark, tmp_path, texts)).collect()}
+    for i, t in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)] or ""
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(winnowing.edited(t, after).encode()).hexdigest()
+        assert got[i]["near_next"] == winnowing.likeness(*(np.unique(winnowing.winnow(x)[0]) for x in (t, after)))
+
+
+def test_simhash_components_equal_brute_force(spark, tmp_path):
+    texts = corpus(11, 80)
+    rows = simhash.groups(saved(spark, tmp_path, texts)).collect()
+    fps = {r["doc_id"]: r["fp"] & (2**64 - 1) for r in rows}
+    root = {i: i for i in fps}
+    for i in sorted(fps):
+        for j in fps:
+            if bin(fps[i] ^ fps[j]).count("1") <= 4:
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    assert all(r["component_id"] == root[r["doc_id"]] for r in rows) and len(rows) == len(texts)
+    kept = simhash.one_of_each(saved(spark, tmp_path, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(root.values()))
+
+
+def test_bk_forest_finds_every_link():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**63, 5, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base, *[b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (200, 3), dtype=np.uint64), axis=1) for b in base]]))
+    shard = np.sort(rng.integers(0, 3, len(fps)))
+    shard = np.unique(shard, return_inverse=True)[1]
+    found = {(int(a), int(b)) for x, y in simhash.Forest(shard, fps).search(np.arange(len(fps)), 4) for a, b in zip(x, y, strict=True)}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    assert found == {(i, j) for i in range(len(fps)) for j in range(len(fps)) if i != j and shard[i] == shard[j] and near[i, j]}
+
+
+def test_mixing_meets_its_targets(spark, tmp_path):
+    rng = random.Random(13)
+    sources = [rng.choice(["a", "a", "a", "b", "c", None]) for _ in range(120)] + ["tiny"]
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(0, 200))) for _ in range(120)] + ["one"]
+    rows, plan = mixing.mix(saved(spark, tmp_path, texts, sources=sources), block=16)
+    rows = rows.collect()
+    total = sum(len(t.split()) for t in texts)
+    assert sum(p["target"] for p in plan) == pytest.approx(total)
+    for p in plan:
+        mine = [r for r in rows if r["source"] == p["source"]]
+        assert sum(r["taken"] for r in mine) == p["take"] == int(p["target"]) and p["target"] <= 3 * p["size"]
+        assert all(r["taken"] <= 3 * r["size"] for r in mine)
+    assert mixing.water_fill([0, 0], [5, 2]) == [0.0, 0.0]
+
+
+def test_line_links_equal_brute_force(spark, tmp_path):
+    rng = random.Random(14)
+    base = [" ".join(rng.choices(WORDS, k=10))[:60] for _ in range(25)]
+
+    def edit(s):
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(s))
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + "q" + s[i:], s[:i] + "é" + s[i + 1 :], s[:i] + " " + s[i:]])
+        return s
+
+    texts = ["\n".join(edit(rng.choice(base)) for _ in range(4)) + "\nshort\n" for _ in range(40)] + [None, ""]
+    rows = line_dedup.judged(saved(spark, tmp_path, texts)).groupBy("rid").agg(F.sum("n_links").alias("n"), F.count_if("dropped").alias("d")).collect()
+    lines = [(i, p, x) for i, t in enumerate(texts) for p, x in enumerate((t or "").split("\n")) if x.strip()]
+    first = {}
+    for i, p, x in lines:
+        first.setdefault(x, (i, p))
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            d, was = [i], d
+            for j, y in enumerate(b, 1):
+                d.append(min(was[j] + 1, d[-1] + 1, was[j - 1] + (x != y)))
+        return d[-1]
+
+    far = {x: [y for y in first if y != x and min(len(x), len(y)) >= line_dedup.MIN_CHARS and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2] for x in first}
+    dropped = sum(first[x] != (i, p) or any(first[y] < first[x] for y in far[x]) for i, p, x in lines)
+    assert sum(r["n"] for r in rows) == sum(len(far[x]) for _, _, x in lines) > 0
+    assert sum(r["d"] for r in rows) == dropped
+    left = line_dedup.deduped(saved(spark, tmp_path, texts)).collect()
+    assert sum(1 for r in left for x in (r["text"] or "").split("\n") if x.strip()) == len(lines) - dropped
+
+
+def test_rules_ledger_and_ablation(spark, tmp_path):
+    texts = [*corpus(15, 20), "one two three four five six seven eight nine ten " * 2, "a b\nA b\na b\n#%$", "### " * 30]
+    got = {r["doc_id"]: r for r in quality_rules.evaluate(saved(spark, tmp_path, texts)).collect()}
+    for i, text in enumerate(texts):
+        w = (text or "").split()
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        twice = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)} if len(w) < 400 else set(range(len(w)))
+        ls = [x for x in (text or "").split("\n") if x.strip()]
+        assert (got[i]["n_words"], got[i]["n_repeat_words"], got[i]["n_dup_lines"]) == (len(w), len(twice), len(ls) - len(set(ls)))
+    ledger = spark.createDataFrame([(1, 0), (2, 1), (3, 3), (4, 4)], "doc_id long, fail_bits long")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.apply_policy(ledger, "base").collect()}
+    assert kept == {1: True, 2: False, 3: False, 4: True}
+    out = {r["rule"]: (r["failed"], r["failed_alone"], r["kept_without"]) for r in quality_rules.ablation(ledger, "base").collect()}
+    assert out == {"few_words": (2, 1, 3), "repeated_windows": (1, 0, 2)}
+
+
+def test_repeated_rows_and_null_ids(spark, tmp_path):
+    docs = saved(spark, tmp_path, ["same text here now"] * 3 + ["other words stand here"], ids=[1, 1, None, 2])
+    assert simhash.groups(docs).count() == 4 and simhash.one_of_each(docs).count() == 2
+    assert winnowing.compare_with_next(docs).count() == 4 and suffix_dedup.removed(docs).count() == 4
+    assert mixing.mix(docs)[0].count() == 4 and quality_rules.evaluate(docs).count() == 4
+    assert line_dedup.deduped(docs).count() == 2
