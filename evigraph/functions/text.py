@@ -30,9 +30,13 @@ def words(c) -> Column:
 
 
 def trigrams(c) -> Column:
-    """Terms of the trigram channel; empty below three characters."""
+    """Terms of the trigram channel; empty below three characters.
+
+    The characters are split once and bound, so the work is linear in the text.
+    """
+    of = lambda ch: F.transform(F.sequence(F.lit(0), F.size(ch) - 3), lambda i: F.concat(F.get(ch, i), F.get(ch, i + 1), F.get(ch, i + 2)))
     low = F.lower(c)
-    return F.when(F.length(low) >= 3, F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: low.substr(i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(low) >= 3, F.element_at(F.transform(F.array(F.split(low, "")), of), 1)).otherwise(F.array().cast("array<string>"))
 
 
 def normalize_name(c) -> Column:

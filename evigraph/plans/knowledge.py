@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from evigraph.functions import text as T
 from evigraph.operators import checks, curate, evals, evidence, lineage, runs
 from evigraph.plans.registry import Tables, query
+from evigraph.sources import workspace
+from evigraph.streaming import watch
 
 _NORM = "lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
 _LOC = "l AS (SELECT item_id, b.text AS quote, doc_id, strpos(d.text, b.text) - 1 AS char_start, d.text AS text, source FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text) WHERE length(b.text) BETWEEN 1 AND 1000)"
@@ -353,3 +355,14 @@ def _(t):
     odd = F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]", ""))
     x = t.labels.join(t.documents.select("doc_id", "text"), "doc_id").select((F.col("quality") == 0).alias("bad"), (odd * 10 > F.length("text")).alias("flagged"))
     return evals.classification(x, "flagged", "bad")
+
+
+@query("chunk_structural")
+def _(t):
+    return workspace.structural_chunks(t.documents.select(F.col("doc_id").alias("owner_id"), "text"))
+
+
+@query("stream_windowed_counts", "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(t):
+    counts = watch.windowed_counts(t.events)
+    return counts.select("event_type", F.col("window.start").alias("start"), "n", F.round("total", 4).alias("total"))
