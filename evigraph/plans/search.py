@@ -43,15 +43,15 @@ def channels(t, where=None, names=("word", "trigram", "vector")):
 
 
 _WORDS = r"regexp_extract_all(lower(strip_accents({x})), '[\p{{L}}\p{{N}}]+')"
-_TRI = "list_transform(range(1, length({x}) - 1), lambda i: substr(lower({x}), CAST(i AS INTEGER), 3))"
+_TRI = "list_transform([string_split(lower({x}), '')], lambda ch: list_transform(range(1, len(ch) - 1), lambda i: ch[i] || ch[i + 1] || ch[i + 2]))[1]"
 
 
 def _bm25(p: str, tokens: str, where: str = "true") -> str:
     return f"""
-{p}t AS (SELECT unit_id, {where} AS hit, {tokens.format(x='body')} AS ts FROM u),
+{p}t AS MATERIALIZED (SELECT unit_id, {where} AS hit, {tokens.format(x='body')} AS ts FROM u),
 {p}s AS (SELECT avg(len(ts)) AS mean, count(*) AS units FROM {p}t),
-{p}q AS (SELECT DISTINCT qid, unnest({tokens.format(x='query')}) AS term FROM q),
-{p}f AS (SELECT unit_id, hit, n, term, count(*) AS f FROM (SELECT unit_id, hit, len(ts) AS n, unnest(ts) AS term FROM {p}t) WHERE term IN (SELECT term FROM {p}q) GROUP BY ALL),
+{p}q AS MATERIALIZED (SELECT DISTINCT qid, unnest({tokens.format(x='query')}) AS term FROM q),
+{p}f AS MATERIALIZED (SELECT unit_id, hit, n, term, count(*) AS f FROM (SELECT unit_id, hit, len(ts) AS n, unnest(ts) AS term FROM {p}t) WHERE term IN (SELECT term FROM {p}q) GROUP BY ALL),
 {p}d AS (SELECT term, count(*) AS d FROM {p}f GROUP BY term),
 {p}x AS (SELECT qid, unit_id, round(sum(greatest(ln((units - d + 0.5) / (d + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
   FROM {p}f JOIN {p}d USING (term) CROSS JOIN {p}s JOIN {p}q USING (term) WHERE hit GROUP BY qid, unit_id),
@@ -213,7 +213,7 @@ def _(t):
     return boosted(t).select("qid", "unit_id", "normalized", "boost", "final")
 
 
-_TIER = _FINAL + """, w AS (SELECT qid, 'doc:' || (qid + 1) AS unit_id FROM q), a AS (SELECT w.* FROM w JOIN u USING (unit_id) WHERE u.lang <> 'fr'),
+_TIER = _FINAL + """, wanted AS (SELECT qid, 'doc:' || (qid + 1) AS unit_id FROM q), a AS (SELECT wanted.* FROM wanted JOIN u USING (unit_id) WHERE u.lang <> 'fr'),
 z AS (SELECT coalesce(f.qid, a.qid) AS qid, coalesce(f.unit_id, a.unit_id) AS unit_id, CASE WHEN a.qid IS NULL THEN 0 ELSE 1 END AS tier, coalesce(normalized, 0) AS normalized, coalesce(final, 0) AS final FROM f FULL JOIN a ON a.qid = f.qid AND a.unit_id = f.unit_id)"""
 
 
