@@ -5,7 +5,7 @@ most ``EDITS``; shorter lines link only when equal.  Each distinct line is cut i
 ``EDITS + 1`` segments.  Two lines within the distance agree in a segment of the
 shorter one, at a place that the multi-match-aware windows of the longer one bound, so the join key
 is a hash of (length, segment number, segment).  A pair must also have nearly the same
-counts of eight letters, whose sum of differences an edit changes by at most two; this is part
+counts of ten letters, whose sum of differences an edit changes by at most two; this is part
 of the join condition, so that pairs of a crowded segment don't leave the join.
 Candidates are verified by a banded bit-parallel edit distance.
 
@@ -37,9 +37,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, place, counts, line): each distinct line at its first place (doc_id, pos, rid).  Copies meet before the shuffle."""
-    first = lines.groupBy("h1").agg(F.min(F.struct("doc_id", "pos", "rid", "h2", F.expr(letter_counts()).alias("counts"), "line")).alias("f"))
-    return first.select("h1", F.col("f.h2").alias("h2"), F.struct("f.doc_id", "f.pos", "f.rid").alias("place"), F.col("f.counts").alias("counts"), F.col("f.line").alias("line"))
+    """(h1, h2, place, sig, line): each distinct line at its first place (doc_id, pos, rid).  Copies meet before the shuffle."""
+    first = lines.groupBy("h1").agg(F.min(F.struct("doc_id", "pos", "rid", "h2", F.expr(SIGNATURE).alias("sig"), "line")).alias("f"))
+    return first.select("h1", F.col("f.h2").alias("h2"), F.struct("f.doc_id", "f.pos", "f.rid").alias("place"), F.col("f.sig").alias("sig"), F.col("f.line").alias("line"))
 
 
 def meeting_places(edits: int) -> list[tuple[bool, int, int, int]]:
@@ -50,38 +50,32 @@ def meeting_places(edits: int) -> list[tuple[bool, int, int, int]]:
         for d in range(edits + 1)
         for i in range(1, edits + 2)
         for shift in range(max(-(i - 1), d - (edits + 1 - i)), min(i - 1, d + (edits + 1 - i)) + 1)
+        if d or shift  # a line's own segments serve as these probes
     ]
 
 
 def keys(sized: DataFrame, probes: bool, edits: int, least: int) -> DataFrame:
-    """(h, counts, key) of a line's own segments, or of the places where it meets those of lines up to its length.
+    """(h, sig, key) of a line's own segments, or of the places where it meets those of lines up to its length.
 
     The places are a constant array, so that one small expression makes the key of each.
     """
     at = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for side, d, i, shift in meeting_places(edits) if side == probes])
     k = edits + 1
-    each = sized.select("h1", "counts", "line", "n", F.explode(at).alias("m")).select("h1", "counts", "line", "n", (F.col("n") - F.col("m.d")).alias("length"), F.col("m.i").alias("i"), F.col("m.shift").alias("shift"))
+    each = sized.select("h1", "sig", "line", "n", F.explode(at).alias("m")).select("h1", "sig", "line", "n", (F.col("n") - F.col("m.d")).alias("length"), F.col("m.i").alias("i"), F.col("m.shift").alias("shift"))
     each = each.where(f"length >= {least}").withColumn("longer", F.expr(f"{k} - length % {k}"))  # segments from this one on have one character more
     each = each.withColumn("start", F.expr(f"(i - 1) * (length DIV {k}) + 1 + greatest(0, i - 1 - longer) + shift")).withColumn("size", F.expr(f"length DIV {k} + CASE WHEN i > longer THEN 1 ELSE 0 END"))
-    return each.where("start >= 1 AND start + size - 1 <= n").select(F.col("h1").alias("h"), "counts", F.expr("xxhash64(length, i, substr(line, start, size))").alias("key"))
+    return each.where("start >= 1 AND start + size - 1 <= n").select(F.col("h1").alias("h"), "sig", F.expr("xxhash64(length, i, substr(line, start, size))").alias("key"))
 
 
 #: The letters counted in a line's signature, five bits each.
-LETTERS = "etaonirs"
-
-
-def letter_counts(line: str = "line") -> str:
-    """SQL of the counts, modulo 32, of eight letters; one edit changes their sum of differences by at most two."""
-    return " | ".join(f"shiftleft(cast((octet_length({line}) - octet_length(replace({line}, '{c}', ''))) & 31 AS BIGINT), {5 * k})" for k, c in enumerate(LETTERS))
+LETTERS = "etaonirshd"
+SIGNATURE = " | ".join(f"shiftleft(cast((octet_length(line) - octet_length(replace(line, '{c}', ''))) & 31 AS BIGINT), {5 * k})" for k, c in enumerate(LETTERS))
 
 
 def count_gap(a: str, b: str) -> str:
-    """SQL of the sum of differences of two signatures, each on a circle of 32."""
-    terms = []
-    for k in range(len(LETTERS)):
-        gap = f"abs((shiftright({a}, {5 * k}) & 31) - (shiftright({b}, {5 * k}) & 31))"
-        terms.append(f"least({gap}, 32 - {gap})")
-    return " + ".join(terms)
+    """SQL of the sum of differences of two signatures, each on a circle of 32; one edit changes it by at most two."""
+    gaps = [f"abs((shiftright({a}, {5 * k}) & 31) - (shiftright({b}, {5 * k}) & 31))" for k in range(len(LETTERS))]
+    return " + ".join(f"least({gap}, 32 - {gap})" for gap in gaps)
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -105,10 +99,12 @@ def banded_distance(text: str, pattern: str, edits: int) -> str:
 
 def links(distinct: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """(a, b, place_a, place_b): all pairs of distinct lines within the edit distance, by h1; each pair once."""
-    sized = distinct.select("h1", "counts", "line", F.length("line").alias("n")).where(F.col("n") >= least)
-    index, probe = (keys(sized, probes, edits, least).select(F.col("h").alias(h), F.col("counts").alias(f"counts_{h}"), F.col("key").alias(f"key_{h}")) for probes, h in ((False, "b"), (True, "a")))
-    near = (F.col("a") != F.col("b")) & F.expr(f"{count_gap('counts_a', 'counts_b')} <= {2 * edits}")
-    pairs = probe.join(index, (F.col("key_a") == F.col("key_b")) & near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    sized = distinct.select("h1", "sig", "line", F.length("line").alias("n")).where(F.col("n") >= least)
+    side = lambda probes, h: keys(sized, probes, edits, least).select(F.col("h").alias(h), F.col("sig").alias(f"sig_{h}"), F.col("key").alias(f"key_{h}"))
+    near = (F.col("key_a") == F.col("key_b")) & F.expr(f"{count_gap('sig_a', 'sig_b')} <= {2 * edits}")
+    same = side(False, "a").join(side(False, "b"), near & (F.col("a") > F.col("b"))).select("a", "b")
+    moved = side(True, "a").join(side(False, "b"), near & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = same.unionByName(moved).distinct()
     # Both lines of a pair come by one join, and the pair is put together again.
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("h")).join(distinct.select(F.col("h1").alias("h"), "place", "line"), "h")
     end = lambda name: F.max(F.when(F.col("h") == F.col(name), F.struct("place", "line"))).alias(f"x_{name}")
@@ -120,16 +116,16 @@ def links(distinct: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> Da
 
 
 def judged(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """(rid, doc_id, pos, n_links, dropped) of every line with a word."""
+    """(rid, pos, n_links, dropped) of every line with a word."""
     lines = lines_of(docs)
     distinct = distinct_lines(lines)
     found = links(distinct, edits, least)
     both = found.select(F.col("a").alias("h1"), F.col("place_b").alias("other")).unionByName(found.select(F.col("b").alias("h1"), F.col("place_a").alias("other")))
     linked = both.groupBy("h1").agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
     first = distinct.join(linked, "h1", "left").select(F.col("h1").alias("k"), F.col("h2").alias("k2"), "place", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("other") < F.col("place"), F.lit(False)).alias("late"))
-    placed = lines.select("rid", "doc_id", "pos", "h1", "h2").join(first, F.col("h1") == F.col("k"))
-    again = ~F.struct("doc_id", "pos", "rid").eqNullSafe(F.col("place"))
-    return placed.select("rid", "doc_id", "pos", F.when(F.col("h2") == F.col("k2"), F.col("n_links")).otherwise(0).alias("n_links"), ((F.col("h2") == F.col("k2")) & (again | F.col("late"))).alias("dropped"))
+    placed = lines.select("rid", "pos", "h1", "h2").join(first, F.col("h1") == F.col("k"))
+    again = (F.col("pos") != F.col("place.pos")) | (F.col("rid") != F.col("place.rid"))
+    return placed.select("rid", "pos", F.when(F.col("h2") == F.col("k2"), F.col("n_links")).otherwise(0).alias("n_links"), ((F.col("h2") == F.col("k2")) & (again | F.col("late"))).alias("dropped"))
 
 
 def deduped(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
