@@ -105,10 +105,8 @@ def links(distinct: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> Da
     same = side(False, "a").join(side(False, "b"), near & (F.col("a") > F.col("b"))).select("a", "b")
     moved = side(True, "a").join(side(False, "b"), near & (F.col("a") != F.col("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = same.unionByName(moved).distinct()
-    # Both lines of a pair come by one join, and the pair is put together again.
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("h")).join(distinct.select(F.col("h1").alias("h"), "place", "line"), "h")
-    end = lambda name: F.max(F.when(F.col("h") == F.col(name), F.struct("place", "line"))).alias(f"x_{name}")
-    texts = ends.groupBy("a", "b").agg(end("a"), end("b")).select("a", "b", F.col("x_a.place").alias("place_a"), F.col("x_b.place").alias("place_b"), F.col("x_a.line").alias("line_a"), F.col("x_b.line").alias("line_b"))
+    side = lambda name: distinct.select(F.col("h1").alias(name), F.col("place").alias(f"place_{name}"), F.col("line").alias(f"line_{name}"))
+    texts = pairs.join(side("a"), "a").join(side("b"), "b")
     longer = "length(line_a) >= length(line_b)"
     split = lambda first, second: f"split(CASE WHEN {longer} THEN {first} ELSE {second} END, '')"
     distance = _let("t", split("line_a", "line_b"), _let("p", split("line_b", "line_a"), banded_distance("t", "p", edits)))  # bound, so that no step splits again
@@ -120,7 +118,8 @@ def judged(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS) -> DataF
     lines = lines_of(docs)
     distinct = distinct_lines(lines)
     found = links(distinct, edits, least)
-    both = found.select(F.col("a").alias("h1"), F.col("place_b").alias("other")).unionByName(found.select(F.col("b").alias("h1"), F.col("place_a").alias("other")))
+    ends = F.explode(F.array(F.struct(F.col("a").alias("h1"), F.col("place_b").alias("other")), F.struct(F.col("b").alias("h1"), F.col("place_a").alias("other"))))
+    both = found.select(ends.alias("x")).select("x.h1", "x.other")  # one pass: a union would verify every pair twice
     linked = both.groupBy("h1").agg(F.count("*").alias("n_links"), F.min("other").alias("other"))
     first = distinct.join(linked, "h1", "left").select(F.col("h1").alias("k"), F.col("h2").alias("k2"), "place", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("other") < F.col("place"), F.lit(False)).alias("late"))
     placed = lines.select("rid", "pos", "h1", "h2").join(first, F.col("h1") == F.col("k"))
