@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evigraph.llm.common import documents, held_out
 
@@ -28,7 +29,7 @@ BINS = 8192
 CENTROIDS = 3
 MAX_FIT_ROWS = 3000
 REJECT_QUANTILE, REJECT_FACTOR = 0.001, 0.35
-PIECE = 1 << 20
+PIECE = 1 << 18
 UNDETERMINED = "und"
 _LETTERS: list[np.ndarray] = []
 
@@ -131,14 +132,17 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BINS times centroids
 
+    sent = keep if docs.schema["text"].dataType == T.StringType() and "text" in keep else [*keep, "__text"]  # a kept text isn't sent twice
+    at = sent.index("text") if sent is keep else len(keep)
+
     def run(batches):
         for batch in batches:
-            found = [predict(t, shared.value) for t in batch.column(len(keep)).to_pylist()]
+            found = [predict(t.as_py(), shared.value) for t in batch.column(at)]  # one text at a time in memory
             arrays = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=[*keep, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return docs.withColumn("__text", F.col("text").cast("string")).select(*sent).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame) -> DataFrame:

@@ -302,7 +302,7 @@ def _encoded(batches, encode: Encoder):
             yield doc_id, np.append(found, np.int32(END))
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, text in zip(batch.column(0).to_pylist(), (t.as_py() for t in batch.column(1)), strict=True):  # one string at a time
             ids.append(doc_id)
             texts.append(text)
             chars += len(text)
