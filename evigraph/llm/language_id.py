@@ -132,8 +132,8 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BINS times centroids
 
-    sent = keep if docs.schema["text"].dataType == T.StringType() and "text" in keep else [*keep, "__text"]  # a kept text isn't sent twice
-    at = sent.index("text") if sent is keep else len(keep)
+    twice = "text" not in keep or docs.schema["text"].dataType != T.StringType()  # a kept string isn't sent twice
+    at = len(keep) if twice else keep.index("text")
 
     def run(batches):
         for batch in batches:
@@ -142,7 +142,7 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=[*keep, "lang_pred", "score", "rejected"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.withColumn("__text", F.col("text").cast("string")).select(*sent).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return docs.select(*keep, *[F.col("text").cast("string").alias("__text")] * twice).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame) -> DataFrame:

@@ -243,3 +243,9 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
     assert winnowing.compare_with_next(docs).count() == 4 and suffix_dedup.removed(docs).count() == 4
     assert mixing.mix(docs)[0].count() == 4 and quality_rules.evaluate(docs).count() == 4
     assert line_dedup.deduped(docs).count() == 2
+
+
+def test_language_id_keeps_a_column_named_like_its_own(spark):
+    docs = spark.createDataFrame([(1, "a text of words", "mine"), (2, None, None)], "doc_id long, text string, __text string")
+    found = {r["doc_id"]: (r["text"], r["__text"], r["lang_pred"]) for r in language_id.identify(docs, None, docs.columns).collect()}
+    assert found == {1: ("a text of words", "mine", "und"), 2: (None, None, "und")}
