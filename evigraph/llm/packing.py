@@ -2,13 +2,18 @@
 
 Each document becomes its token ids and an end id.  Whole windows of 1024 are cut
 off as sequences of their own; the rest of a document is a piece that shares a
-window with others.  Pieces are indexed in shards of bounded size by BM25 over
-their token ids; each seed piece retrieves its best unused neighbours, which fill
-the window greedily.  The last neighbour is cut at the window's end, and what is
-left of it is the next seed, so windows have no padding but for the last of a task.
-
-A shard is a run of pieces of one input partition, so nothing is shuffled and a
-lost executor costs one partition.
+window with others.  Pieces of the whole table are routed to shards of bounded size
+by the rare terms they share, and indexed there by BM25 over their token ids; each
+seed piece retrieves its best unused neighbours, which fill the window greedily.
+The last neighbour is cut at the window's end, and what is left of it is the next
+seed, so windows have no padding but for the last of a task.
+
+Document frequencies, number and mean length of the pieces are those of the whole
+table.  For routing, the BM25 weights of a piece are sketched by signed random
+projection; a tree that halves a sample at the median along its main direction
+gives each piece a leaf, and a shard is a run of pieces in the order of the leaves
+(within a leaf, along its main direction).  Neither files nor splits matter.  A seed
+searches its own shard, so neighbours that the tree parts are missed.
 
 Token ids of texts in the common Latin range are made by splitting all texts of a
 batch with array operations, encoding each distinct split once, and gathering; all other
@@ -32,12 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import documents, whole_text
+from evigraph.llm.common import Scratch, documents, whole_text
 from evigraph.llm.winnowing import _powers
 
 WINDOW = 1024
 END = 0
+WHOLE = 1 << 62  # in the sequence ids of whole windows
 SHARD = 2048
+SKETCH = 256  # dimensions
+SAMPLE = 1 << 16  # pieces at most that the routing tree is fitted on
+LEAST = 16  # sampled pieces in a node that is split
 BATCH_CHARS = 1 << 20
 K1, B = 1.2, 0.75
 LIMIT = 0x250  # code points below this take the fast way
@@ -65,6 +74,7 @@ class Encoder:
         kinds[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = SPACE
         kinds[0] = BREAK
         self.kinds = kinds
+        self.terms = max([END, *self.whole.get_vocab(True).values()]) + 1
         self._forget()
 
     def _forget(self):
@@ -172,10 +182,81 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class Stats:
+    """Number and mean length of all pieces, and the idf of every term; as large as the vocabulary."""
+
+    def __init__(self, pieces: int, mean: float, df: np.ndarray):
+        self.pieces, self.mean = pieces, mean
+        self.idf = np.maximum(np.log((pieces - df + 0.5) / (df + 0.5)), 0.0)  # terms of half the pieces or more tell nothing
+
+    def frequency(self, tf: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / self.mean))
+
+    def sketches(self, pieces: list[np.ndarray], at_once: int = 32) -> np.ndarray:
+        """Unit vectors (or zero) whose products are near those of the pieces' BM25 weights."""
+        signs, out = _signs(len(self.idf)), np.zeros((len(pieces), SKETCH), np.float32)
+        for a in range(0, len(pieces), at_once):
+            some = pieces[a : a + at_once]
+            n = np.fromiter(map(len, some), np.int64, len(some))
+            pair = (np.repeat(np.arange(len(some)), n) << 32) | np.concatenate(some)
+            pair.sort()
+            first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            tf, pair = np.diff(np.append(first, len(pair))), pair[first]
+            doc, term = pair >> 32, pair & 0xFFFFFFFF
+            weight = (self.idf[term] * self.frequency(tf, n[doc])).astype(np.float32)
+            out[a : a + at_once] = np.add.reduceat(signs[term] * weight[:, None], np.searchsorted(doc, np.arange(len(some))))
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+@functools.cache
+def _signs(terms: int) -> np.ndarray:
+    return np.random.default_rng(0).choice(np.array([-1, 1], np.float32), (terms, SKETCH))
+
+
+class Tree:
+    """Halves a sample of sketches until a leaf stands for at most ``size`` of ``pieces``."""
+
+    def __init__(self, sample: np.ndarray, pieces: int, size: int):
+        self.axes, self.cuts, self.kids = [], [], []
+        self.leaves = 0
+
+        def grow(x: np.ndarray, share: float) -> int:
+            me = len(self.axes)
+            wide = x.astype(np.float32)
+            wide -= wide.mean(axis=0) if len(x) else 0.0
+            axis = np.linalg.eigh((wide.T @ wide).astype(np.float64))[1][:, -1]
+            del wide
+            axis *= np.sign(axis[np.argmax(np.abs(axis))]) or 1.0
+            at = np.concatenate([x[a : a + 4096].astype(np.float64) @ axis for a in range(0, len(x) or 1, 4096)])
+            cut = float(np.median(at)) if len(x) else 0.0
+            self.axes.append(axis)
+            self.cuts.append(cut)
+            self.kids.append((-1, self.leaves))
+            low = at < cut
+            if share * pieces > size and len(x) >= LEAST and 0 < low.sum() < len(x):
+                self.kids[me] = (grow(x[low], share / 2), grow(x[~low], share / 2))
+            else:
+                self.leaves += 1
+            return me
+
+        grow(sample, 1.0)
+        self.axes, self.cuts, self.kids = np.array(self.axes), np.array(self.cuts), np.array(self.kids)
+
+    def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf of each sketch, in the order of the leaves, and where it lies along the leaf's main direction."""
+        node = np.zeros(len(x), np.int64)
+        while True:
+            at = np.einsum("ij,ij->i", x, self.axes[node])
+            inner = self.kids[node, 0] >= 0
+            if not inner.any():
+                return self.kids[node, 1], at.round(6)
+            node = np.where(inner, np.where(at < self.cuts[node], self.kids[node, 0], self.kids[node, 1]), node)
+
+
 class Shard:
     """BM25 over token ids of some pieces: a term's postings are a slice of two arrays."""
 
-    def __init__(self, pieces: list[np.ndarray]):
+    def __init__(self, pieces: list[np.ndarray], stats: Stats):
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         pair = (np.concatenate(pieces).astype(np.int64) << 32) | np.repeat(np.arange(len(pieces)), n)
         pair.sort()
@@ -185,8 +266,8 @@ class Shard:
         term, self.docs = pair >> 32, pair & 0xFFFFFFFF
         start = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
         df = np.diff(np.append(start, len(term)))
-        idf = np.maximum(np.log((len(pieces) - df + 0.5) / (df + 0.5)), 0.0)  # terms of half the shard or more tell nothing
-        self.weights = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * n[self.docs] / n.mean()))
+        idf = stats.idf[term[start]]
+        self.weights = np.repeat(idf, df) * stats.frequency(tf, n[self.docs])
         useful = np.repeat(idf > 0, df)
         number = np.repeat(np.arange(len(start)), df)
         by_doc = np.argsort(self.docs[useful], kind="stable")
@@ -207,17 +288,13 @@ class Shard:
 class Packer:
     """Deals pieces (row, start, ids) out to sequences; emits (row, start, length, sequence, offset)."""
 
-    def __init__(self, window: int):
-        self.window, self.sequence, self.used, self.out, self.count = window, 0, 0, [], 0
+    def __init__(self, window: int, stats: Stats | None = None):
+        self.stats, self.window, self.sequence, self.used, self.out, self.count = stats, window, 0, 0, [], 0
 
     def fresh(self) -> int:
         self.count += 1
         return self.count - 1
 
-    def whole(self, row, start: int) -> None:
-        """A full window as a sequence of its own, beside the open one."""
-        self.out.append((row, start, self.window, self.fresh(), 0))
-
     def put(self, row, start: int, n: int) -> int:
         """Places as much as the open window takes; returns how much."""
         if not self.used:
@@ -231,7 +308,7 @@ class Packer:
 
     def pack(self, pieces: list) -> None:
         """All pieces of a shard: [(row, start, ids)]."""
-        shard = Shard([ids for _, _, ids in pieces])
+        shard = Shard([ids for _, _, ids in pieces], self.stats)
         free = np.ones(len(pieces), bool)
         first, scores = 0, None  # scores: of all pieces for the seed of the open window
         for _ in range(len(pieces)):
@@ -252,45 +329,134 @@ class Packer:
                 scores = shard.scores(pick)
 
 
+def cut(docs: DataFrame, path: str, window: int) -> DataFrame:
+    """doc_id, start, doc_tokens, ids, sequence_id: whole windows with their sequence, and the rest of each document without one."""
+
+    def run(batches):
+        encode = encoder(path)
+        base, count, rows, size = WHOLE | TaskContext.get().partitionId() << 36, 0, [], 0
+
+        def emit():
+            parts = [r[3] for r in rows]
+            ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+            column = lambda k: pa.array([r[k] for r in rows], pa.int64())
+            return pa.RecordBatch.from_arrays([column(0), column(1), column(2), ids, column(4)], names=["doc_id", "start", "doc_tokens", "ids", "sequence_id"])
+
+        for doc_id, ids in _encoded(batches, encode):
+            for start in range(0, len(ids), window):
+                part = ids[start : start + window]
+                rows.append((doc_id, start, len(ids), part, base + count if len(part) == window else None))
+                count += len(part) == window
+                size += len(part)
+                if size >= BATCH_CHARS:
+                    yield emit()
+                    rows, size = [], 0
+        if rows:
+            yield emit()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, start long, doc_tokens long, ids array<int>, sequence_id long")
+
+
+def _lists(column) -> list[np.ndarray]:
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def statistics(pieces: DataFrame, terms: int) -> Stats:
+    """Counted over all pieces; what is collected is as large as the vocabulary."""
+
+    def run(batches):
+        df, n, size = np.zeros(terms, np.int64), 0, 0
+        for batch in batches:
+            for ids in _lists(batch.column(0)):
+                df[np.unique(ids)] += 1
+                n, size = n + 1, size + len(ids)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-2, -1])), pa.array(np.append(df[some], [n, size]))], names=["term", "n"])
+
+    found = {r.term: r.n for r in pieces.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, size = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(terms, np.int64)
+    df[list(found)] = list(found.values())
+    return Stats(n, size / max(n, 1), df)
+
+
+def routing(pieces: DataFrame, stats: Stats, shard: int) -> Tree:
+    def run(batches):
+        for batch in batches:
+            x = stats.sketches(_lists(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary())], names=["x"])
+
+    some = pieces.where(F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(-(-stats.pieces // SAMPLE))) == 0) if stats.pieces > SAMPLE else pieces
+    got = some.select("ids").mapInArrow(run, "x binary").toArrow()["x"]
+    x = np.frombuffer(b"".join(v.as_py() for v in got), np.float16).reshape(-1, SKETCH)
+    return Tree(x[np.lexsort(x.T)], stats.pieces, shard)
+
+
+def routed(pieces: DataFrame, stats: Stats, tree: Tree, scratch: Scratch) -> DataFrame:
+    """The pieces with leaf and at, in the order of their routes within and across partitions.
+
+    They are written first, since dealing them out by ranges reads them twice.
+    """
+
+    def run(batches):
+        for batch in batches:
+            leaf, at = tree.route(stats.sketches(_lists(batch.column(3))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(at)], names=[*batch.schema.names, "leaf", "at"])
+
+    keys = ["leaf", "at", "doc_id", "start", "tie"]
+    found = pieces.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, "doc_id long, start long, doc_tokens long, ids array<int>, leaf long, at double")
+    return scratch.table(found.withColumn("tie", F.xxhash64("ids")), "routed").repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard: int = SHARD, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     path = path or vocabulary()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
-
-    def run(batches):
-        encode, packer = encoder(path), Packer(window)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    scratch = Scratch(docs.sparkSession, "packing")
+    table = scratch.table(cut(docs, path, window), "pieces")
+    pieces = table.where("sequence_id IS NULL")
+    stats = statistics(pieces, encoder(path).terms)
+
+    def rows_of(out):
+        """out: (doc_id, start, ids, doc_tokens, sequence_id, offset)."""
+        rows = [(doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, seq, at) for doc_id, start, ids, total, seq, at in out]
+        arrays = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+        if with_ids:
+            ends = np.concatenate(([0], np.cumsum([r[2] for r in rows])))
+            arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([r[2] for r in out]), pa.int32())))
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def windows(batches):
+        for batch in batches:
+            if batch.num_rows:
+                doc_id, start, total, seq = (batch.column(k).to_pylist() for k in (0, 1, 2, 4))
+                yield rows_of(list(zip(doc_id, start, _lists(batch.column(3)), total, seq, [0] * len(seq), strict=True)))
+
+    def deal(batches):
+        packer, pool = Packer(window, stats), []
         base = TaskContext.get().partitionId() << 36
-        pool: list = []
 
         def emit():
+            packer.pack(pool)
             out, packer.out = packer.out, []
-            parts = [ids_of[1][start : start + n] for ids_of, start, n, _, _ in out]
-            rows = [(ids_of[0], start, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids_of[1]), base + seq, at) for (ids_of, start, n, seq, at), part in zip(out, parts, strict=True)]
-            arrays = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-            if with_ids:
-                ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32())))
-            return pa.RecordBatch.from_arrays(arrays, names=names)
-
-        for doc_id, ids in _encoded(batches, encode):
-            row = (doc_id, ids)
-            for start in range(0, len(ids) - window + 1, window):
-                packer.whole(row, start)
-            rest = len(ids) - len(ids) % window
-            if rest < len(ids):
-                pool.append((row, rest, ids[rest:]))
-            if len(pool) >= shard:
-                packer.pack(pool)
-                pool = []
-            if len(packer.out) >= shard:
-                yield emit()
+            return rows_of([(doc_id, start, ids[start - first : start - first + n], total, base + seq, at) for (doc_id, first, ids, total), start, n, seq, at in out])
+
+        for batch in batches:
+            for doc_id, start, total, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), _lists(batch.column(3)), strict=True):
+                pool.append(((doc_id, start, ids, total), start, ids))
+                if len(pool) >= shard:
+                    yield emit()
+                    pool.clear()
         if pool:
-            packer.pack(pool)
-        if packer.out:
             yield emit()
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, schema)
+    whole = table.where("sequence_id IS NOT NULL").mapInArrow(windows, schema)
+    if not stats.pieces:
+        return whole
+    return whole.unionByName(routed(pieces, stats, routing(pieces, stats, shard), scratch).select("doc_id", "start", "doc_tokens", "ids").mapInArrow(deal, schema))
 
 
 def _encoded(batches, encode: Encoder):

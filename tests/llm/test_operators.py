@@ -124,6 +124,34 @@ def test_packing_round_trip(spark, tmp_path):
     assert sum(sum(max(p)) < 64 for p in by.values()) <= docs.rdd.getNumPartitions()
 
 
+def test_packing_searches_the_whole_table_whatever_the_files(spark, tmp_path):
+    """Six topics of words of their own, dealt over the table: neighbours lie in other files and other runs of rows."""
+    rng = random.Random(13)
+    topics = [["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(12)] for _ in range(6)]
+    texts = [" ".join(rng.choices(topics[i % 6], k=8)) for i in range(240)]
+    mates = []
+    for k, order in enumerate((sorted(range(240)), sorted(range(240), key=lambda i: i * 77 % 240))):
+        docs = saved(spark, tmp_path / str(k), [texts[i] for i in order], order)
+        by = {}
+        for r in packing.pack(docs, window=64, shard=12).collect():
+            by.setdefault(r["sequence_id"], set()).add((r["doc_id"], r["start"], r["length"]))
+        pairs = [(x[0] % 6, y[0] % 6) for v in by.values() for x in v for y in v if x[0] < y[0]]
+        assert sum(x == y for x, y in pairs) >= 0.8 * len(pairs) > 0
+        mates.append({frozenset(v) for v in by.values()})
+    assert mates[0] == mates[1]
+
+
+def test_packing_counts_terms_over_the_whole_table(spark, tmp_path):
+    docs = saved(spark, tmp_path, texts := corpus(14, 40))
+    encoder = packing.encoder(packing.vocabulary())
+    pieces = [ids[a : a + 64] for t in texts for ids in [[*encoder.encode(t or "").tolist(), 0]] for a in range(0, len(ids), 64)]
+    pieces = [p for p in pieces if len(p) < 64]
+    stats = packing.statistics(packing.cut(docs, packing.vocabulary(), 64).where("sequence_id IS NULL"), encoder.terms)
+    df = np.bincount([x for p in pieces for x in set(p)], minlength=encoder.terms)
+    assert stats.pieces == len(pieces) and stats.mean == sum(map(len, pieces)) / len(pieces)
+    assert np.allclose(stats.idf, np.maximum(np.log((len(pieces) - df + 0.5) / (df + 0.5)), 0))
+
+
 def test_fast_encoding_equals_the_tokenizer():
     rng = random.Random(8)
     encoder = packing.Encoder(packing.vocabulary())
