@@ -4,7 +4,9 @@ Every version of every path is content-addressed (SHA-256 of its UTF-8 bytes).
 Equal contents are one blob, whatever their paths and versions.  The ledger
 holds the (blob, rule, rule version) triples that have been scanned; a scan
 touches only blobs with an unseen triple, and only with the rules they lack.
-Findings are stored per blob and joined back to every path that ever held it.
+Findings are stored per (blob, rule, rule version), appended with the ledger after
+each scan, and joined back to every path that ever held the blob, at the current
+rule versions.
 
 Edge cases: a null text counts as empty; an empty text has no findings; repeated
 rows share one blob and each keeps its row in the result.  Columns other than
@@ -100,13 +102,34 @@ def ledger_rows(scanned: DataFrame) -> DataFrame:
     return scanned.select("blob", F.explode("scanned").alias("rule"))
 
 
-def findings_by_path(versions: DataFrame, scanned: DataFrame, paths: list[str], text: str = "text") -> DataFrame:
+def finding_rows(scanned: DataFrame) -> DataFrame:
+    """(blob, rule, findings) rows to append to the findings table after a scan, one for each rule that found something."""
+    rule = F.explode(F.array_distinct(F.transform("findings", lambda x: F.concat_ws("@", x["kind"], x["version"].cast("string")))))
+    rows = scanned.select("blob", "findings", rule.alias("rule"))
+    return rows.select("blob", "rule", F.filter("findings", lambda x: F.concat_ws("@", x["kind"], x["version"].cast("string")) == F.col("rule")).alias("findings"))
+
+
+def current_findings(stored: DataFrame, rules=None) -> DataFrame:
+    """(blob, findings) of the findings table: one row a blob, at the given rule versions, in the order of a single scan.
+
+    A (blob, rule) pair that was appended twice counts once.
+    """
+    rules = list(rules or RULES)
+    place = F.create_map(*(F.lit(x) for k, r in enumerate(rules) for x in (r[0], k)))
+    now = stored.where(F.col("rule").isin([rule_id(r[0], r[1]) for r in rules])).groupBy("blob", "rule").agg(F.first("findings").alias("findings"))
+    keyed = lambda x: F.struct(x["start"].alias("start"), place[x["kind"]].alias("place"), x["end"].alias("end"), x.alias("finding"))
+    merged = F.array_sort(F.transform(F.flatten(F.collect_list("findings")), keyed))
+    return now.groupBy("blob").agg(F.transform(merged, lambda x: x["finding"]).alias("findings"))
+
+
+def findings_by_path(versions: DataFrame, scanned: DataFrame, paths: list[str], text: str = "text", rules=None) -> DataFrame:
     """The path columns, blob and findings of every row; rows without a finding have an empty array.
 
-    Only blobs with findings take part in the join; a hot blob meets one row there,
-    which the skew join splits over tasks.
+    ``scanned`` is the findings table of all scans (see finding_rows), read at the
+    versions of ``rules``, or a single full scan.  Only blobs with findings take part in
+    the join; a hot blob meets one row there, which the skew join splits over tasks.
     """
-    hits = scanned.where(F.size("findings") > 0).select("blob", "findings")
+    hits = current_findings(scanned, rules) if "rule" in scanned.columns else scanned.where(F.size("findings") > 0).select("blob", "findings")
     rows = versions.select(*paths, F.sha2(whole_text(text), 256).alias("blob"))
     return rows.join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDING)))
 

@@ -63,6 +63,24 @@ def test_secrets_match_the_contract_and_the_ledger_is_incremental(spark, tmp_pat
     assert len(again) == len(set(t or "" for t in texts)) and {tuple(r["scanned"]) for r in again} == {("hex@2",)}
 
 
+def test_secret_findings_of_earlier_scans_reach_every_path(spark, tmp_path):
+    texts = ["token=abcdef12 " + "f" * 24, "AKIA" + "Z" * 16, "nothing", "0" * 30 + " secret: abcdefgh"]
+    old = saved(spark, tmp_path / "old", texts[:3])
+    first = secret_scan.scan(old)
+    # The second run: old blobs at old and new paths, a new blob, a newer and a new rule.
+    docs = saved(spark, tmp_path / "new", [*texts, texts[0], texts[2]])
+    rules = [(k, v + (k == "hex"), *rest) for k, v, *rest in secret_scan.RULES] + [("plain", 1, "nothing", 0, 0)]
+    second = secret_scan.scan(docs, secret_scan.ledger_rows(first), rules)
+    rows = secret_scan.finding_rows
+    stored = rows(first).unionByName(rows(second)).unionByName(rows(second))  # an append that was repeated
+    got = secret_scan.findings_by_path(docs, stored, ["doc_id"], rules=rules).collect()
+    want = secret_scan.findings_by_path(docs, secret_scan.scan(docs, None, rules), ["doc_id"]).collect()
+    assert sorted(got) == sorted(want) and len(got) == 6 and all(r["findings"] for r in got)
+    assert {f["version"] for r in got for f in r["findings"] if f["kind"] == "hex"} == {2}
+    kept = secret_scan.findings_by_path(old, rows(first), ["doc_id"]).collect()
+    assert sorted(kept) == sorted(secret_scan.findings_by_path(old, first, ["doc_id"]).collect())
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
 def test_suffix_dedup_equals_brute_force(spark, tmp_path, hot):
     texts = [*corpus(3, 40), "a" * 300, "ab" * 100, "x" * 39, "y" * 40]
