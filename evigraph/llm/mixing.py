@@ -3,7 +3,8 @@
 Golden-ratio points, mapped through the cumulative target shares, name the
 source of every slot.  Slots are ranked per source; the documents of a source,
 shuffled by a hash, are cut into blocks of equally many tokens; slot number r of
-a source takes its block ``r mod blocks`` in epoch ``r div blocks``.
+a source takes its block ``r mod blocks`` in epoch ``r div blocks``.  The mix is the
+blocks in the order of the slots: one row per slot and span of a document.
 
 Ranks and running sums never gather a source in one task: slots are counted per
 stretch of the schedule and documents per hash prefix, only those counts are
@@ -120,8 +121,8 @@ def schedule(spark, plan: list[dict], block: int = BLOCK_TOKENS) -> DataFrame:
     planned = per_stretch.mapInArrow(slots, schema)
     need = spark.createDataFrame([(p["i"], p["slots"]) for p in plan], "i int, slots long")
     short = counts.groupBy("i").agg(F.sum("n").alias("n")).join(need, "i").where("n < slots")
-    late = short.select((F.lit(n) + F.col("i")).alias("slot"), "i", F.explode(F.sequence(F.col("n"), F.col("slots") - 1)).alias("rank"))
-    return planned.unionByName(late)
+    late = short.select("i", "n", F.explode(F.sequence(F.col("n"), F.col("slots") - 1)).alias("rank"))
+    return planned.unionByName(late.select((F.lit(n) + (F.col("rank") - F.col("n")) * len(plan) + F.col("i")).alias("slot"), "i", "rank"))  # in turn, each slot once
 
 
 def placed(rows: DataFrame, plan: list[dict]) -> DataFrame:
@@ -136,20 +137,34 @@ def placed(rows: DataFrame, plan: list[dict]) -> DataFrame:
     return within.join(sums, ["i", "prefix"]).withColumn("start", F.col("before") + F.col("inside")).drop("before", "inside", "prefix")
 
 
-def taken(rows: DataFrame, plan: list[dict], block: int = BLOCK_TOKENS) -> DataFrame:
-    """rid, doc_id, source, size, i, taken: the words that the scheduled blocks take from each document, repeats counted."""
+def scheduled(rows: DataFrame, plan: list[dict], block: int = BLOCK_TOKENS) -> DataFrame:
+    """slot, at, rid, doc_id, source, first, last: the mix, in the order of slot and at.
+
+    In each slot the words first .. last - 1 of a document are taken; at is where they
+    begin among the shuffled words of the source.
+    """
     spark = rows.sparkSession
     facts = spark.createDataFrame([(p["i"], p["size"], p["take"], p["blocks"], p["slots"]) for p in plan], "i int, all long, take long, blocks long, slots long")
     slots = schedule(spark, plan, block).join(facts, "i")
     # The last slot of a source is cut so that the source meets its target.
     cut = F.when(F.col("rank") == F.col("slots") - 1, F.col("take") - F.expr("rank DIV blocks") * F.col("all") - (F.col("rank") % F.col("blocks")) * block)
-    uses = slots.select("i", (F.col("rank") % F.col("blocks")).alias("b"), cut.alias("cut")).groupBy("i", "b").agg(F.sum(F.when(F.col("cut").isNull(), 1).otherwise(0)).alias("whole"), F.max("cut").alias("cut"))
-    spread = F.when(F.col("size") > 0, F.sequence(F.expr(f"start DIV {block}"), F.expr(f"(start + size - 1) DIV {block}"))).otherwise(F.array(F.lit(-1).cast("long")))
-    parts = placed(rows, plan).withColumn("b", F.explode(spread)).join(uses, ["i", "b"], "left")
-    low, high = F.greatest(F.col("start"), F.col("b") * block), F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block)
-    some = F.greatest(F.least(high, F.col("b") * block + F.coalesce("cut", F.lit(0))) - low, F.lit(0))
-    got = F.when(F.col("b") < 0, 0).otherwise((high - low) * F.coalesce("whole", F.lit(0)) + some)
-    return parts.groupBy("rid", "doc_id", "source", "size", "i").agg(F.sum(got).cast("long").alias("taken"))
+    uses = slots.select("slot", "i", (F.col("rank") % F.col("blocks")).alias("b"), F.coalesce(cut, F.lit(block)).alias("width"))
+    spread = F.explode(F.sequence(F.expr(f"start DIV {block}"), F.expr(f"(start + size - 1) DIV {block}")))
+    parts = placed(rows, plan).where("size > 0").withColumn("b", spread).join(uses, ["i", "b"])
+    low, high = F.greatest(F.col("start"), F.col("b") * block), F.least(F.col("start") + F.col("size"), F.col("b") * block + F.col("width"))
+    return parts.where(high > low).select("slot", low.alias("at"), "rid", "doc_id", "source", (low - F.col("start")).alias("first"), (high - F.col("start")).alias("last"))
+
+
+def taken(rows: DataFrame, plan: list[dict], block: int = BLOCK_TOKENS) -> DataFrame:
+    """rid, doc_id, source, size, i, taken: the words that the scheduled blocks take from each document, repeats counted.
+
+    starts has the (slot, at) of every time that the mix begins the document, in order.
+    """
+    names = rows.sparkSession.createDataFrame([(p["i"], p["source"]) for p in plan], "i int, name string")
+    begin = F.when(F.col("first") == 0, F.struct("slot", "at"))
+    sums = scheduled(rows, plan, block).groupBy("rid").agg(F.sum(F.col("last") - F.col("first")).alias("taken"), F.array_sort(F.collect_list(begin)).alias("starts"))  # as many as epochs at most
+    named = rows.join(names, F.col("source").eqNullSafe(F.col("name"))).select("rid", "doc_id", "source", "size", "i")
+    return named.join(sums, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_TOKENS) -> tuple[DataFrame, list[dict]]:
@@ -162,11 +177,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = B
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_TOKENS) -> DataFrame:
-    """The documents (all their columns) as often as the mix takes them, to the nearest whole number; a document that it takes less than half of goes."""
+    """The documents (all their columns) as often as the mix takes them, to the nearest whole number; a document that it takes less than half of goes.
+
+    They are sorted by the slots in which the mix begins them.
+    """
     rows, plan = mix(docs, weights, most, block)
-    times = rows.where("size > 0").select(F.col("rid").alias("__rid"), F.expr("CAST(floor(taken / size + 0.5) AS INT)").alias("__n")).where("__n > 0")
-    again = docs.withColumn("__rid", F.monotonically_increasing_id()).join(times, "__rid")
-    return again.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    if not plan:
+        return docs
+    times = F.expr("CAST(floor(taken / size + 0.5) AS INT)")
+    wanted = rows.where("size > 0").select(F.col("rid").alias("__rid"), F.slice("starts", F.lit(1), times).alias("__starts")).where("size(__starts) > 0")
+    again = docs.withColumn("__rid", F.monotonically_increasing_id()).join(wanted, "__rid").withColumn("__start", F.explode("__starts"))
+    return again.sort("__start.slot", "__start.at", "__rid").select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir) -> DataFrame:

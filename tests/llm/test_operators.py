@@ -234,6 +234,36 @@ def test_mixing_meets_its_targets(spark, tmp_path):
     assert mixing.water_fill([0, 0], [5, 2]) == [0.0, 0.0]
 
 
+def test_mixing_hands_on_the_schedule(spark, tmp_path):
+    rng = random.Random(23)
+    sources = ["a"] * 60 + ["b"] * 60 + ["c"] * 60 + ["a"]
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(1, 60))) for _ in range(180)] + [""]
+    docs = saved(spark, tmp_path, texts, sources=sources)
+    rows = mixing.Scratch(spark, "test").table(mixing.sized(docs), "rows")
+    plan = mixing.source_plan(rows, block=16)
+    slots = {r["slot"]: (r["i"], r["rank"]) for r in mixing.schedule(spark, plan, 16).collect()}
+    spans = sorted(mixing.scheduled(rows, plan, 16).collect())
+    assert set(slots) == {r["slot"] for r in spans}
+    by, sums = {}, {}
+    for r in spans:
+        p, (i, rank) = next(p for p in plan if p["source"] == r["source"]), slots[r["slot"]]
+        assert p["i"] == i and 0 <= r["first"] < r["last"] <= len(texts[r["doc_id"]].split()) and r["at"] // 16 == rank % p["blocks"]
+        by[r["slot"]] = by.get(r["slot"], 0) + r["last"] - r["first"]
+        sums[r["doc_id"]] = sums.get(r["doc_id"], 0) + r["last"] - r["first"]
+    for slot, (i, rank) in slots.items():
+        p = plan[i]
+        if rank < p["slots"] - 1:
+            assert by[slot] == min(16, p["size"] - rank % p["blocks"] * 16)
+    assert sums == {r["doc_id"]: r["taken"] for r in mixing.taken(rows, plan, 16).collect() if r["taken"]}
+    # Documents leave in the order of their slots: each stretch has the sources' shares, and copies are an epoch apart.
+    mix = mixing.mixed(docs, block=16).collect()
+    assert mix and all(x["doc_id"] != y["doc_id"] for x, y in zip(mix, mix[1:], strict=False))
+    total = sum(p["target"] for p in plan)
+    for part in (mix[: len(mix) // 2], mix[len(mix) // 2 :]):
+        words = {s: sum(len(d["text"].split()) for d in part if d["source"] == s) for s in "abc"}
+        assert all(abs(words[p["source"]] / sum(words.values()) - p["target"] / total) < 0.1 for p in plan)
+
+
 def test_line_links_equal_brute_force(spark, tmp_path):
     rng = random.Random(14)
     base = [" ".join(rng.choices(WORDS, k=10))[:60] for _ in range(25)]
