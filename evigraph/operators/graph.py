@@ -87,4 +87,6 @@ def cyclic(edges: DataFrame, rounds: int = 100) -> DataFrame:
         was, n = n, left.count()
         if n == was:
             break
+    else:
+        raise RuntimeError(f"cycles did not settle in {rounds} rounds")
     return left.select(F.col("src").alias("node")).distinct()

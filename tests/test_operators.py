@@ -134,3 +134,10 @@ def test_knn_and_metrics(spark):
     assert got == want
     metric = evals.retrieval(ranked(spark, [(1, "a", 1), (1, "b", 2)]), ranked(spark, [(1, "b", 0), (2, "c", 0)]).select("qid", "unit_id")).orderBy("qid").collect()
     assert metric[0]["mrr"] == 0.5 and metric[1]["mrr"] == 0.0
+
+
+def test_a_chain_longer_than_the_rounds_is_no_cycle(spark):
+    chain = spark.range(0, 6, 1, 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.cyclic(chain, 8).count() == 0
+    with pytest.raises(RuntimeError):
+        graph.cyclic(chain, 3)
