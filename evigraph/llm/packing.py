@@ -47,6 +47,8 @@ SHARD = 2048
 SKETCH = 256  # dimensions
 SAMPLE = 1 << 16  # pieces at most that the routing tree is fitted on
 LEAST = 16  # sampled pieces in a node that is split
+COMMON = 1024  # terms whose weights are sketched by a matrix product
+WIDE = 24  # a term that one piece of so many holds has a row of its own in a shard
 BATCH_CHARS = 1 << 20
 K1, B = 1.2, 0.75
 LIMIT = 0x250  # code points below this take the fast way
@@ -192,19 +194,33 @@ class Stats:
     def frequency(self, tf: np.ndarray, n: np.ndarray) -> np.ndarray:
         return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / self.mean))
 
-    def sketches(self, pieces: list[np.ndarray], at_once: int = 32) -> np.ndarray:
-        """Unit vectors (or zero) whose products are near those of the pieces' BM25 weights."""
+    def sketches(self, pieces: list[np.ndarray], at_once: int = 128) -> np.ndarray:
+        """Unit vectors (or zero) whose products are near those of the pieces' BM25 weights.
+
+        Weights of the commonest terms go through one matrix product, the others are gathered.
+        """
         signs, out = _signs(len(self.idf)), np.zeros((len(pieces), SKETCH), np.float32)
+        common = np.argsort(self.idf, kind="stable")[np.count_nonzero(self.idf == 0) :][:COMMON]
+        row = np.full(len(self.idf), -1)
+        row[common] = np.arange(len(common))
+        shared = signs[common]
         for a in range(0, len(pieces), at_once):
             some = pieces[a : a + at_once]
             n = np.fromiter(map(len, some), np.int64, len(some))
-            pair = (np.repeat(np.arange(len(some)), n) << 32) | np.concatenate(some)
+            pair = (np.repeat(np.arange(len(some)), n) << 32) | np.concatenate(some).astype(np.int64)
             pair.sort()
             first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
             tf, pair = np.diff(np.append(first, len(pair))), pair[first]
             doc, term = pair >> 32, pair & 0xFFFFFFFF
             weight = (self.idf[term] * self.frequency(tf, n[doc])).astype(np.float32)
-            out[a : a + at_once] = np.add.reduceat(signs[term] * weight[:, None], np.searchsorted(doc, np.arange(len(some))))
+            dense, at = np.zeros((len(some), len(common)), np.float32), row[term]
+            dense[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
+            found = dense @ shared
+            rest = np.flatnonzero((at < 0) & (weight > 0))
+            if len(rest):
+                starts = np.flatnonzero(np.concatenate(([True], doc[rest][1:] != doc[rest][:-1])))
+                found[doc[rest][starts]] += np.add.reduceat(signs[term[rest]] * weight[rest, None], starts)
+            out[a : a + at_once] = found
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
@@ -254,7 +270,7 @@ class Tree:
 
 
 class Shard:
-    """BM25 over token ids of some pieces: a term's postings are a slice of two arrays."""
+    """BM25 over token ids of some pieces: a term's postings are a slice of two arrays, or a row over all pieces where many hold the term."""
 
     def __init__(self, pieces: list[np.ndarray], stats: Stats):
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -274,15 +290,25 @@ class Shard:
         self.terms = number[useful][by_doc]
         self.bounds = np.searchsorted(self.docs[useful][by_doc], np.arange(len(pieces) + 1))
         self.start, self.end, self.size = start, start + df, len(pieces)
+        wide = np.flatnonzero((idf > 0) & (df * WIDE >= len(pieces)))
+        self.row = np.full(len(start), -1)
+        self.row[wide] = np.arange(len(wide))
+        self.dense = np.zeros((len(wide), len(pieces)), np.float32)
+        for k, t in enumerate(wide):
+            at = slice(self.start[t], self.end[t])
+            self.dense[k, self.docs[at]] = self.weights[at]
 
     def scores(self, doc: int) -> np.ndarray:
         terms = self.terms[self.bounds[doc] : self.bounds[doc + 1]]
-        if not len(terms):
-            return np.zeros(self.size)
-        a, n = self.start[terms], self.end[terms] - self.start[terms]
-        total = np.cumsum(n)
-        rows = np.repeat(a - (total - n), n) + np.arange(total[-1])
-        return np.bincount(self.docs[rows], self.weights[rows], self.size)
+        row = self.row[terms]
+        found = self.dense[row[row >= 0]].sum(axis=0, dtype=np.float32).astype(np.float64)
+        terms = terms[row < 0]
+        if len(terms):
+            a, n = self.start[terms], self.end[terms] - self.start[terms]
+            total = np.cumsum(n)
+            rows = np.repeat(a - (total - n), n) + np.arange(total[-1])
+            found += np.bincount(self.docs[rows], self.weights[rows], self.size)
+        return found
 
 
 class Packer:
@@ -330,16 +356,18 @@ class Packer:
 
 
 def cut(docs: DataFrame, path: str, window: int) -> DataFrame:
-    """doc_id, start, doc_tokens, ids, sequence_id: whole windows with their sequence, and the rest of each document without one."""
+    """doc_id, start, doc_tokens, ids, sequence_id: whole windows with their sequence, and the rest of each document without one.
+
+    ids are the bytes of an array of ``id_type``, which is far cheaper to write and read than an array column.
+    """
 
     def run(batches):
         encode = encoder(path)
+        kind = id_type(encode.terms)
         base, count, rows, size = WHOLE | TaskContext.get().partitionId() << 36, 0, [], 0
 
         def emit():
-            parts = [r[3] for r in rows]
-            ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+            ids = pa.array([r[3].astype(kind).tobytes() for r in rows], pa.binary())
             column = lambda k: pa.array([r[k] for r in rows], pa.int64())
             return pa.RecordBatch.from_arrays([column(0), column(1), column(2), ids, column(4)], names=["doc_id", "start", "doc_tokens", "ids", "sequence_id"])
 
@@ -355,12 +383,15 @@ def cut(docs: DataFrame, path: str, window: int) -> DataFrame:
         if rows:
             yield emit()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, start long, doc_tokens long, ids array<int>, sequence_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, start long, doc_tokens long, ids binary, sequence_id long")
+
+
+def id_type(terms: int) -> str:
+    return "<u2" if terms <= 1 << 16 else "<u4"
 
 
-def _lists(column) -> list[np.ndarray]:
-    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def _lists(column, terms: int) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), id_type(terms)) for x in column]
 
 
 def statistics(pieces: DataFrame, terms: int) -> Stats:
@@ -369,7 +400,7 @@ def statistics(pieces: DataFrame, terms: int) -> Stats:
     def run(batches):
         df, n, size = np.zeros(terms, np.int64), 0, 0
         for batch in batches:
-            for ids in _lists(batch.column(0)):
+            for ids in _lists(batch.column(0), terms):
                 df[np.unique(ids)] += 1
                 n, size = n + 1, size + len(ids)
         some = np.flatnonzero(df)
@@ -385,7 +416,7 @@ def statistics(pieces: DataFrame, terms: int) -> Stats:
 def routing(pieces: DataFrame, stats: Stats, shard: int) -> Tree:
     def run(batches):
         for batch in batches:
-            x = stats.sketches(_lists(batch.column(0)))
+            x = stats.sketches(_lists(batch.column(0), len(stats.idf)))
             yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary())], names=["x"])
 
     some = pieces.where(F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(-(-stats.pieces // SAMPLE))) == 0) if stats.pieces > SAMPLE else pieces
@@ -402,11 +433,11 @@ def routed(pieces: DataFrame, stats: Stats, tree: Tree, scratch: Scratch) -> Dat
 
     def run(batches):
         for batch in batches:
-            leaf, at = tree.route(stats.sketches(_lists(batch.column(3))))
+            leaf, at = tree.route(stats.sketches(_lists(batch.column(3), len(stats.idf))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(at)], names=[*batch.schema.names, "leaf", "at"])
 
     keys = ["leaf", "at", "doc_id", "start", "tie"]
-    found = pieces.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, "doc_id long, start long, doc_tokens long, ids array<int>, leaf long, at double")
+    found = pieces.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, "doc_id long, start long, doc_tokens long, ids binary, leaf long, at double")
     return scratch.table(found.withColumn("tie", F.xxhash64("ids")), "routed").repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
@@ -433,7 +464,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard:
         for batch in batches:
             if batch.num_rows:
                 doc_id, start, total, seq = (batch.column(k).to_pylist() for k in (0, 1, 2, 4))
-                yield rows_of(list(zip(doc_id, start, _lists(batch.column(3)), total, seq, [0] * len(seq), strict=True)))
+                yield rows_of(list(zip(doc_id, start, _lists(batch.column(3), len(stats.idf)), total, seq, [0] * len(seq), strict=True)))
 
     def deal(batches):
         packer, pool = Packer(window, stats), []
@@ -445,7 +476,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard:
             return rows_of([(doc_id, start, ids[start - first : start - first + n], total, base + seq, at) for (doc_id, first, ids, total), start, n, seq, at in out])
 
         for batch in batches:
-            for doc_id, start, total, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), _lists(batch.column(3)), strict=True):
+            for doc_id, start, total, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), _lists(batch.column(3), len(stats.idf)), strict=True):
                 pool.append(((doc_id, start, ids, total), start, ids))
                 if len(pool) >= shard:
                     yield emit()
