@@ -33,6 +33,31 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(True))
 
 
+def values(column):
+    """The values of an Arrow column, one at a time, so that a batch of long texts is never held twice."""
+    for value in column:
+        yield value.as_py()
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(frame: DataFrame, name: str, scratch: Scratch | None) -> DataFrame:
+    """The frame with row numbers in a column.
+
+    They are written with the rows once, since numbers that are made again (by a retry, or by
+    a second reading) may differ if the rows come from a shuffle.  Without a scratch folder they
+    are only computed: for frames that are read straight from files, whose splits don't change.
+    """
+    rows = frame.withColumn(name, F.monotonically_increasing_id())
+    return rows if scratch is None else scratch.table(rows, "numbered")
+
+
 class Scratch:
     """A folder of intermediate tables that every executor can read.
 
