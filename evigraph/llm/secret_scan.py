@@ -5,8 +5,8 @@ Equal contents are one blob, whatever their paths and versions.  The ledger
 holds the (blob, rule, rule version) triples that have been scanned; a scan
 touches only blobs with an unseen triple, and only with the rules they lack.
 Findings are stored per (blob, rule, rule version), appended with the ledger after
-each scan, and joined back to every path that ever held the blob, at the current
-rule versions.
+each scan (findings first, so that a scan that is lost between the two is done again), and joined back to every
+path that ever held the blob, at the current rule versions.  ``Store`` keeps both tables in a folder.
 
 Edge cases: a null text counts as empty; an empty text has no findings; repeated
 rows share one blob and each keeps its row in the result.  Columns other than
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import documents, whole_text
+from evigraph.llm.common import Scratch, documents, values, whole_text
 
 #: Fixed patterns of the base kinds, in their listed order, then the kinds added here.
 #: kind, rule version, pattern, group measured, least length of that group
@@ -77,18 +77,22 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules=None, text:
     """
     rules = list(rules or RULES)
     ids = [rule_id(r[0], r[1]) for r in rules]
-    todo = blobs(versions, text).withColumn("todo", F.array(*map(F.lit, ids)))
-    if ledger is not None:
+    every = F.array(*map(F.lit, ids))
+    if ledger is None:
+        todo = blobs(versions, text).select("blob", "text", every.alias("todo"))
+    else:  # only addresses meet the ledger; texts of blobs that have been seen by all rules aren't shuffled where the unseen ones are few
         seen = ledger.where(F.col("rule").isin(ids)).groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # at most one entry a rule
-        todo = todo.join(seen, "blob", "left").withColumn("todo", F.array_except("todo", F.coalesce("seen", F.array().cast("array<string>")))).drop("seen")
-    todo = todo.where(F.size("todo") > 0).select("blob", "text", "todo")
+        unseen = versions.select(F.sha2(whole_text(text), 256).alias("blob")).distinct().join(seen, "blob", "left")
+        unseen = unseen.select("blob", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
+        content = versions.select(F.sha2(whole_text(text), 256).alias("blob"), whole_text(text).alias("text")).join(unseen, "blob")
+        todo = content.groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
 
     def run(batches):
         by_id = dict(zip(ids, rules, strict=True))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("version", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             out = []
-            for content, names in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for content, names in zip(values(batch.column(1)), values(batch.column(2)), strict=True):
                 wanted = set(names)
                 hits = find(content, [r for i, r in by_id.items() if i in wanted])
                 out.append([dict(zip(("kind", "version", "start", "end"), h, strict=True)) for h in hits])
@@ -134,9 +138,41 @@ def findings_by_path(versions: DataFrame, scanned: DataFrame, paths: list[str],
     return rows.join(hits, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDING)))
 
 
+class Store:
+    """Ledger and findings of all scans, as Parquet tables in a folder that all executors share."""
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.ledger, self.findings = spark, f"{folder}/ledger", f"{folder}/findings"
+
+    def _read(self, path: str, schema: str) -> DataFrame | None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(schema).parquet(path) if found else None
+
+    def seen(self) -> DataFrame | None:
+        """(blob, rule) of all scans; None before the first."""
+        return self._read(self.ledger, "blob string, rule string")
+
+    def stored(self) -> DataFrame:
+        """(blob, rule, findings) of all scans."""
+        schema = f"blob string, rule string, findings {FINDING}"
+        found = self._read(self.findings, schema)
+        return self.spark.createDataFrame([], schema) if found is None else found
+
+    def update(self, versions: DataFrame, rules=None, text: str = "text") -> None:
+        """Scan what has not been seen, and append to both tables."""
+        scanned = Scratch(self.spark, "scan").table(scan(versions, self.seen(), rules, text), "scanned")  # read twice
+        finding_rows(scanned).write.mode("append").parquet(self.findings)
+        ledger_rows(scanned).write.mode("append").parquet(self.ledger)
+
+
 def op1_secret_scans(spark, sf_dir) -> DataFrame:
+    """Scans the table into a new store and reads the findings back from it."""
     docs = documents(spark, sf_dir)
-    rows = findings_by_path(docs, scan(docs), ["doc_id"])
+    store = Store(spark, Scratch(spark, "secrets").root)
+    store.update(docs)
+    rows = findings_by_path(docs, store.stored(), ["doc_id"])
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long")
     joined = lambda found: F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     return rows.select(
