@@ -3,11 +3,14 @@
 Texts become normalised TF-IDF vectors of hashed character n-grams (1 to 3
 letters, any other character as one blank).  Each language has several centroids
 from spherical k-means; a text takes the language of the centroid with the
-greatest cosine, and is rejected when even that cosine is below a distance limit
-learned from the training rows.
+greatest cosine, and is rejected when even that cosine is below a distance limit.
+Cosines grow with the length of a text, so the limit does too: it is learned from
+prefixes of the training texts, as ``REJECT_FACTOR`` times the ``REJECT_QUANTILE`` of their cosines at
+each length.  Other scripts and letters without the order of a learned language fall below it; related
+languages (Italian next to Spanish) do not.
 
 The model is fitted on a bounded sample: at most about ``max_fit_rows`` labelled
-rows in all, as many from each language, chosen by a hash of the id.  Every row
+rows in all, as many from each language, chosen by a hash of id and text; equal rows count once.  Every row
 is classified, over its whole text.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and
@@ -23,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evigraph.llm.common import documents, held_out
+from evigraph.llm.common import documents, fresh, held_out, values
 
 BINS = 8192
 CENTROIDS = 3
 MAX_FIT_ROWS = 3000
-REJECT_QUANTILE, REJECT_FACTOR = 0.001, 0.35
+REJECT_QUANTILE, REJECT_FACTOR = 0.001, 0.8
+PREFIXES = (8, 32, 128, 512, 2048)  # code points
 PIECE = 1 << 18
 UNDETERMINED = "und"
 _LETTERS: list[np.ndarray] = []
@@ -64,37 +68,42 @@ def _weights(bins, counts, idf) -> np.ndarray:
     return x / max(np.sqrt(x @ x), 1e-12)
 
 
-def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list[tuple[str, np.ndarray, np.ndarray]]:
+def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list[tuple[str, np.ndarray, np.ndarray, int]]:
+    """(lang, bins, counts, size) of the sample's texts (size 0) and of their prefixes of ``PREFIXES`` code points."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     each = max(1, max_fit_rows // len(counts))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
-    lot = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = labelled.where(lot < share[F.col("lang")]).select("lang", "doc_id", "text")
+    text = F.col("text").cast("string")
+    lot = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", text), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    chosen = labelled.where(lot < share[F.col("lang")]).select("lang", F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).distinct()
 
     def run(batches):
         for batch in batches:
-            found = [profile(t) for t in batch.column(2).to_pylist()]
-            arrays = [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), *arrays], names=["lang", "doc_id", "bins", "counts"])
+            for lang, doc_id, whole in zip(*(values(c) for c in batch.columns), strict=True):
+                cut = [(0, whole)] + [(n, whole[:n]) for n in PREFIXES if whole and len(whole) >= n]
+                found = [(n, *profile(t)) for n, t in cut]
+                arrays = [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (1, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array([doc_id] * len(found), pa.int64()), pa.array([n for n, _ in cut], pa.int32()), *arrays], names=["lang", "doc_id", "size", "bins", "counts"])
 
-    rows = chosen.mapInArrow(run, "lang string, doc_id long, bins array<int>, counts array<int>").toArrow()
-    order = sorted(zip(rows["lang"].to_pylist(), rows["doc_id"].to_pylist(), range(rows.num_rows), strict=True), key=lambda x: (x[0], x[1] is None, x[1] or 0))
+    rows = chosen.mapInArrow(run, "lang string, doc_id long, size int, bins array<int>, counts array<int>").toArrow()
     bins, counts = rows["bins"].combine_chunks(), rows["counts"].combine_chunks()
-    return [(lang, b, c) for lang, _, i in order if len(b := bins[i].values.to_numpy()) and (c := counts[i].values.to_numpy()) is not None]
+    found = [(lang, b, counts[i].values.to_numpy(), size, doc_id) for i, (lang, doc_id, size) in enumerate(zip(*(rows[c].to_pylist() for c in ("lang", "doc_id", "size")), strict=True)) if len(b := bins[i].values.to_numpy())]
+    return [x[:4] for x in sorted(found, key=lambda x: (x[0], x[4] is None, x[4] or 0, x[3], x[1].tolist(), x[2].tolist()))]
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], centroids: int = CENTROIDS) -> dict | None:
-    """The model: idf, langs (one per centroid), centroids, limit."""
+def fit(profiles: list[tuple[str, np.ndarray, np.ndarray, int]], centroids: int = CENTROIDS) -> dict | None:
+    """The model: idf, langs (one per centroid), centroids, and limits: (log2 of the number of n-grams, least cosine)."""
+    rows = [(lang, bins, counts) for lang, bins, counts, size in profiles if not size]
     if not rows:
         return None
     df = np.zeros(BINS)
     for _, bins, _ in rows:
         df[bins] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    langs, centres, best = [], [], []
+    langs, centres = [], []
     for lang in sorted({r[0] for r in rows}):
         own = [r for r in rows if r[0] == lang]
         x = np.zeros((len(own), BINS), np.float32)
@@ -111,9 +120,16 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], centroids: int = CENTROI
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         langs += [lang] * len(c)
         centres.append(c)
-        best.append(np.max(x @ c.T, axis=1))
-    limit = REJECT_FACTOR * float(np.quantile(np.concatenate(best), REJECT_QUANTILE))
-    return {"idf": idf, "langs": langs, "centroids": np.concatenate(centres).astype(np.float64), "limit": limit}
+    model = {"idf": idf, "langs": langs, "centroids": np.concatenate(centres).astype(np.float64)}
+    points = []
+    for size in PREFIXES:
+        found = [(np.log2(counts.sum()), max(c for c, of in zip(model["centroids"][:, bins] @ _weights(bins, counts, idf), langs, strict=True) if of == lang)) for lang, bins, counts, n in profiles if n == size]
+        if found:
+            logs, cosines = np.array(found).T
+            points.append((float(np.median(logs)), REJECT_FACTOR * float(np.quantile(cosines, REJECT_QUANTILE))))
+    points = points or [(0.0, 0.0)]  # only texts of a few letters: nothing is known of longer ones
+    model["limits"] = tuple(np.array(x) for x in zip(*points, strict=True))
+    return model
 
 
 def predict(text: str | None, model: dict | None) -> tuple[str, float, bool]:
@@ -124,11 +140,11 @@ def predict(text: str | None, model: dict | None) -> tuple[str, float, bool]:
     cosines = model["centroids"][:, bins] @ _weights(bins, counts, model["idf"])
     i = int(np.argmax(cosines))
     score = min(1.0, max(0.0, float(cosines[i])))
-    return model["langs"][i], score, score < model["limit"]
+    return model["langs"][i], score, score < float(np.interp(np.log2(counts.sum()), *model["limits"]))
 
 
-def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
-    """The columns in ``keep`` and lang_pred, score, rejected of every row."""
+def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns in ``keep`` and, under ``names``, language, cosine and rejection of every row."""
     keep = keep or ["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BINS times centroids
 
@@ -137,17 +153,18 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None)
 
     def run(batches):
         for batch in batches:
-            found = [predict(t.as_py(), shared.value) for t in batch.column(at)]  # one text at a time in memory
+            found = [predict(t, shared.value) for t in values(batch.column(at))]
             arrays = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *arrays], names=[*keep, *names])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *[F.col("text").cast("string").alias("__text")] * twice).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
+    return docs.select(*[F.col(f"`{c}`") for c in keep], *[F.col("text").cast("string").alias(fresh(docs, "__text"))] * twice).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents (all their columns) that the classifier doesn't reject."""
-    return identify(docs, fit(training_profiles(docs)), docs.columns).where(~F.col("rejected")).select(*docs.columns)
+    names = tuple(fresh(docs, f"__{n}") for n in ("lang", "score", "rejected"))
+    return identify(docs, fit(training_profiles(docs)), docs.columns, names).where(~F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_language_id(spark, sf_dir) -> DataFrame:
