@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import Scratch, documents, whole_text
+from evigraph.llm.common import Scratch, documents, numbered, values, whole_text
 from evigraph.llm.winnowing import _powers
 
 LENGTH, GRAM = 400, 150
@@ -150,27 +150,30 @@ def _cut(data: bytes, place: int, length: int, gram: int):
     return before, after
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(rid, spans array<struct<s,e>>) of rows with repeated strings: byte stretches, not merged, ends exclusive and perhaps beyond the text."""
-    scratch, side = Scratch(docs.sparkSession, "suffix"), length - gram
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), whole_text().alias("text"))
+def repeats(rows: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """(rid, spans array<struct<s,e>>) of rows (rid, text) with repeated strings: byte stretches, not merged, ends exclusive and perhaps beyond the text.
+
+    Tables are written before the joins by a gram or a context, so that both sides are plain shuffles, whose hot
+    partitions the skew join can split.
+    """
+    side = length - gram
 
     def emit(batches):
         names = ["h", "c", "rid", "pos"]
         for batch in batches:
             out = [[], [], [], []]
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for rid, text in zip(*(values(c) for c in batch.columns), strict=True):
                 h, c, place = anchors(text.encode("utf-8", "surrogatepass"), length, gram)
                 for column, x in zip(out, (h.view(np.int64), c.view(np.int64), np.full(len(h), rid), place), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=names)
 
-    every = scratch.table(rows.mapInArrow(emit, "h long, c long, rid long, pos long"), "anchors")
-    found = scratch.table(every.join(_several(every), "h", "left_semi"), "repeated")
+    every = scratch.table(rows.select("rid", "text").mapInArrow(emit, "h long, c long, rid long, pos long"), "anchors")
+    found = scratch.table(every.join(scratch.table(_several(every), "several"), "h", "left_semi"), "repeated")
     scratch.drop("anchors")
     contexts = scratch.table(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("at")), "contexts")
-    grams = contexts.groupBy("h").agg(F.count("*").alias("k"))
-    several = contexts.join(grams.where("k > 1").withColumnRenamed("h", "g"), F.col("h") == F.col("g")).select("h", "c", "n", "k", "at.rid", "at.pos")
+    grams = scratch.table(contexts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "grams")
+    several = contexts.join(grams.withColumnRenamed("h", "g"), F.col("h") == F.col("g")).select("h", "c", "n", "k", "at.rid", "at.pos")
     # All contexts of a text in one row, so that each text is joined once.
     wanted = several.groupBy("rid").agg(F.collect_list(F.struct("h", "c", "n", "k", "pos")).alias("x")).withColumnRenamed("rid", "r")
     texts = rows.join(wanted, rows.rid == F.col("r")).select("text", "x")
@@ -178,7 +181,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     def cut(batches):
         for batch in batches:
             out = []
-            for text, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, wants in zip(*(values(c) for c in batch.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for x in wants:
                     out.append((int.from_bytes(data[x["pos"] : x["pos"] + 8], "big") - (1 << 63), x["h"], x["c"], x["n"], x["k"], *_cut(data, x["pos"], length, gram)))
@@ -258,17 +261,22 @@ def merge(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out if e > s]
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every row."""
-    spans = repeats(docs, length, gram, hot).withColumnRenamed("rid", "r")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, with_text: bool = False, stored: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every row.
+
+    Rows are numbered once, unless ``stored`` says that they are read straight from files.
+    """
+    scratch = Scratch(docs.sparkSession, "suffix")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = numbered(rows, "rid", None if stored else scratch)
+    spans = repeats(rows, scratch, length, gram, hot).withColumnRenamed("rid", "r")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
     types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
 
     def apply(batches):
         for batch in batches:
             out = []
-            for doc_id, text, found in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for doc_id, text, found in zip(*(values(c) for c in batch.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 cuts = merge([(x["s"], x["e"]) for x in found or ()], len(data))
                 at, kept = 0, []
@@ -285,7 +293,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
 
 def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
-    return removed(documents(spark, sf_dir))
+    return removed(documents(spark, sf_dir), stored=True)
 
 
 def by_hand(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, int, str]]:
