@@ -21,11 +21,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from evigraph.llm.common import SPACE, Scratch, documents, whole_text
+from evigraph.llm.common import Scratch, documents, fresh, numbered, whole_text
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
@@ -51,10 +51,11 @@ def water_fill(sizes: list[int], weights: list[float], most: int = MAX_EPOCHS) -
     return target
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, source, size, key): key is the shuffling hash."""
+def sized(docs: DataFrame, rid: Column | None = None) -> DataFrame:
+    """(rid, doc_id, source, size, key): key is the shuffling hash; rid numbers the rows, if it isn't given."""
+    rid = F.monotonically_increasing_id() if rid is None else rid
     words = F.regexp_count(whole_text(), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
+    return docs.select(rid.alias("rid"), "doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"))
 
 
 def source_plan(rows: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_TOKENS) -> list[dict]:
@@ -167,27 +168,30 @@ def taken(rows: DataFrame, plan: list[dict], block: int = BLOCK_TOKENS) -> DataF
     return named.join(sums, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_TOKENS) -> tuple[DataFrame, list[dict]]:
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_TOKENS, rid: Column | None = None) -> tuple[DataFrame, list[dict]]:
     """(taken rows, plan of the sources)."""
-    rows = Scratch(docs.sparkSession, "mix").table(sized(docs), "rows")
+    rows = Scratch(docs.sparkSession, "mix").table(sized(docs, rid), "rows")
     plan = source_plan(rows, weights, most, block)
     if not plan:
         return rows.withColumn("i", F.lit(0)).withColumn("taken", F.lit(0).cast("long")).drop("key"), plan
     return taken(rows, plan, block), plan
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_TOKENS) -> DataFrame:
+def mixed(docs: DataFrame, weights=WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_TOKENS, stored: bool = False) -> DataFrame:
     """The documents (all their columns) as often as the mix takes them, to the nearest whole number; a document that it takes less than half of goes.
 
-    They are sorted by the slots in which the mix begins them.
+    They are sorted by the slots in which the mix begins them.  Rows are numbered once, unless ``stored`` says that they are
+    read straight from files.
     """
-    rows, plan = mix(docs, weights, most, block)
+    rid, starts, start = (fresh(docs, c) for c in ("__rid", "__starts", "__start"))
+    base = numbered(docs, rid, None if stored else Scratch(docs.sparkSession, "mix"))
+    rows, plan = mix(base, weights, most, block, F.col(rid))
     if not plan:
         return docs
     times = F.expr("CAST(floor(taken / size + 0.5) AS INT)")
-    wanted = rows.where("size > 0").select(F.col("rid").alias("__rid"), F.slice("starts", F.lit(1), times).alias("__starts")).where("size(__starts) > 0")
-    again = docs.withColumn("__rid", F.monotonically_increasing_id()).join(wanted, "__rid").withColumn("__start", F.explode("__starts"))
-    return again.sort("__start.slot", "__start.at", "__rid").select(*docs.columns)
+    wanted = rows.where("size > 0").select(F.col("rid").alias(rid), F.slice("starts", F.lit(1), times).alias(starts)).where(F.size(starts) > 0)
+    again = base.join(wanted, rid).withColumn(start, F.explode(starts))
+    return again.sort(f"{start}.slot", f"{start}.at", rid).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import documents, held_out
+from evigraph.llm.common import documents, fresh, held_out, values
 from evigraph.llm.winnowing import _powers
 
 BUCKETS = 1 << 16
@@ -84,11 +84,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FI
     share = F.create_map(*[F.lit(x) for y, n in sorted(counts.items()) for x in (y, min(1.0, max_fit_rows / 2 / n))])
     lot = F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     chosen = usable.where(lot < share[F.col("quality")])  # max_fit_rows rows of two numbers, so the side to broadcast is bounded
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one text an id, so that a repeated id brings no more rows
 
     def run(batches):
         for batch in batches:
-            found = [np.unique(features(t), return_counts=True) for t in batch.column(2).to_pylist()]
+            found = [np.unique(features(t), return_counts=True) for t in values(batch.column(2))]
             arrays = [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *arrays], names=["doc_id", "quality", "bins", "counts"])
 
@@ -152,11 +153,11 @@ def classify(docs: DataFrame, model: dict, keep: list[str] | None = None) -> Dat
 
     def run(batches):
         for batch in batches:
-            scores = pa.array([score(t, shared.value) for t in batch.column(len(keep)).to_pylist()], pa.float64())
+            scores = pa.array([score(t, shared.value) for t in values(batch.column(len(keep)))], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], names=[*keep, "score"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias(fresh(docs, "__text"))).mapInArrow(run, f"{schema}, score double")
 
 
 def op4_quality_classifier(spark, sf_dir) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from evigraph.llm import language_id, line_dedup, mixing, packing, simhash
+from evigraph.llm import language_id, mixing, packing, simhash
 
 import corpus_pipeline
 
@@ -45,7 +45,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
             lines = [(i, p, x) for i in sorted(kept) for p, x in enumerate(kept[i][0].split("\n"))]
             for i, p, x in lines:
                 first.setdefault(x, (i, p))
-            near = {x: [y for y in first if y != x and min(len(x), len(y)) >= line_dedup.MIN_CHARS and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2] for x in first}
+            allowed = lambda n: 2 if n >= 40 else 1 if n >= 12 else -1
+            near = {x: [y for y in first if y != x and abs(len(x) - len(y)) <= 2 and distance(x, y) <= allowed(min(len(x), len(y)))] for x in first}
             for i, p, x in lines:
                 if x.strip() and (first[x] != (i, p) or any(first[y] < first[x] for y in near[x])):
                     continue
@@ -54,10 +55,10 @@ def test_stages_equal_brute_force(spark, tmp_path):
             assert {r["doc_id"]: r["text"] for r in got} == {i: v[0] for i, v in kept.items()} and len(got) == len(kept) < 53
         elif k == 2:
             group = {i: i for i in kept}
-            fp = {i: simhash.fingerprint(v[0]) for i, v in kept.items()}
+            fp = {i: int.from_bytes(simhash.bits(v[0], 5, 4), "big") for i, v in kept.items()}
             for i in fp:
                 for j in fp:
-                    if bin(fp[i] ^ fp[j]).count("1") <= 4:
+                    if bin(fp[i] ^ fp[j]).count("1") <= simhash.near_radius():
                         a, b = group[i], group[j]
                         group = {x: min(a, b) if g in (a, b) else g for x, g in group.items()}
             kept = {i: v for i, v in kept.items() if i in set(group.values())}
