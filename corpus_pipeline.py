@@ -1,7 +1,8 @@
 """A training corpus from the documents table, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet
-in the shared folder and hands the reread table to the next stage.
+in the shared folder and hands the reread table to the next stage.  So docs are read straight from
+files, and their row numbers can be made again (``stored``).
 """
 
 from __future__ import annotations
@@ -19,17 +20,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that occur earlier, up to the edit distance; those with no line left go."""
-    return line_dedup.deduped(docs)
+    return line_dedup.deduped(docs, stored=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (similarity of 0.8 on five-word shingles)."""
+    return simhash.one_of_each(docs, stored=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that the sources meet their target weights."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, stored=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
