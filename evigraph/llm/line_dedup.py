@@ -39,7 +39,7 @@ def lines_of(rows: DataFrame) -> DataFrame:
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """(h1, h2, place, sig, line, copies): each distinct line at its first place (doc_id, pos, rid).  Copies meet before the shuffle."""
     first = lines.groupBy("h1").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "pos", "rid", "h2", F.expr(SIGNATURE).alias("sig"), "line")).alias("f"))
-    return first.select("h1", F.col("f.h2").alias("h2"), F.struct("f.doc_id", "f.pos", "f.rid").alias("place"), F.col("f.sig").alias("sig"), F.col("f.line").alias("line"), "copies")
+    return first.select("h1", F.col("f.h2").alias("h2"), F.struct("f.doc_id", "f.pos", "f.rid").alias("place"), F.col("f.sig").alias("sig"), F.col("f.line").alias("line"), "copies").where("copies > 0")  # always true: so every reader needs the count, and all share one shuffle
 
 
 def meeting_places(edits: int) -> list[tuple[bool, int, int, int]]:
