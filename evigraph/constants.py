@@ -30,7 +30,7 @@ NEIGHBOR_DEPTH, MAX_NEIGHBOR_DEPTH = 1, 3
 PATH_DEPTH, MAX_PATH_DEPTH, PATHS, MAX_PATHS = 4, 6, 3, 10
 MAX_NODES, MAX_EDGES = 500, 1000
 PAGE, MAX_PAGE = 20, 100
-MAX_QUOTE = 1000
+MAX_QUOTE, MAX_SNIPPET = 1000, 400
 CHUNK_TARGET, CHUNK_MAX, CHUNK_OVERLAP = 700, 1000, 100
 RETRY_STATUS, MAX_RETRIES = (408, 429), 2
 
@@ -38,4 +38,5 @@ RETRY_STATUS, MAX_RETRIES = (408, 429), 2
 BM25_K1, BM25_B, BM25_FLOOR = 1.2, 0.75, 1e-6
 DUPLICATE_SIMILARITY, RESOLUTION_MARGIN = 0.92, 0.05
 REPAIR_WINDOW = 200
+MAX_QUERY, MAX_BUNDLE = 4000, 500
 EVIDENCE_ORDER = {"supported": 0, "uncertain": 1, "conflicting": 2, "unreviewed": 3}

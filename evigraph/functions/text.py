@@ -110,10 +110,60 @@ def html_text(c) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
-def backoff(base: float, attempt, cap: float) -> Column:
-    return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(cap))
+def backoff(base: float, attempt, cap: float, jitter=None) -> Column:
+    """Seconds to wait after an attempt (from 0): doubling up to the cap; ``jitter`` (0 to 1) takes up to half of it off."""
+    full = F.least(F.lit(base) * F.pow(F.lit(2.0), attempt), F.lit(cap))
+    return full if jitter is None else full * (F.lit(1.0) - jitter / 2)
 
 
 def cursor(*parts) -> Column:
     """Opaque page cursor."""
     return F.base64(F.to_json(F.struct(*parts)).cast("binary"))
+
+
+def cursor_parts(c, schema: str) -> Column:
+    """struct of a cursor's parts; null if it is no cursor."""
+    return F.from_json(F.try_to_binary(c, F.lit("base64")).cast("string"), schema)
+
+
+def timestamp(c) -> Column:
+    """A time in UTC of its RFC 3339 form; null if it isn't one."""
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(c))
+
+
+def rfc3339(c) -> Column:
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def valid_at(at, since, until) -> Column:
+    """Whether a time lies in [since, until); an open end is null."""
+    return (since.isNull() | (at >= since)) & (until.isNull() | (at < until))
+
+
+MAX_PATTERN = 200
+
+
+def pattern_error(pattern: str) -> str | None:
+    """Why a user's pattern is not run: too long, not valid, or a repeated group that repeats inside."""
+    import re
+
+    if len(pattern) > MAX_PATTERN:
+        return "too_long"
+    try:
+        re.compile(pattern)
+    except re.error:
+        return "invalid"
+    return "nested_repeat" if re.search(r"\((?:[^()\\]|\\.)*[*+}](?:[^()\\]|\\.)*\)[*+{]", pattern) else None
+
+
+# Fixed value: the digits of an id.
+ID_DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def id_time(c) -> Column:
+    """The time in an id: its first ten digits (base 32) are milliseconds."""
+    digit = lambda i: (F.instr(F.lit(ID_DIGITS), F.substring(F.split_part(c, F.lit("_"), F.lit(2)), i, 1)) - 1).cast("long")
+    millis = F.lit(0).cast("long")
+    for i in range(1, 11):
+        millis = millis * 32 + digit(i)
+    return F.when(id_valid(c), F.timestamp_millis(millis))

@@ -34,33 +34,49 @@ def validity(v, dimensions: int) -> Column:
     return F.when(v.isNull(), "missing").when(F.size(v) != dimensions, "dimensions").when(~finite(v), "not_finite").when(~nonzero(v), "zero")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", block: int = 1024) -> DataFrame:
+QUERY_BLOCK = 2048  # queries that are compared together
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(qid, id, score, rank): exact nearest neighbours of each query (qid, qv) among vectors (id, v).
 
-    Both sides are cut into blocks of bounded size; each pair of blocks is one
-    matrix product that keeps the best k of each query, so no pair of rows leaves it.
+    Queries go to all tasks in blocks of ``QUERY_BLOCK``; vectors are read in place, without a shuffle, and each batch of
+    them is one matrix product with the block, of which only the best k of a query (and ties) leave the task.
     A query is not its own neighbour.  Scores are rounded to six digits, ties go to the lower id.
     """
-    pack = lambda df, i, v, name, n: df.select(F.col(i).alias("i"), F.col(v).alias("v")).groupBy(F.floor(F.monotonically_increasing_id() / n).alias(name)).agg(F.collect_list(F.struct("i", "v")).alias(f"rows_{name}"))  # noqa: E731  at most n rows
-    pairs = pack(queries, "qid", "qv", "q", 256).crossJoin(pack(vectors, "id", "v", "b", block)).select("rows_q", "rows_b")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    near = None
+    for i in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        part = _knn_block(vectors, some, k, metric)
+        near = part if near is None else near.unionByName(part)
+    order = F.desc("score") if metric == "cosine" else F.asc("score")
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(order, "id")).cast("long")).where(F.col("rank") <= k)
+
+
+def _knn_block(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    rows = queries.select(F.col("qid").cast("long").alias("qid"), "qv").collect()
+    schema = "qid long, id long, score double"
+    if not rows:
+        return vectors.sparkSession.createDataFrame([], schema)
+    shared = vectors.sparkSession.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.qv for r in rows], np.float64)))
 
     def run(batches):
+        qi, q = shared.value
         for batch in batches:
-            for rows_q, rows_b in zip(batch.column(0), batch.column(1), strict=True):
-                qi, ids = (r.values.field("i").to_numpy() for r in (rows_q, rows_b))
-                q, b = (np.stack([np.asarray(x, np.float64) for x in r.values.field("v").to_pylist()]) for r in (rows_q, rows_b))
-                if metric == "cosine":
-                    s = (q @ b.T) / np.sqrt(np.outer((q * q).sum(1), (b * b).sum(1)))
-                else:
-                    s = -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * q @ b.T, 0))
-                s = np.round(s, 6)
-                s[qi[:, None] == ids[None, :]] = -np.inf
-                best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, : min(k, len(ids))]
-                row = np.repeat(np.arange(len(qi)), best.shape[1])
-                got = s[row, best.ravel()]
-                ok = np.isfinite(got)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[row][ok]), pa.array(ids[best.ravel()][ok]), pa.array(np.abs(got[ok]) if metric == "l2" else got[ok])], names=["qid", "id", "score"])
-
-    near = pairs.mapInArrow(run, "qid long, id long, score double")
-    order = F.desc("score") if metric == "cosine" else F.asc("score")
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(order, "id")).cast("long")).where(F.col("rank") <= k)
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            b = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
+            if metric == "cosine":
+                s = (b @ q.T) / np.sqrt(np.outer((b * b).sum(1), (q * q).sum(1)))
+            else:
+                s = -np.sqrt(np.maximum((b * b).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * b @ q.T, 0))
+            s = np.round(s, 6)
+            s[ids[:, None] == qi[None, :]] = -np.inf
+            least = np.partition(s, -k, axis=0)[-k] if len(s) > k else -np.inf
+            row, col = np.nonzero((s >= least) & np.isfinite(s))
+            got = s[row, col]
+            yield pa.RecordBatch.from_arrays([pa.array(qi[col]), pa.array(ids[row]), pa.array(np.abs(got) if metric == "l2" else got)], names=["qid", "id", "score"])
+
+    return vectors.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, schema)

@@ -6,14 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from evigraph.constants import RESOLUTION_MARGIN
+from evigraph.constants import DUPLICATE_SIMILARITY, RESOLUTION_MARGIN
 from evigraph.functions import text as T
+from evigraph.functions import vector as V
 
 
 def dedup_claims(claims: DataFrame) -> DataFrame:
-    """Active claims by (subject, normalized hash): the least id stays, evidence is gathered as a count and a digest."""
-    hashed = claims.withColumn("normalized_hash", T.normalized_hash(F.col("statement")))
-    return hashed.groupBy("subject", "normalized_hash").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.countDistinct("evidence_id").alias("n_evidence"))
+    """Active claims by (subject, normalized hash): the least id stays, with the evidence of all copies in order."""
+    hashed = claims.where("lifecycle_status = 'active'").withColumn("normalized_hash", T.normalized_hash(F.col("statement")))
+    evidence = hashed.select("subject", "normalized_hash", "evidence_id").where("evidence_id IS NOT NULL").distinct()
+    gathered = evidence.groupBy("subject", "normalized_hash").agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))  # the evidence of one claim
+    merged = hashed.groupBy("subject", "normalized_hash").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    return merged.join(gathered, ["subject", "normalized_hash"], "left").withColumn("evidence_ids", F.coalesce("evidence_ids", F.array().cast("array<string>")))
+
+
+def semantic_hash(assertions: DataFrame, *meaning: str) -> DataFrame:
+    """Adds semantic_hash: of the named columns (a statement or endpoints, qualifiers as a map, statuses) and of evidence_ids in order; not of times, paths or layout."""
+    kinds = dict(assertions.dtypes)
+    canonical = lambda c: T.canonical_map(F.col(c)) if kinds[c].startswith("map") else F.col(c).cast("string")
+    part = lambda x: F.coalesce(x, F.lit("\x1e"))
+    bound = F.array_join(F.array_sort(F.array_distinct("evidence_ids")), ",")
+    return assertions.withColumn("semantic_hash", F.sha2(F.concat_ws("\x1f", *[part(canonical(c)) for c in meaning], part(bound)), 256))
+
+
+def possible_duplicates(new: DataFrame, known: DataFrame, similarity: float = DUPLICATE_SIMILARITY, k: int = 10) -> DataFrame:
+    """(id, other, score): the ``k`` nearest known claims (subject, id, v) of each new one (id, subject, v) that have its subject and at least the similarity.
+
+    Every subject is searched on its own, exactly and in blocks; nothing is merged.
+    """
+    subjects = [r.subject for r in new.select("subject").distinct().collect()]  # of the claims under review
+    out = None
+    for subject in subjects:
+        mine = lambda df: df.where(F.col("subject").eqNullSafe(F.lit(subject)))  # noqa: E731, B023
+        near = V.knn(mine(known).select("id", "v"), mine(new).select(F.col("id").alias("qid"), F.col("v").alias("qv")), k)
+        part = near.where(F.col("score") >= similarity).select(F.col("qid").alias("id"), F.col("id").alias("other"), "score")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else new.sparkSession.createDataFrame([], "id long, other long, score double")
 
 
 def conflicts(claims: DataFrame) -> DataFrame:
@@ -24,17 +52,27 @@ def conflicts(claims: DataFrame) -> DataFrame:
 
 
 def merge_relations(relations: DataFrame) -> DataFrame:
+    """Relations of the same ends, predicate and qualifiers (a map is taken in canonical form) as one."""
+    if dict(relations.dtypes)["qualifiers"].startswith("map"):
+        relations = relations.withColumn("qualifiers", T.canonical_map(F.col("qualifiers")))
     return relations.groupBy("source", "predicate", "target", "qualifiers").agg(F.min("id").alias("id"), F.count("*").alias("merged"), F.countDistinct("evidence_id").alias("n_evidence"))
 
 
 def resolve_mentions(mentions: DataFrame, names: DataFrame) -> DataFrame:
     """Adds outcome and target to mentions (surface): one node by name or alias (names: name, node_id) is a mention, none unresolved, several ambiguous."""
-    known = names.groupBy(T.normalize_name(F.col("name")).alias("k")).agg(F.countDistinct("node_id").alias("n"), F.min("node_id").alias("node"))
+    node = "node" if "node" in names.columns else "node_id"
+    known = names.groupBy(T.normalize_name(F.col("name")).alias("k")).agg(F.countDistinct(node).alias("n"), F.min(node).alias("node"))
     joined = mentions.join(known, T.normalize_name(F.col("surface")) == F.col("k"), "left")
     outcome = F.when(F.col("n").isNull(), "unresolved").when(F.col("n") == 1, "mentions").otherwise("ambiguous")
     return joined.withColumn("outcome", outcome).withColumn("target", F.when(F.col("n") == 1, F.col("node"))).drop("k", "n", "node")
 
 
+def link_mentions(bodies: DataFrame, names: DataFrame) -> DataFrame:
+    """(node_id, surface, outcome, target) of the [[links]] in the bodies (node_id, body), each once a body."""
+    links = bodies.select("node_id", F.explode(F.array_distinct(T.node_links(F.col("body")))).alias("surface"))
+    return resolve_mentions(links, names.select("name", F.col("node_id").alias("node"))).select("node_id", "surface", "outcome", "target")
+
+
 def resolve_entities(mentions: DataFrame, channels: list[DataFrame], margin: float = RESOLUTION_MARGIN) -> DataFrame:
     """(mention_id, decision, target): candidates (mention_id, node_id, score) by falling priority.
 
@@ -52,10 +90,18 @@ def resolve_entities(mentions: DataFrame, channels: list[DataFrame], margin: flo
     return mentions.select("mention_id").join(decided, "mention_id", "left").select("mention_id", F.coalesce("d", F.lit("new")).alias("decision"), "target")
 
 
-def review_summary(items: DataFrame) -> DataFrame:
-    """Decisions per proposal; strict mode lets it apply only when nothing is pending."""
+def review_summary(items: DataFrame, mode: str = "strict") -> DataFrame:
+    """Decisions per proposal.
+
+    Strict mode lets it apply only when nothing is pending; relaxed mode applies what is accepted,
+    if anything is.  Items marked invalid can't be accepted and count as rejected.
+    """
+    if mode not in ("strict", "relaxed"):
+        raise ValueError(f"mode must be strict or relaxed, not {mode}")
+    if "valid" in items.columns:
+        items = items.withColumn("decision", F.when(F.col("valid"), F.col("decision")).otherwise("rejected"))
     count = lambda d: F.count_if(F.col("decision") == d).alias(d)
-    return items.groupBy("proposal_id").agg(count("pending"), count("accepted"), count("rejected")).withColumn("may_apply", F.col("pending") == 0)
+    return items.groupBy("proposal_id").agg(count("pending"), count("accepted"), count("rejected")).withColumn("may_apply", F.col("pending") == 0 if mode == "strict" else F.col("accepted") > 0)
 
 
 def stale_proposals(proposals: DataFrame, targets: DataFrame, generation: int) -> DataFrame:

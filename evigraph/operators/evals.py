@@ -21,3 +21,9 @@ def classification(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
     p, t = F.col(predicted), F.col(truth)
     n = lambda c: F.count_if(c)
     return rows.agg(F.count("*").alias("n"), F.round(n(p & t) / n(p), 6).alias("precision"), F.round(n(p & t) / n(t), 6).alias("recall"), F.round(n(p == t) / F.count("*"), 6).alias("accuracy"), F.every(p == t).alias("all_right"))
+
+
+def validity_gate(verified: DataFrame, *by: str) -> DataFrame:
+    """Counts of evidence (status) that is valid, and passes: the gate asks for all of it."""
+    ok = F.col("status").isin("exact", "repaired")
+    return verified.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(ok).alias("valid"), F.every(ok).alias("passes"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from evigraph.constants import MAX_QUOTE, REPAIR_WINDOW
+from evigraph.constants import MAX_BUNDLE, MAX_QUOTE, REPAIR_WINDOW
 from evigraph.functions import text as T
+from evigraph.functions.scratch import Scratch
 
 _KEY = 4
 
@@ -16,20 +16,33 @@ _KEY = 4
 def locate(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     """(quote_id, text_id, char_start): every text that holds a quote, with its first place (from 0).
 
-    Quotes of six words or more meet texts by a hash of four of their inner words, so no
-    quote is compared with every text; shorter ones are few and searched for directly.
+    No quote is compared with every text.  They meet by a hash of words that stand inside the quote (its first and
+    last may be parts of words): four of them, or as many as it has; quotes of one or two words meet by
+    their first characters, up to three.
     """
     split = lambda c: F.array_remove(F.split(c, r"[\x20\x09-\x0D]+", -1), "")
     q = quotes.select("quote_id", "quote", split("quote").alias("w")).where(F.length("quote").between(1, MAX_QUOTE))
-    keyed = q.where(F.size("w") >= _KEY + 2).select("quote_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, _KEY), " ")).alias("key"))
+    inner = F.least(F.size("w") - 2, F.lit(_KEY))
+    words = F.array_join(F.slice("w", 2, F.greatest(inner, F.lit(1))), " ")
+    keyed = q.select("quote_id", F.when(inner > 0, inner).otherwise(-F.least(F.length("quote"), F.lit(3))).alias("kind"), F.when(inner > 0, words).otherwise(F.substring("quote", 1, 3)).alias("k"))
+    keyed = keyed.select("quote_id", "kind", F.xxhash64("k").alias("key"))
+    kinds = [r.kind for r in keyed.select("kind").distinct().collect()]  # -3 to 4
     t = texts.select("text_id", "text", split("text").alias("w"))
-    windows = F.when(F.size("w") >= _KEY, F.transform(F.sequence(F.lit(1), F.size("w") - (_KEY - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(_KEY)), " "))))
-    meets = t.select("text_id", F.explode(F.array_distinct(windows)).alias("key")).join(keyed.select("quote_id", "key"), "key").select("quote_id", "text_id").distinct()
-    at = (F.instr("text", F.col("quote")) - 1).cast("long")
-    found = meets.join(q.select("quote_id", "quote"), "quote_id").join(texts.select("text_id", "text"), "text_id").select("quote_id", "text_id", at.alias("char_start"))
-    short = q.where(F.size("w") < _KEY + 2).select("quote_id", "quote")
-    direct = texts.select("text_id", "text").join(short, F.contains(F.col("text"), F.col("quote"))).select("quote_id", "text_id", at.alias("char_start"))
-    return found.where("char_start >= 0").unionByName(direct)
+    at = lambda n: F.sequence(F.lit(1), n)
+    meets = None
+    for kind in kinds:
+        if kind > 0:
+            windows = F.when(F.size("w") >= kind, F.transform(at(F.size("w") - (kind - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(kind)), " "))))  # noqa: B023
+        else:
+            windows = F.when(F.length("text") >= -kind, F.transform(at(F.length("text") + (kind + 1)), lambda i: F.xxhash64(F.substring("text", i, F.lit(-kind)))))  # noqa: B023
+        keys = t.select("text_id", F.explode(F.array_distinct(windows)).alias("key"))
+        part = keys.join(keyed.where(F.col("kind") == kind).select("quote_id", "key"), "key").select("quote_id", "text_id")
+        meets = part if meets is None else meets.unionByName(part)
+    place = (F.instr("text", F.col("quote")) - 1).cast("long")
+    if meets is None:
+        return texts.crossJoin(q.limit(0)).select("quote_id", "text_id", place.alias("char_start"))  # no quotes
+    found = meets.distinct().join(q.select("quote_id", "quote"), "quote_id").join(texts.select("text_id", "text"), "text_id")
+    return found.select("quote_id", "text_id", place.alias("char_start")).where("char_start >= 0")
 
 
 def verify(claims: DataFrame, window: int = REPAIR_WINDOW) -> DataFrame:
@@ -46,6 +59,18 @@ def verify(claims: DataFrame, window: int = REPAIR_WINDOW) -> DataFrame:
     return claims.withColumn("status", status).withColumn("repaired_start", F.when(F.col("status") == "exact", F.col("char_start")).when(F.col("status") == "repaired", around + F.instr(near, F.col("quote")) - 1))
 
 
+def quality_gate(pages: DataFrame, least_visible: int = 20, broken: float = 0.05, blank: float = 0.5) -> DataFrame:
+    """(revision, pages, blank, needs_ocr): why the extracted pages (revision, text) can't be used as they are, or null.
+
+    Few visible characters a page, many replacement characters, or mostly blank pages.
+    """
+    visible = F.length(F.regexp_replace("text", r"\s", ""))
+    lost = F.length("text") - F.length(F.replace("text", F.lit("\ufffd"), F.lit("")))
+    sums = pages.groupBy("revision").agg(F.count("*").alias("pages"), F.count_if(visible == 0).alias("blank"), F.sum(visible).alias("visible"), F.sum(lost).alias("lost"))
+    reason = F.when(F.col("visible") < least_visible * F.col("pages"), "few_visible_characters").when(F.col("lost") > broken * F.col("visible"), "replacement_characters").when(F.col("blank") > blank * F.col("pages"), "blank_pages")
+    return sums.select("revision", "pages", "blank", reason.alias("needs_ocr"))
+
+
 def merge_spans(spans: DataFrame) -> DataFrame:
     """Overlapping spans (revision, s, e) of one revision as islands (revision, s, e, n)."""
     w = W.partitionBy("revision").orderBy("s", "e")
@@ -70,17 +95,53 @@ def budget_prefix(items: DataFrame, budget: int) -> DataFrame:
 
 
 def budget_greedy(items: DataFrame, budget: int) -> DataFrame:
-    """(qid, unit_id, tokens, taken): by rank, skipping what does not fit and going on.  A bundle has at most 100 items a query."""
+    """(qid, unit_id, tokens, taken): by rank, skipping what does not fit and going on.
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, taken = budget, []
-        pdf = pdf.sort_values(["rank", "unit_id"])
-        for n in pdf["tokens"]:
-            taken.append(n <= left)
-            left -= n if taken[-1] else 0
-        return pdf.assign(taken=taken)[["qid", "unit_id", "tokens", "taken"]]
-
-    return items.select("qid", "unit_id", "rank", "tokens").groupBy("qid").applyInPandas(fill, "qid long, unit_id string, tokens long, taken boolean")
+    An aggregation over each query's items in order; ranks above ``MAX_BUNDLE`` are refused, so that a bundle stays small.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "unit_id", "tokens")))
+    none = F.array().cast("array<struct<unit_id:string,tokens:bigint,taken:boolean>>")
+    fits = lambda s, x: x["tokens"] <= s["left"]
+    step = lambda s, x: F.struct((s["left"] - F.when(fits(s, x), x["tokens"]).otherwise(0)).alias("left"), F.concat(s["out"], F.array(F.struct(x["unit_id"], x["tokens"].alias("tokens"), fits(s, x).alias("taken")))).alias("out"))
+    start = F.struct(F.lit(budget).cast("long").alias("left"), none.alias("out"))
+    some = items.select("qid", "unit_id", F.when(F.col("rank") > MAX_BUNDLE, F.raise_error(F.lit(f"a bundle has at most {MAX_BUNDLE} items"))).otherwise(F.col("rank")).alias("rank"), F.col("tokens").cast("long").alias("tokens"))
+    filled = some.groupBy("qid").agg(F.aggregate(ordered, start, step, lambda s: s["out"]).alias("x"))
+    return filled.select("qid", F.explode("x").alias("x")).select("qid", "x.unit_id", "x.tokens", "x.taken")
+
+
+def bundle_places(hits: DataFrame, size: int = 20, share: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(placed, repeated, unavailable) for ranked evidence, written once.
+
+    hits (qid, unit_id, rank, source, revision, s, e, tokens, available, side): side is null or names a side of a conflict.
+    Only available hits go on; the best of each conflict side comes first; a hit whose span lies in that of a better one of
+    the same revision repeats it; a source fills at most its share of the bundle while others are left.
+    """
+    hits = Scratch(hits.sparkSession, "bundle").table(hits, "hits")
+    usable = hits.where("available")
+    sides = usable.where("side IS NOT NULL").withColumn("i", F.row_number().over(W.partitionBy("qid", "side").orderBy("rank", "unit_id"))).where("i = 1").select("qid", "unit_id", F.lit(0).alias("first"))
+    a, b = usable.alias("a"), usable.alias("b")
+    inside = (F.col("a.qid") == F.col("b.qid")) & (F.col("a.revision") == F.col("b.revision")) & (F.col("a.s") >= F.col("b.s")) & (F.col("a.e") <= F.col("b.e")) & (F.col("b.rank") < F.col("a.rank"))
+    repeated = a.join(b, inside, "left_semi").select("qid", "unit_id").join(sides.select("qid", "unit_id"), ["qid", "unit_id"], "left_anti")
+    fresh = usable.join(repeated, ["qid", "unit_id"], "left_anti").join(sides, ["qid", "unit_id"], "left").withColumn("first", F.coalesce("first", F.lit(1)))
+    per = F.row_number().over(W.partitionBy("qid", "source").orderBy("first", "rank", "unit_id"))
+    shared = fresh.withColumn("late", (F.col("first") == 1) & (per > max(1, int(share * size))))
+    placed = shared.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy("first", "late", "rank", "unit_id")).cast("long"))
+    return placed, repeated, hits.where("NOT available").select("qid", "unit_id")
+
+
+def bundle(hits: DataFrame, size: int = 20, share: float = 0.5, budget: int = 4000) -> tuple[DataFrame, DataFrame]:
+    """(bundle, omissions): ``bundle_places``, of which whole quotes are taken in order as long as they fit the budget.
+
+    The bundle has (qid, unit_id, position, tokens); the omissions have (qid, unit_id, reason): unavailable, repeated, size or budget.
+    """
+    placed, repeated, unavailable = bundle_places(hits, size, share)
+    chosen = placed.where(F.col("place") <= size).select("qid", "unit_id", F.col("place").alias("rank"), "tokens")
+    filled = budget_greedy(chosen, budget)
+    taken = filled.where("taken").join(chosen.select("qid", "unit_id", "rank"), ["qid", "unit_id"])
+    out = taken.select("qid", "unit_id", F.row_number().over(W.partitionBy("qid").orderBy("rank")).cast("long").alias("position"), "tokens")
+    reason = lambda df, why: df.select("qid", "unit_id", F.lit(why).alias("reason"))
+    left = reason(unavailable, "unavailable").unionByName(reason(repeated, "repeated")).unionByName(reason(placed.where(F.col("place") > size), "size")).unionByName(reason(filled.where("NOT taken"), "budget"))
+    return out, left
 
 
 def conflict_sides(members: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from evigraph.constants import EVIDENCE_ORDER, MAX_EDGES, MAX_NODES
+from evigraph.constants import EVIDENCE_ORDER, MAX_EDGES, MAX_NEIGHBOR_DEPTH, MAX_NODES, MAX_PATH_DEPTH, MAX_PATHS
+from evigraph.functions.scratch import Scratch
 
 
 def oriented(edges: DataFrame, direction: str = "outgoing") -> DataFrame:
@@ -26,24 +27,58 @@ def with_inverse(edges: DataFrame, predicates: DataFrame) -> DataFrame:
     return edges.select("src", "predicate", "dst", F.lit(False).alias("derived")).unionByName(derived.select(F.col("dst").alias("src"), F.col("inverse").alias("predicate"), F.col("src").alias("dst"), F.lit(True).alias("derived")))
 
 
-def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1, direction: str = "both", allow: list[str] | None = None, deny: list[str] | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
-    """(root, node, depth, truncated): breadth-first, each node at its least depth, cut after max_nodes by (depth, node)."""
+def with_mentions(edges: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(src, predicate, dst, kind) of the relations and of the weak edges from pages to what they mention (node_id, outcome, target), each once."""
+    weak = mentions.where("outcome = 'mentions'").select(F.col("node_id").alias("src"), F.lit("mentions").alias("predicate"), F.col("target").alias("dst")).distinct()
+    return edges.select("src", "predicate", "dst").distinct().withColumn("kind", F.lit("relation")).unionByName(weak.withColumn("kind", F.lit("mention")))
+
+
+def allowed(edges: DataFrame, allow: list[str] | None = None, deny: list[str] | None = None) -> DataFrame:
+    """The edges whose predicate may be walked."""
     if allow is not None:
         edges = edges.where(F.col("predicate").isin(allow))
-    if deny:
-        edges = edges.where(~F.col("predicate").isin(deny))
-    steps = oriented(edges, direction).select("a", "b").distinct()
-    seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    return edges.where(~F.col("predicate").isin(deny)) if deny else edges
+
+
+def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1, direction: str = "both", allow: list[str] | None = None, deny: list[str] | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
+    """(root, node, depth, truncated): breadth-first, each node at its least depth, cut after max_nodes by (depth, node).
+
+    Each frontier is a table.  A hop reads the edges once and keeps at most max_nodes + 1 new nodes of
+    a root; a root that holds more than max_nodes is not expanded any further, since what lies
+    deeper comes later in the order.
+    """
+    if not 0 <= depth <= MAX_NEIGHBOR_DEPTH:
+        raise ValueError(f"depth must be 0 to {MAX_NEIGHBOR_DEPTH}")
+    steps, scratch = oriented(allowed(edges, allow, deny), direction).select("a", "b"), Scratch(edges.sparkSession, "neighbors")
+    seen = scratch.table(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "0")
     frontier = seen
     for d in range(1, depth + 1):
         reached = frontier.join(steps, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
-        frontier = reached.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(frontier)
+        fresh = reached.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        best = fresh.withColumn("i", F.row_number().over(W.partitionBy("root").orderBy("node"))).where(F.col("i") <= max_nodes + 1)
+        layer = scratch.table(best.select("root", "node", F.lit(d).alias("depth")), str(d))
+        seen = seen.unionByName(layer)
+        open_ = seen.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= max_nodes).select("root")
+        frontier = layer.join(open_, "root", "left_semi")
     w = W.partitionBy("root")
     placed = seen.withColumn("i", F.row_number().over(w.orderBy("depth", "node"))).withColumn("truncated", F.count("*").over(w) > max_nodes)
     return placed.where(F.col("i") <= max_nodes).select("root", "node", F.col("depth").cast("long").alias("depth"), "truncated")
 
 
+def neighborhood(edges: DataFrame, roots: DataFrame, depth: int = 1, direction: str = "both", allow: list[str] | None = None, deny: list[str] | None = None, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (as ``neighbors``), edges (group = root, src, predicate, dst) among them, and per root the counts with the limits and the reason of a cut."""
+    usable, scratch = allowed(edges, allow, deny), Scratch(edges.sparkSession, "neighborhood")
+    nodes = scratch.table(neighbors(usable, roots, depth, direction, max_nodes=max_nodes), "nodes")
+    inside = scratch.table(subgraph(usable, nodes.select(F.col("root").alias("group"), "node"), max_edges + 1), "edges")
+    counts = inside.groupBy(F.col("group").alias("root")).agg(F.count("*").alias("n"))
+    told = nodes.groupBy("root").agg(F.count("*").alias("n_nodes"), F.bool_or("truncated").alias("cut")).join(counts, "root", "left")
+    n_edges = F.least(F.coalesce("n", F.lit(0)), F.lit(max_edges)).cast("long")
+    reason = F.when(F.col("cut"), "max_nodes").when(F.col("n") > max_edges, "max_edges")
+    summary = told.select("root", "n_nodes", n_edges.alias("n_edges"), (F.col("cut") | (F.coalesce("n", F.lit(0)) > max_edges)).alias("truncated"), reason.alias("reason"), F.lit(max_nodes).alias("max_nodes"), F.lit(max_edges).alias("max_edges"))
+    w = W.partitionBy("group").orderBy("src", "predicate", "dst")
+    return nodes, inside.withColumn("i", F.row_number().over(w)).where(F.col("i") <= max_edges).drop("i"), summary
+
+
 def subgraph(edges: DataFrame, nodes: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """Edges with both ends among the nodes of a group (group, node), cut by (src, predicate, dst)."""
     left = nodes.select("group", F.col("node").alias("src"))
@@ -54,23 +89,49 @@ def subgraph(edges: DataFrame, nodes: DataFrame, max_edges: int = MAX_EDGES) ->
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 4, paths: int = 3, direction: str = "ignore") -> DataFrame:
-    """(source, target, length, nodes, rank): paths of the least length only, no node twice.
+    """(source, target, length, nodes, predicates, rank): paths of the least length only, no node twice.
 
-    Ties go by the evidence status of the edges, then predicates, then node ids.
+    Walks start from both ends and meet in the middle.  A side keeps only walks that reach a
+    node at its least depth (the parts of a shortest path are shortest), each layer is a table, and a pair leaves
+    both sides once it is found.  Ties go by the evidence status of the edges, then predicates, then node ids.
     """
-    order = F.create_map(*[F.lit(x) for kv in EVIDENCE_ORDER.items() for x in kv])
-    steps = oriented(edges, "both" if direction == "ignore" else "outgoing").select("a", "b", "predicate", order[F.col("evidence_status")].alias("status")).distinct()
-    walks = pairs.select("source", "target", F.col("source").alias("at"), F.array("source").alias("nodes"), F.array().cast("array<int>").alias("statuses"), F.array().cast("array<string>").alias("predicates"))
-    found = None
-    for d in range(1, depth + 1):
-        walks = walks.join(steps, F.col("at") == F.col("a")).where(~F.array_contains("nodes", F.col("b")))
-        walks = walks.select("source", "target", F.col("b").alias("at"), F.concat("nodes", F.array("b")).alias("nodes"), F.concat("statuses", F.array("status")).alias("statuses"), F.concat("predicates", F.array("predicate")).alias("predicates"))
-        done = walks.where("at = target").withColumn("length", F.lit(d).cast("long"))
-        found = done if found is None else found.unionByName(done)
-        walks = walks.where("at <> target")
-    w = W.partitionBy("source", "target")
-    least = found.withColumn("least", F.min("length").over(w)).where("length = least")
-    return least.withColumn("rank", F.row_number().over(w.orderBy("statuses", "predicates", "nodes")).cast("long")).where(F.col("rank") <= paths).select("source", "target", "length", "nodes", "predicates", "rank")
+    if not 1 <= depth <= MAX_PATH_DEPTH or not 1 <= paths <= MAX_PATHS:
+        raise ValueError(f"depth must be 1 to {MAX_PATH_DEPTH}, paths 1 to {MAX_PATHS}")
+    order, scratch = F.create_map(*[F.lit(x) for kv in EVIDENCE_ORDER.items() for x in kv]), Scratch(edges.sparkSession, "paths")
+    way = "both" if direction == "ignore" else "outgoing"
+    ahead = oriented(edges, way).select("a", "b", "predicate", order[F.col("evidence_status")].alias("status"))
+    behind = ahead.select(F.col("b").alias("a"), F.col("a").alias("b"), "predicate", "status")
+    key = ["source", "target"]
+    start = lambda end: scratch.table(pairs.select(*key).where("source <> target").distinct().select(*key, F.col(end).alias("at"), F.array(end).alias("nodes"), F.array().cast("array<int>").alias("statuses"), F.array().cast("array<string>").alias("predicates")), f"{end}0")
+    sides = {"source": [start("source")], "target": [start("target")]}
+    found = []
+
+    def grow(end: str) -> None:
+        layers, steps = sides[end], ahead if end == "source" else behind
+        add = (lambda old, new: F.concat(old, F.array(new))) if end == "source" else (lambda old, new: F.concat(F.array(new), old))
+        seen = layers[0].select(*key, "at")
+        for layer in layers[1:]:
+            seen = seen.unionByName(layer.select(*key, "at"))
+        open_ = layers[-1]
+        for x in found:
+            open_ = open_.join(x.select(*key).distinct(), key, "left_anti")
+        walks = open_.join(steps, F.col("at") == F.col("a")).select(*key, F.col("b").alias("at"), add("nodes", "b").alias("nodes"), add("statuses", "status").alias("statuses"), add("predicates", "predicate").alias("predicates"))
+        layers.append(scratch.table(walks.distinct().join(seen.distinct(), [*key, "at"], "left_anti"), f"{end}{len(layers)}"))
+
+    for length in range(1, depth + 1):
+        grow("source" if length % 2 else "target")
+        left, right = sides["source"][(length + 1) // 2], sides["target"][length // 2]
+        right = right.select(*key, "at", F.slice("nodes", F.lit(2), F.size("nodes")).alias("rest"), F.col("statuses").alias("s"), F.col("predicates").alias("p"))
+        met = left.join(right, [*key, "at"])
+        for x in found:
+            met = met.join(x.select(*key).distinct(), key, "left_anti")
+        met = met.select(*key, F.lit(length).cast("long").alias("length"), F.concat("nodes", "rest").alias("nodes"), F.concat("statuses", "s").alias("statuses"), F.concat("predicates", "p").alias("predicates"))
+        w = W.partitionBy(*key).orderBy("statuses", "predicates", "nodes")
+        found.append(scratch.table(met.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= paths), f"found{length}"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.select("source", "target", "length", "nodes", "predicates", "rank")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -78,15 +139,39 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").cast("long").alias("out_degree"), F.sum("i").cast("long").alias("in_degree"), F.count("*").alias("degree"))
 
 
-def cyclic(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """Nodes (node) on or behind a cycle: what is left after nodes without a successor are taken away again and again."""
-    left = edges.select("src", "dst").distinct()
-    n = left.count()
-    for _ in range(rounds):
-        left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+def cyclic(edges: DataFrame) -> DataFrame:
+    """Nodes (node) on or behind a cycle.
+
+    Each round is a table: edges to nodes without a successor go, and a node whose only successor has an
+    only successor itself is linked to that one, which leads to a cycle exactly if the node does.  A chain
+    thus takes as many rounds as its length has binary digits, and the loop ends when nothing goes any more.
+    """
+    scratch = Scratch(edges.sparkSession, "cycles")
+    first = scratch.table(edges.select("src", "dst").distinct(), "0")
+    left, n, i = first, first.count(), 0
+    while n:
+        i += 1
+        kept = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        only = kept.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to")).where("n = 1")
+        own, after = only.select(F.col("src").alias("own")), only.select(F.col("src").alias("after"), "to")
+        jumped = kept.join(own, F.col("src") == F.col("own"), "left").join(after, F.col("dst") == F.col("after"), "left")
+        left = scratch.table(jumped.select("src", F.when(F.col("own").isNotNull() & F.col("after").isNotNull(), F.col("to")).otherwise(F.col("dst")).alias("dst")), str(i))
         was, n = n, left.count()
+        if i > 1:
+            scratch.drop(str(i - 1))
         if n == was:
             break
-    else:
-        raise RuntimeError(f"cycles did not settle in {rounds} rounds")
     return left.select(F.col("src").alias("node")).distinct()
+
+
+def chain(links: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
+    """(start, step, id): each id in starts and what it descends from, by (id, parent_id); raises if a chain is longer than ``most`` or runs in a circle."""
+    scratch = Scratch(links.sparkSession, "chain")
+    now = scratch.table(starts.select(F.col("id").alias("start"), F.lit(0).cast("long").alias("step"), "id"), "0")
+    out, parents = now, links.where("parent_id IS NOT NULL").select(F.col("id").alias("child"), "parent_id")
+    for i in range(1, most + 2):
+        now = scratch.table(now.join(parents, F.col("id") == F.col("child")).select("start", F.lit(i).cast("long").alias("step"), F.col("parent_id").alias("id")), str(i))
+        if now.isEmpty():
+            return out
+        out = out.unionByName(now)
+    raise RuntimeError(f"a chain has more than {most} steps")

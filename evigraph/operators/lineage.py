@@ -18,6 +18,22 @@ def freshness(claims: DataFrame, heads: DataFrame) -> DataFrame:
     return joined.withColumn("reasons", F.when(known, reasons).otherwise(F.array().cast("array<string>"))).withColumn("freshness", F.when(~known, "unknown").when(F.size("reasons") > 0, "needs_review").otherwise("current")).drop("head", "removed")
 
 
+def dependency_freshness(items: DataFrame, dependencies: DataFrame, current: DataFrame, sources: DataFrame, heads: DataFrame) -> DataFrame:
+    """(id, freshness, reasons) of items (id, has_snapshot), for instance syntheses.
+
+    dependencies (id, dependency_id, recorded_hash) against current (dependency_id, semantic_hash);
+    sources (id, source_id, revision_id) against heads (source_id, head, removed).  Without a snapshot the freshness is unknown.
+    """
+    changed = dependencies.join(current, "dependency_id", "left").where(~F.col("recorded_hash").eqNullSafe(F.col("semantic_hash"))).select("id", F.lit("dependency_changed").alias("reason"))
+    against = sources.join(heads, "source_id", "left")
+    behind = against.where(F.col("head") != F.col("revision_id")).select("id", F.lit("source_revision_behind").alias("reason"))
+    removed = against.where(F.coalesce("removed", F.lit(True))).select("id", F.lit("source_removed").alias("reason"))
+    reasons = changed.unionByName(behind).unionByName(removed).distinct().groupBy("id").agg(F.array_sort(F.collect_list("reason")).alias("reasons"))  # three at most
+    none = F.array().cast("array<string>")
+    joined = items.join(reasons, "id", "left")
+    return joined.select("id", F.when(~F.col("has_snapshot"), "unknown").when(F.col("reasons").isNotNull(), "needs_review").otherwise("current").alias("freshness"), F.when(F.col("has_snapshot"), F.coalesce("reasons", none)).otherwise(none).alias("reasons"))
+
+
 def impact(evidence: DataFrame, assertions: DataFrame, syntheses: DataFrame) -> DataFrame:
     """(source_id, kind, id): everything that rests on a source, once, however it is reached.
 

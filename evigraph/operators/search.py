@@ -2,55 +2,127 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from evigraph.constants import BM25_B, BM25_FLOOR, BM25_K1, BOOST_ALIAS, BOOST_CAP, BOOST_NAME, BOOST_PREFIX, CANDIDATES, CHANNEL_WEIGHTS, RRF_K
+from evigraph.constants import BM25_B, BM25_FLOOR, BM25_K1, BOOST_ALIAS, BOOST_CAP, BOOST_NAME, BOOST_PREFIX, CANDIDATES, CHANNEL_WEIGHTS, MAX_CANDIDATES, MAX_PAGE, MAX_QUERY, MAX_SNIPPET, RRF_K
 from evigraph.functions import text as T
+from evigraph.functions.scratch import Scratch
+
+QUERY_BLOCK = 512  # queries that are scored together
 
 
 def rank_candidates(hits: DataFrame, n: int = CANDIDATES, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
-    """Ranks from 1 by rounded score, ties by unit_id; filters belong before this."""
+    """Ranks from 1 by rounded score, ties by unit_id; filters belong before this.  A unit that comes twice keeps its best score."""
+    if not 1 <= n <= MAX_CANDIDATES:
+        raise ValueError(f"candidates must be 1 to {MAX_CANDIDATES}")
+    best = hits.groupBy(*keys, "unit_id").agg(F.max("score").alias("score"))
     w = W.partitionBy(*keys).orderBy(F.desc("score"), "unit_id")
-    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
+    return best.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
-def bm25(units: DataFrame, queries: DataFrame, tokens, text: str = "body", where: Column | None = None) -> DataFrame:
-    """(qid, unit_id, score) of all units that share a term with a query.
+def bm25(units: DataFrame, queries: DataFrame, tokens, text: str = "body", where: Column | None = None, n: int = CANDIDATES) -> DataFrame:
+    """(qid, unit_id, score) of the units that share a term with a query; at least the best ``n`` of each query, ties included.
 
-    Statistics cover the whole index; ``where`` only restricts the hits.  Only terms
-    of the queries are counted, so postings are cut before the first shuffle.
+    Statistics cover the whole index; ``where`` only restricts the hits.  Queries are scored in
+    blocks of ``QUERY_BLOCK``: the terms of a block (each question is at most ``MAX_QUERY`` characters) go to all
+    tasks, each unit is read once and keeps only the terms that the block asks for, with how often it has them.  These
+    postings are a table; from it come document frequencies, and the scores of a batch of units as one
+    product of its weights with the terms of the queries, of which only the best leave the task.
+    Terms are told apart by 64-bit hashes.
     """
-    terms_of = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    indexed = units.select("unit_id", tokens(F.col(text)).alias("terms"), (where if where is not None else F.lit(True)).alias("hit"))
-    sized = indexed.withColumn("n", F.size("terms"))
-    stats = sized.agg(F.count("*").alias("units"), F.avg("n").alias("mean"))
-    posting = sized.select("unit_id", "n", "hit", F.explode("terms").alias("term")).join(terms_of.select("term").distinct(), "term", "left_semi")
-    tf = posting.groupBy("term", "unit_id", "n", "hit").agg(F.count("*").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("d"))
-    idf = F.greatest(F.log((F.col("units") - F.col("d") + 0.5) / (F.col("d") + 0.5)), F.lit(BM25_FLOOR))
-    gain = idf * F.col("f") * (BM25_K1 + 1) / (F.col("f") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("n") / F.col("mean")))
-    weighed = tf.where("hit").join(df, "term").crossJoin(F.broadcast(stats)).select("term", "unit_id", gain.alias("w"))  # one row of statistics
-    return weighed.join(terms_of, "term").groupBy("qid", "unit_id").agg(F.round(F.sum("w"), 6).alias("score"))
-
-
-def fuse(channels: dict[str, DataFrame], weights: dict[str, float] = CHANNEL_WEIGHTS, k: int = RRF_K, executed: tuple[str, ...] | None = None) -> DataFrame:
-    """(qid, unit_id, raw, bound, normalized, ranks) from ranked channels.
+    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
+    scratch, out = Scratch(units.sparkSession, "bm25"), None
+    for i in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        part = _bm25_block(units, some, tokens, text, where, n, scratch, f"postings{i}")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _hashes(tokens, text: Column) -> Column:
+    return F.transform(tokens(text), lambda x: F.xxhash64(x))
+
+
+def _bm25_block(units: DataFrame, queries: DataFrame, tokens, text: str, where: Column | None, n: int, scratch: Scratch, name: str) -> DataFrame:
+    spark = units.sparkSession
+    asked = [(r.qid, np.unique(np.array(r.terms, np.int64))) for r in queries.select("qid", _hashes(tokens, F.substring("query", 1, MAX_QUERY)).alias("terms")).collect()]
+    terms = np.unique(np.concatenate([t for _, t in asked])) if asked else np.empty(0, np.int64)
+    if not len(terms):
+        return spark.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, unit_id string, score double")
+    shared = spark.sparkContext.broadcast(terms)
+
+    def match(batches):
+        known = shared.value
+        for batch in batches:
+            found = []
+            for value in batch.column(2):
+                h = value.values.to_numpy()
+                at = np.searchsorted(known, h)
+                at[at == len(known)] = 0
+                found.append((len(h), *np.unique(at[known[at] == h], return_counts=True)))
+            lists = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.int64()), *lists], names=["unit_id", "hit", "n", "terms", "f"])
+
+    indexed = units.select("unit_id", (where if where is not None else F.lit(True)).alias("hit"), _hashes(tokens, F.col(text)).alias("h"))
+    postings = scratch.table(indexed.mapInArrow(match, "unit_id string, hit boolean, n long, terms array<int>, f array<int>"), name)
+    count, mean = postings.agg(F.count("*"), F.avg("n")).first()
+    df = np.zeros(len(terms))
+    for r in postings.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row a term of the block
+        df[r["t"]] = r["count"]
+    idf = np.maximum(np.log((count - df + 0.5) / (df + 0.5)), BM25_FLOOR)
+    wants = np.zeros((len(terms), len(asked)))
+    for k, (_, t) in enumerate(asked):
+        wants[np.searchsorted(terms, t), k] = 1.0
+    qids = [q for q, _ in asked]
+    model = spark.sparkContext.broadcast((idf, wants, qids))
+
+    def score(batches):
+        idf, wants, qids = model.value
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                weights = np.zeros((part.num_rows, len(idf)))
+                for k, (size, t, f) in enumerate(zip(part.column(1).to_pylist(), part.column(2), part.column(3), strict=True)):
+                    t, f = t.values.to_numpy(), f.values.to_numpy()
+                    weights[k, t] = idf[t] * f * (BM25_K1 + 1) / (f + BM25_K1 * (1 - BM25_B + BM25_B * size / mean))
+                s = np.round(weights @ wants, 6)
+                least = np.partition(s, -n, axis=0)[-n] if len(s) > n else 0.0
+                row, q = np.nonzero((s >= least) & (s > 0))
+                yield pa.RecordBatch.from_arrays([pa.array([qids[k] for k in q]), part.column(0).take(pa.array(row)), pa.array(s[row, q])], names=["qid", "unit_id", "score"])
+
+    return postings.where("hit AND size(terms) > 0").select("unit_id", "n", "terms", "f").mapInArrow(score, f"qid {dict(queries.dtypes)['qid']}, unit_id string, score double")
+
+
+def fuse(channels: dict[str, DataFrame], weights: dict[str, float] = CHANNEL_WEIGHTS, k: int = RRF_K, executed: tuple[str, ...] | None = None, able: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(qid, unit_id, raw, bound, normalized, ranks, degraded) from ranked channels.
 
     ``executed`` names the channels that ran, hits or not; a failed or disabled
-    one must not be listed.  Without any there is no result.
+    one must not be listed.  Without any there is no result.  ``able`` has, for a channel that not every
+    query can use, the queries (qid) that can; for the others it counts as not executed, and
+    ``degraded`` names it.
     """
-    executed = executed if executed is not None else tuple(channels)
+    executed, able = executed if executed is not None else tuple(channels), able or {}
     parts = [df.select("qid", "unit_id", F.lit(name).alias("channel"), "rank", F.lit(weights[name]).alias("weight")) for name, df in channels.items() if name in executed]
-    bound = sum(weights[name] / (k + 1) for name in executed)
-    if not parts or not bound:
+    fixed = sum(weights[name] / (k + 1) for name in executed if name not in able)
+    if not parts or not (fixed or able):
         raise ValueError("no channel ran")
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
     fused = union.groupBy("qid", "unit_id").agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("raw"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("channel", "rank")))).alias("ranks"))
-    return fused.withColumn("bound", F.lit(bound)).withColumn("normalized", F.round(F.col("raw") / bound, 6)).withColumn("raw", F.round("raw", 6))
+    bound, missing = F.lit(float(fixed)), []
+    for name in (c for c in executed if c in able):
+        fused = fused.join(able[name].select("qid", F.lit(True).alias(f"able_{name}")).distinct(), "qid", "left")
+        bound = bound + F.when(F.col(f"able_{name}"), weights[name] / (k + 1)).otherwise(0.0)
+        missing.append(F.when(F.col(f"able_{name}").isNull(), name))
+    fused = fused.withColumn("bound", bound).withColumn("degraded", F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>"))
+    return fused.where("bound > 0").withColumn("normalized", F.round(F.col("raw") / F.col("bound"), 6)).withColumn("raw", F.round("raw", 6)).drop(*[f"able_{c}" for c in able])
 
 
 def boost(name: Column, alias: Column, prefix: Column) -> Column:
@@ -82,18 +154,41 @@ def final_order(ranked: DataFrame, score: str = "final") -> DataFrame:
 
 def after_cursor(ranked: DataFrame, cursors: DataFrame, size: int, score: str = "final") -> DataFrame:
     """The page after (last_score, last_id) of each query; keyset, no offset."""
+    if not 1 <= size <= MAX_PAGE:
+        raise ValueError(f"a page has 1 to {MAX_PAGE} records")
     rest = ranked.join(cursors, "qid").where((F.col(score) < F.col("last_score")) | ((F.col(score) == F.col("last_score")) & (F.col("unit_id") > F.col("last_id"))))
     w = W.partitionBy("qid").orderBy(F.desc(score), "unit_id")
     return rest.withColumn("position", F.row_number().over(w).cast("long")).where(F.col("position") <= size).drop("last_score", "last_id")
 
 
 def short_match(units: DataFrame, queries: DataFrame) -> DataFrame:
-    """Exact title or substring of the title for queries of at most two characters."""
-    short = queries.where(F.length("query") <= 2).select("qid", F.lower("query").alias("q"))
-    hit = F.contains(F.lower("title"), F.col("q"))
-    return units.select("unit_id", "title").join(short, hit).select("qid", "unit_id", (F.lower("title") == F.col("q")).alias("exact"))
+    """Exact title or substring of the title for queries of at most two characters, which meet titles by their characters or pairs."""
+    short = queries.where(F.length("query").between(1, 2)).select("qid", F.lower("query").alias("q"))
+    title = F.lower("title")
+    pieces = F.transform(F.sequence(F.lit(1), F.length(title)), lambda i: F.array(F.substring(title, i, F.lit(1)), F.substring(title, i, F.lit(2))))
+    keyed = units.where(F.length("title") > 0).select("unit_id", title.alias("t"), F.explode(F.array_distinct(F.flatten(pieces))).alias("q"))
+    return keyed.join(short, "q").select("qid", "unit_id", (F.col("t") == F.col("q")).alias("exact"))
+
+
+def resolve_query(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """(qid, normalized, resolved): the query in its normal form, and the nodes (names: name, node_id) of that name in order."""
+    known = names.select(T.normalize_name(F.col("name")).alias("normalized"), "node_id").distinct().groupBy("normalized").agg(F.array_sort(F.collect_list("node_id")).alias("resolved"))  # nodes of one name
+    asked = queries.select("qid", T.normalize_name(F.col("query")).alias("normalized"))
+    return asked.join(known, "normalized", "left").select("qid", "normalized", F.coalesce("resolved", F.array().cast("array<string>")).alias("resolved"))
+
+
+def fingerprint(query: Column, filters: Column, generation: Column) -> Column:
+    """What a page cursor is good for: a query, its filters and the generation of the index."""
+    return F.sha2(F.concat_ws("\x1f", T.normalize_name(query), filters, generation.cast("string")), 256)
+
+
+def cursor_state(cursors: DataFrame, generation: int) -> DataFrame:
+    """Adds state to cursors (query_fingerprint, given_fingerprint, given_generation): ok, CURSOR_STALE (older index) or CURSOR_QUERY_MISMATCH."""
+    other = F.col("query_fingerprint") != F.col("given_fingerprint")
+    return cursors.withColumn("state", F.when(F.col("given_generation") != generation, "CURSOR_STALE").when(other, "CURSOR_QUERY_MISMATCH").otherwise("ok"))
 
 
-def snippet(body, term, around: int = 40) -> Column:
+def snippet(body, term, around: int = 40, most: int = MAX_SNIPPET) -> Column:
+    """The first place of the term with what stands around it, cut at ``most`` characters."""
     at = F.instr(F.lower(body), F.lower(term))
-    return F.when(at > 0, F.substring(body, F.greatest(at - around, F.lit(1)), F.length(term) + 2 * around))
+    return F.when(at > 0, F.substring(body, F.greatest(at - around, F.lit(1)), F.least(F.length(term) + 2 * around, F.lit(most))))

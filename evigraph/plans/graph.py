@@ -10,7 +10,9 @@ from evigraph.plans.registry import Tables, query
 _ID = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
 
 
-def edges(t: Tables):
+def edges(t: Tables, distinct: bool = True):
+    """The typed relations; traversals need no distinct rows and read them as they are."""
+
     def e(df, src, predicate, dst, status=None):
         return df.select(src.alias("src"), F.lit(predicate).alias("predicate"), dst.alias("dst"), F.lit(predicate != "related_to").alias("directed"), (status if status is not None else F.lit("supported")).alias("evidence_status"))
 
@@ -26,7 +28,7 @@ def edges(t: Tables):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.distinct()
+    return out.distinct() if distinct else out
 
 
 _E = """e AS (SELECT DISTINCT * FROM (
@@ -66,17 +68,17 @@ def _bfs(depth: int) -> str:
 
 @query("graph_neighbors_1", "WITH " + _E.format(where="true") + _bfs(1))
 def _(t):
-    return graph.neighbors(edges(t), roots(t), 1)
+    return graph.neighbors(edges(t, False), roots(t), 1)
 
 
 @query("graph_neighbors_2_capped", "WITH " + _E.format(where="true") + _bfs(2))
 def _(t):
-    return graph.neighbors(edges(t), roots(t), 2)
+    return graph.neighbors(edges(t, False), roots(t), 2)
 
 
 @query("graph_neighbors_denied", "WITH " + _E.format(where="predicate <> 'placed_by'") + _bfs(2))
 def _(t):
-    return graph.neighbors(edges(t), roots(t), 2, deny=["placed_by"])
+    return graph.neighbors(edges(t, False), roots(t), 2, deny=["placed_by"])
 
 
 _PATHS = "WITH " + _E.format(where="predicate IN ('located_in', 'part_of')") + """, p AS (SELECT 'customer:' || c_custkey AS source, 'supplier:' || (c_custkey % (SELECT count(*) FROM supplier)) AS target FROM customer WHERE c_custkey % 50 = 0),
@@ -91,10 +93,55 @@ SELECT source, target, CAST(length AS BIGINT) AS length, array_to_string(nodes,
 def _(t):
     n = t.supplier.count()
     pairs = t.customer.where("c_custkey % 50 = 0").select(_ID("customer", "c_custkey").alias("source"), F.concat(F.lit("supplier:"), (F.col("c_custkey") % n).cast("string")).alias("target"))
-    found = graph.shortest_paths(edges(t).where(F.col("predicate").isin("located_in", "part_of")), pairs)
+    found = graph.shortest_paths(edges(t, False).where(F.col("predicate").isin("located_in", "part_of")), pairs)
     return found.select("source", "target", "length", F.array_join("nodes", " ").alias("path"), "rank")
 
 
+@query("graph_neighbors_allowed", "WITH " + _E.format(where="predicate IN ('placed_by', 'contains')") + _bfs(2))
+def _(t):
+    return graph.neighbors(edges(t, False), roots(t), 2, allow=["placed_by", "contains"])
+
+
+@query("graph_neighborhood_edges", "WITH " + _E.format(where="true") + _bfs(1).replace("SELECT root, node, CAST", ", k AS (SELECT root, node, CAST").rstrip() + """),
+x AS (SELECT DISTINCT a.root, e.src, e.predicate, e.dst FROM e JOIN k AS a ON a.node = e.src JOIN k AS b ON b.node = e.dst AND b.root = a.root)
+SELECT root, src, predicate, dst FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY src, predicate, dst) AS i FROM x) WHERE i <= 1000""")
+def _(t):
+    _, inside, _ = graph.neighborhood(edges(t, False), roots(t), 1)
+    return inside.select(F.col("group").alias("root"), "src", "predicate", "dst")
+
+
+@query("graph_neighborhood_limits", "WITH " + _E.format(where="true") + _bfs(2).replace("SELECT root, node, CAST", ", k AS (SELECT root, node, CAST").rstrip() + """),
+x AS (SELECT DISTINCT a.root, e.src, e.predicate, e.dst FROM e JOIN k AS a ON a.node = e.src JOIN k AS b ON b.node = e.dst AND b.root = a.root),
+c AS (SELECT root, count(*) AS n FROM x GROUP BY root), m AS (SELECT root, count(*) AS n_nodes, bool_or(truncated) AS cut FROM k GROUP BY root)
+SELECT root, n_nodes, least(coalesce(n, 0), 1000) AS n_edges, cut OR coalesce(n, 0) > 1000 AS truncated, CASE WHEN cut THEN 'max_nodes' WHEN n > 1000 THEN 'max_edges' END AS reason FROM m LEFT JOIN c USING (root)""")
+def _(t):
+    return graph.neighborhood(edges(t, False), roots(t), 2)[2].select("root", "n_nodes", "n_edges", "truncated", "reason")
+
+
+_SHORTEST = "WITH " + _E.format(where="true") + """, p AS (SELECT 'customer:' || c_custkey AS source, 'part:' || (c_custkey % (SELECT count(*) FROM part)) AS target FROM customer WHERE c_custkey % 50 = 0),
+st AS (SELECT src AS a, dst AS b, predicate, CASE st WHEN 'supported' THEN 0 WHEN 'uncertain' THEN 1 ELSE 2 END AS s FROM e UNION SELECT dst, src, predicate, CASE st WHEN 'supported' THEN 0 WHEN 'uncertain' THEN 1 ELSE 2 END FROM e),
+w0 AS (SELECT source, target, source AS here, [source] AS nodes, []::VARCHAR[] AS predicates, []::INTEGER[] AS sts FROM p), """ + ", ".join(
+    f"w{d} AS MATERIALIZED (SELECT source, target, b AS here, list_append(nodes, b) AS nodes, list_append(predicates, predicate) AS predicates, list_append(sts, s) AS sts FROM w{d - 1} JOIN st ON a = here WHERE NOT list_contains(nodes, b) AND here <> target)" for d in range(1, 4)
+) + ", f AS (" + " UNION ALL ".join(f"SELECT source, target, {d} AS length, nodes, predicates, sts FROM w{d} WHERE here = target" for d in range(1, 4)) + """), g AS (SELECT *, min(length) OVER (PARTITION BY source, target) AS least FROM f)
+SELECT source, target, CAST(length AS BIGINT) AS length, array_to_string(nodes, ' ') AS path, row_number() OVER (PARTITION BY source, target ORDER BY sts, predicates, nodes) AS rank FROM g WHERE length = least QUALIFY rank <= 3"""
+
+
+@query("graph_shortest_paths", _SHORTEST)
+def _(t):
+    n = t.part.count()
+    pairs = t.customer.where("c_custkey % 50 = 0").select(_ID("customer", "c_custkey").alias("source"), F.concat(F.lit("part:"), (F.col("c_custkey") % n).cast("string")).alias("target"))
+    return graph.shortest_paths(edges(t, False), pairs, 3).select("source", "target", "length", F.array_join("nodes", " ").alias("path"), "rank")
+
+
+@query("run_parent_chain", "WITH RECURSIVE r AS (SELECT event_id AS id, lag(event_id) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS parent_id FROM events), c AS (SELECT id AS start, 0::BIGINT AS step, id FROM r WHERE id % 50 = 0 UNION ALL SELECT c.start, c.step + 1, r.parent_id FROM c JOIN r ON r.id = c.id WHERE r.parent_id IS NOT NULL) SELECT start, step, id FROM c")
+def _(t):
+    from pyspark.sql.window import Window as W
+
+    before = F.lag("event_id").over(W.partitionBy("user_id", F.to_date("ts")).orderBy("ts", "event_id"))
+    runs = t.events.select(F.col("event_id").alias("id"), before.alias("parent_id"))
+    return graph.chain(runs, runs.where("id % 50 = 0"))
+
+
 @query("graph_subgraph", "WITH " + _E.format(where="true") + """, g AS (SELECT 'region:' || n_regionkey AS grp, 'nation:' || n_nationkey AS node FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'region:' || r_regionkey FROM region UNION ALL SELECT 'region:' || n_regionkey, 'customer:' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
 z AS (SELECT a.grp AS "group", e.src, e.predicate, e.dst, row_number() OVER (PARTITION BY a.grp ORDER BY src, predicate, dst) AS i FROM (SELECT DISTINCT src, predicate, dst FROM e) AS e JOIN g AS a ON a.node = e.src JOIN g AS b ON b.node = e.dst AND a.grp = b.grp) SELECT "group", src, predicate, dst FROM z WHERE i <= 1000""")
 def _(t):

@@ -66,7 +66,8 @@ def _(t):
     return evidence.budget_prefix(hits(t), 4000).select("qid", "unit_id", "running", "fits")
 
 
-@query("bundle_greedy")
+@query("bundle_greedy", f"""WITH RECURSIVE {_HITS}, g AS (SELECT qid, 0::BIGINT AS rank, 4000::BIGINT AS free, NULL::VARCHAR AS unit_id, 0::BIGINT AS tokens, false AS taken FROM (SELECT DISTINCT qid FROM h) UNION ALL
+SELECT h.qid, h.rank, CASE WHEN h.tokens <= g.free THEN g.free - h.tokens ELSE g.free END, h.unit_id, CAST(h.tokens AS BIGINT), h.tokens <= g.free FROM g JOIN h ON h.qid = g.qid AND h.rank = g.rank + 1 WHERE h.rank <= 100) SELECT qid, unit_id, tokens, taken FROM g WHERE rank > 0""")
 def _(t):
     return evidence.budget_greedy(hits(t).where("rank <= 100"), 4000)
 
@@ -91,9 +92,11 @@ def _(t):
     return t.conversations.select("conv_id", "turn", F.explode(T.citations(body)).alias("evidence_id"))
 
 
-@query("claims_dedup", f"SELECT source AS subject, sha256({_NORM.format(x='string_split(text, chr(10))[1]')}) AS normalized_hash, min(doc_id) AS id, count(*) AS copies, count(DISTINCT doc_id) AS n_evidence FROM documents GROUP BY 1, 2")
+@query("claims_dedup", f"SELECT source AS subject, sha256({_NORM.format(x='text')}) AS normalized_hash, min(doc_id) AS id, count(*) AS copies, string_agg(DISTINCT CAST(doc_id // 3 AS VARCHAR), ',' ORDER BY CAST(doc_id // 3 AS VARCHAR)) AS evidence FROM documents WHERE lang <> 'es' GROUP BY 1, 2")
 def _(t):
-    return curate.dedup_claims(t.documents.select(F.col("source").alias("subject"), F.element_at(F.split("text", "\n", -1), 1).alias("statement"), F.col("doc_id").alias("id"), F.col("doc_id").alias("evidence_id")))
+    claims = t.documents.select(F.col("source").alias("subject"), F.col("text").alias("statement"), F.col("doc_id").alias("id"), F.expr("doc_id DIV 3").cast("string").alias("evidence_id"), F.when(F.col("lang") == "es", "retracted").otherwise("active").alias("lifecycle_status"))
+    found = curate.dedup_claims(claims)
+    return found.select("subject", "normalized_hash", "id", "copies", F.array_join("evidence_ids", ",").alias("evidence"))
 
 
 @query("claims_conflicts", "SELECT a.o_custkey AS subject, a.o_orderpriority AS qualifier, a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey < b.o_orderkey AND a.o_orderstatus <> b.o_orderstatus")
@@ -109,12 +112,33 @@ def _(t):
     return curate.resolve_mentions(m, names).select("id", F.trim("surface").alias("surface"), "outcome", "target")
 
 
-@query("entity_resolution", "WITH c AS (SELECT p_partkey AS m, min('brand:' || p_brand) AS a, max('brand:' || p_brand) AS b, p_size FROM part GROUP BY p_partkey, p_size) SELECT m AS mention_id, CASE WHEN p_size % 3 = 0 THEN 'existing' WHEN p_size % 3 = 1 THEN 'ambiguous' ELSE 'new' END AS decision, CASE WHEN p_size % 3 = 0 THEN a END AS target FROM c")
+_SURFACE = """WITH n AS (SELECT 'part:' || p_partkey AS node, lower(p_name) AS name, p_brand || ' ' || p_size AS alias FROM part),
+m AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 7 AS kind, CASE l_partkey % 7 WHEN 0 THEN 'part:' || l_partkey WHEN 1 THEN 'no such name ' || l_partkey ELSE '' END AS given, p_name, p_brand || ' ' || p_size AS a FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1),
+c AS (SELECT m.id, n.node, 1.0::DOUBLE AS score, 0 AS priority FROM m JOIN n ON n.node = given
+      UNION ALL SELECT m.id, n.node, 0.95::DOUBLE, 1 FROM m JOIN n ON n.name = lower(p_name) WHERE kind IN (2, 3)
+      UNION ALL SELECT m.id, n.node, 0.9::DOUBLE, 2 FROM m JOIN n ON n.alias = a WHERE kind IN (4, 5, 6)),
+b AS (SELECT id, node, max(score) AS score, priority FROM c GROUP BY id, node, priority QUALIFY priority = min(priority) OVER (PARTITION BY id)),
+r AS (SELECT id, count(*) AS k, min(node) AS node, max(score) AS s1 FROM b GROUP BY id)"""
+
+
+def _candidates(t):
+    part = t.part.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("node_id"), F.lower("p_name").alias("name"), F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("alias"))
+    m = t.lineitem.where("l_linenumber = 1").join(t.part, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("mention_id"), (F.col("l_partkey") % 7).alias("kind"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("given"), F.lower("p_name").alias("surface"), F.concat_ws(" ", "p_brand", F.col("p_size").cast("string")).alias("other"))
+    hit = lambda where, on, score: m.where(where).join(part, on).select("mention_id", "node_id", F.lit(score).alias("score"))
+    return m, [hit("kind = 0", F.col("given") == F.col("node_id"), 1.0), hit("kind IN (2, 3)", F.col("surface") == F.col("name"), 0.95), hit("kind IN (4, 5, 6)", F.col("other") == F.col("alias"), 0.9)]
+
+
+@query("entity_resolution", _SURFACE + " SELECT m.id AS mention_id, CASE WHEN k IS NULL THEN 'new' WHEN k > 1 THEN 'ambiguous' ELSE 'existing' END AS decision, CASE WHEN k = 1 THEN node END AS target FROM m LEFT JOIN r USING (id)")
+def _(t):
+    mentions, channels = _candidates(t)
+    return curate.resolve_entities(mentions, channels)
+
+
+@query("entity_margin", "WITH s AS (SELECT doc_id AS id, lang || source AS node, length(text) % 100 / 100.0::DOUBLE AS score FROM documents), n AS (SELECT s.id, a.node, s.score * a.w AS score FROM s JOIN (SELECT 'x' AS node, 1.0::DOUBLE AS w UNION ALL SELECT 'y', 0.9::DOUBLE) AS a ON true) SELECT id AS mention_id, CASE WHEN round(max(score) - min(score), 9) < 0.05 THEN 'ambiguous' ELSE 'existing' END AS decision, CASE WHEN round(max(score) - min(score), 9) < 0.05 THEN NULL ELSE 'x' END AS target FROM n GROUP BY id")
 def _(t):
-    p = t.part.withColumn("r", F.col("p_size") % 3)
-    exact = p.where("r = 0").select(F.col("p_partkey").alias("mention_id"), F.concat(F.lit("brand:"), F.col("p_brand")).alias("node_id"), F.lit(1.0).alias("score"))
-    close = p.where("r < 2").select(F.col("p_partkey").alias("mention_id"), F.explode(F.array(F.struct(F.lit("x:1").alias("n"), F.lit(0.90).alias("s")), F.struct(F.lit("x:2").alias("n"), F.lit(0.88).alias("s")))).alias("c")).select("mention_id", F.col("c.n").alias("node_id"), F.col("c.s").alias("score"))
-    return curate.resolve_entities(p.select(F.col("p_partkey").alias("mention_id")), [exact, close])
+    score = (F.length("text") % 100) / 100
+    both = t.documents.select(F.col("doc_id").alias("mention_id"), F.explode(F.array(F.struct(F.lit("x").alias("n"), score.alias("s")), F.struct(F.lit("y").alias("n"), (score * 0.9).alias("s")))).alias("c"))
+    return curate.resolve_entities(t.documents.select(F.col("doc_id").alias("mention_id")), [both.select("mention_id", F.col("c.n").alias("node_id"), F.col("c.s").alias("score"))])
 
 
 @query("proposal_review_summary", "WITH i AS (SELECT l_orderkey AS p, CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'rejected' ELSE 'pending' END AS d FROM lineitem) SELECT p AS proposal_id, count(*) FILTER (WHERE d = 'pending') AS pending, count(*) FILTER (WHERE d = 'accepted') AS accepted, count(*) FILTER (WHERE d = 'rejected') AS rejected, count(*) FILTER (WHERE d = 'pending') = 0 AS may_apply FROM i GROUP BY p")
@@ -201,10 +225,11 @@ def _(t):
     return checks.snapshot(t.documents, "documents", "doc_id", "lang", "text")
 
 
-@query("rebuild_equality", "SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
+@query("rebuild_equality", "WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents), b AS (SELECT doc_id, sha256(CASE WHEN toxic = 1 THEN text || '!' ELSE text END) AS h FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality, 1) = 1) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS missing, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS extra")
 def _(t):
-    d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
-    return checks.differences(d, d.repartition("h"))
+    built = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
+    again = t.documents.join(t.labels, "doc_id", "left").where("coalesce(quality, 1) = 1").select("doc_id", F.sha2(F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
+    return checks.differences(built, again)
 
 
 @query("doctor", "SELECT 'orders_customer' AS \"check\", (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) = 0 AS ok, false AS optional, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS violations UNION ALL SELECT 'unlabelled', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) = 0, true, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))")
@@ -274,9 +299,15 @@ def _(t):
     return t.pages.select("page_id", F.sha2(T.html_text(F.col("html")), 256).alias("text_sha256"))
 
 
-@query("url_policy", r"SELECT page_id, regexp_matches(url, '^https?://') AS allowed FROM pages")
+_HOSTS = ["example.org", "localhost", "127.0.0.1:8080", "10.1.2.3", "192.168.0.9", "172.16.4.4", "172.32.4.4", "169.254.0.1", "user:pw@example.org", "[::1]", "0.0.0.0"]
+
+
+@query("url_policy", f"SELECT page_id, page_id % {len(_HOSTS)} IN (0, 6) AND page_id % 3 <> 2 AS allowed FROM pages")
 def _(t):
-    return t.pages.select("page_id", T.url_allowed(F.col("url")).alias("allowed"))
+    host = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % len(_HOSTS) + 1).cast("int"))
+    scheme = F.element_at(F.array(F.lit("https"), F.lit("http"), F.lit("ftp")), (F.col("page_id") % 3 + 1).cast("int"))
+    path = F.regexp_extract("url", r"^[a-z]+://[^/]+(.*)$", 1)
+    return t.pages.select("page_id", T.url_allowed(F.concat(scheme, F.lit("://"), host, path)).alias("allowed"))
 
 
 @query("text_paragraphs", r"WITH p AS (SELECT page_id, regexp_split_to_array(html, '\n\s*\n') AS ps FROM pages) SELECT page_id, unnest(range(0, len(ps))) AS pos, sha256(unnest(ps)) AS h FROM p")
@@ -284,10 +315,14 @@ def _(t):
     return t.pages.select("page_id", F.posexplode(F.split("html", r"\n\s*\n", -1)).alias("pos", "p")).select("page_id", F.col("pos").cast("long").alias("pos"), F.sha2("p", 256).alias("h"))
 
 
-@query("quality_gate", "SELECT source, count(*) AS n, round(sum(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g'))) / sum(length(text)), 6) AS odd, avg(CASE WHEN length(text) < 50 THEN 1.0 ELSE 0.0 END) > 0.5 AS needs_ocr FROM documents GROUP BY source")
+@query("quality_gate", r"""WITH p AS (SELECT doc_id, unnest(range(0, CAST(ceil(length(text) / 600) AS BIGINT))) AS page, CASE WHEN doc_id % 9 = 0 THEN '' WHEN doc_id % 7 = 0 THEN replace(text, 'e', chr(65533)) ELSE text END AS t FROM documents WHERE length(text) > 0),
+q AS (SELECT doc_id, substr(t, CAST(page * 600 + 1 AS BIGINT), 600) AS s FROM p),
+g AS (SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE NOT regexp_matches(s, '\S')) AS blank, sum(length(regexp_replace(s, '\s', '', 'g'))) AS visible, sum(length(s) - length(replace(s, chr(65533), ''))) AS broken FROM q GROUP BY doc_id)
+SELECT doc_id, pages, blank, CASE WHEN visible < 20 * pages THEN 'few_visible_characters' WHEN broken > 0.05 * visible THEN 'replacement_characters' WHEN 2 * blank > pages THEN 'blank_pages' END AS needs_ocr FROM g""")
 def _(t):
-    odd = F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>]", ""))
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum(odd) / F.sum(F.length("text")), 6).alias("odd"), (F.avg(F.when(F.length("text") < 50, 1.0).otherwise(0.0)) > 0.5).alias("needs_ocr"))
+    text = F.when(F.col("doc_id") % 9 == 0, "").when(F.col("doc_id") % 7 == 0, F.replace("text", F.lit("e"), F.lit("\ufffd"))).otherwise(F.col("text"))
+    pages = t.documents.where(F.length("text") > 0).select("doc_id", text.alias("t"), F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / 600).cast("int") - 1)).alias("page"))
+    return evidence.quality_gate(pages.select(F.col("doc_id").alias("revision"), F.substring("t", F.col("page") * 600 + 1, F.lit(600)).alias("text"))).select(F.col("revision").alias("doc_id"), "pages", "blank", "needs_ocr")
 
 
 @query("chunk_windows", r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents), i AS (SELECT doc_id, ws, unnest(range(0, greatest(1, CAST(ceil((len(ws) - 100) / 600) AS BIGINT)))) AS ordinal FROM w), c AS (SELECT doc_id, ordinal, array_to_string(ws[ordinal * 600 + 1:ordinal * 600 + 700], ' ') AS text FROM i) SELECT doc_id, ordinal, 'chk_' || upper(substr(sha256(doc_id || '|' || ordinal || '|' || sha256(text)), 1, 26)) AS chunk_id FROM c")
@@ -298,9 +333,10 @@ def _(t):
     return c.select("doc_id", "ordinal", F.concat(F.lit("chk_"), F.upper(F.substring(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("ordinal").cast("string"), F.sha2("text", 256)), 256), 1, 26))).alias("chunk_id"))
 
 
-@query("token_estimate", "SELECT doc_id, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM documents")
+@query("token_estimate", "SELECT doc_id, CAST(ceil(length(text) / 4) + CASE WHEN doc_id % 2 = 0 THEN 5 * (doc_id % 11) ELSE 0 END AS BIGINT) AS tokens FROM documents")
 def _(t):
-    return t.documents.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    wide = F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit("\u7ec6\u80de\u30ab\ud55c\u3042"), (F.col("doc_id") % 11).cast("int"))).otherwise("")
+    return t.documents.select("doc_id", T.token_estimate(F.concat("text", wide)).alias("tokens"))
 
 
 @query("norm_name", f"SELECT c_custkey, {_NORM.format(x='c_name')} AS name, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM customer")
@@ -357,7 +393,13 @@ def _(t):
     return evals.classification(x, "flagged", "bad")
 
 
-@query("chunk_structural")
+@query("chunk_structural", """WITH RECURSIVE p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+c AS (SELECT doc_id, k, line, unnest(range(0, greatest(1, CAST(ceil(length(line) / 4000) AS BIGINT)))) AS j FROM p),
+l AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS i, substr(line, CAST(j * 4000 + 1 AS BIGINT), 4000) AS part FROM c),
+g AS (SELECT doc_id, i, 0::BIGINT AS ordinal, CAST(ceil(length(part) / 4) AS BIGINT) AS size FROM l WHERE i = 1 UNION ALL
+      SELECT l.doc_id, l.i, g.ordinal + CASE WHEN g.size + ceil(length(part) / 4) > 700 OR starts_with(part, '# ') THEN 1 ELSE 0 END, CAST(CASE WHEN g.size + ceil(length(part) / 4) > 700 OR starts_with(part, '# ') THEN 0 ELSE g.size END + ceil(length(part) / 4) AS BIGINT) FROM g JOIN l ON l.doc_id = g.doc_id AND l.i = g.i + 1),
+t AS (SELECT doc_id AS owner_id, ordinal, string_agg(part, chr(10) ORDER BY i) AS text FROM g JOIN l USING (doc_id, i) GROUP BY doc_id, ordinal)
+SELECT owner_id, ordinal, text, CAST(ceil(length(text) / 4) AS BIGINT) AS tokens FROM t""")
 def _(t):
     return workspace.structural_chunks(t.documents.select(F.col("doc_id").alias("owner_id"), "text"))
 

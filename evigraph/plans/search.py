@@ -1,4 +1,4 @@
-"""Search queries: documents are the units; the documents whose id is divisible by 50 and that have a vector ask, by their first line."""
+"""Search queries: documents are the units; those whose id is divisible by 50 ask for their title (the first line), and, where they have a vector, for its neighbours."""
 
 from __future__ import annotations
 
@@ -17,8 +17,7 @@ def units(t: Tables):
 
 
 def asked(t: Tables):
-    ids = t.embeddings.select(F.col("vec_id").alias("doc_id"))
-    return t.documents.where("doc_id % 50 = 0").join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("qid"), F.element_at(F.split("text", "\n", -1), 1).alias("query"))
+    return t.documents.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.element_at(F.split("text", "\n", -1), 1).alias("query"))
 
 
 def word_channel(t, where=None):
@@ -29,6 +28,10 @@ def trigram_channel(t, where=None):
     return search.rank_candidates(search.bm25(units(t), asked(t), T.trigrams, where=where))
 
 
+def with_vector(t):
+    return asked(t).join(t.embeddings.select(F.col("vec_id").alias("qid")), "qid", "left_semi").select("qid")
+
+
 def vector_channel(t, where=None):
     e = t.embeddings
     ids = units(t).where(where if where is not None else F.lit(True)).select(F.col("doc_id").alias("vec_id"))
@@ -37,6 +40,11 @@ def vector_channel(t, where=None):
     return near.select("qid", F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("unit_id"), "score", "rank")
 
 
+def fused(t, where=None, names=("word", "trigram", "vector")):
+    """The fused channels; questions without a vector do without that channel."""
+    return search.fuse(channels(t, where, names), able={"vector": with_vector(t)} if "vector" in names else None)
+
+
 def channels(t, where=None, names=("word", "trigram", "vector")):
     make = {"word": word_channel, "trigram": trigram_channel, "vector": vector_channel}
     return {n: make[n](t, where) for n in names}
@@ -59,7 +67,7 @@ def _bm25(p: str, tokens: str, where: str = "true") -> str:
 
 
 _BASE = """WITH u AS (SELECT 'doc:' || doc_id AS unit_id, doc_id, string_split(text, chr(10))[1] AS title, text AS body, lang, source FROM documents),
-q AS (SELECT d.doc_id AS qid, string_split(d.text, chr(10))[1] AS query FROM documents AS d WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings))"""
+q AS (SELECT d.doc_id AS qid, string_split(d.text, chr(10))[1] AS query FROM documents AS d WHERE doc_id % 50 = 0)"""
 
 
 def _cos(a, b):
@@ -75,7 +83,7 @@ v AS (SELECT qid, 'doc:' || id AS unit_id, score, rank FROM (SELECT *, row_numbe
 
 def _fused(vector: bool = True, where: str = "true") -> str:
     parts = [("w", "word", 1.0), ("t", "trigram", 0.8)] + [("v", "vector", 1.0)] * vector
-    bound = " + ".join(f"{w}::DOUBLE / 61" for _, _, w in parts)
+    bound = "1.0::DOUBLE / 61 + 0.8::DOUBLE / 61" + (" + CASE WHEN qid IN (SELECT vec_id FROM embeddings) THEN 1.0::DOUBLE / 61 ELSE 0 END" if vector else "")
     union = " UNION ALL ".join(f"SELECT qid, unit_id, '{n}' AS channel, rank, {w}::DOUBLE AS weight FROM {p}" for p, n, w in parts)
     return _BASE + "," + _bm25("w", _WORDS, where) + "," + _bm25("t", _TRI, where) + ("," + _vector(where) if vector else "") + f""",
 c AS ({union}),
@@ -118,10 +126,12 @@ def _(t):
     return trigram_channel(t).select("qid", "unit_id", "score", "rank")
 
 
-@query("search_short_query", "SELECT n_nationkey AS qid, 'part:' || p_partkey AS unit_id, lower(p_name) = q AS exact FROM part JOIN (SELECT n_nationkey, substr(lower(n_name), 1, 2) AS q FROM nation WHERE n_nationkey % 50 = 0) AS x ON contains(lower(p_name), q)")
+@query("search_short_query", "WITH n AS (SELECT 'part:' || p_partkey AS unit_id, lower(p_name) AS t FROM part UNION ALL SELECT 'word:' || p_partkey, substr(lower(p_name), 3, 2) FROM part WHERE p_partkey % 7 = 0), x AS (SELECT p_partkey AS qid, substr(lower(p_name), 3, CASE WHEN p_partkey % 100 = 0 THEN 1 ELSE 2 END) AS q FROM part WHERE p_partkey % 50 = 0) SELECT qid, unit_id, t = q AS exact FROM n JOIN x ON contains(t, q) WHERE length(q) BETWEEN 1 AND 2")
 def _(t):
-    titles = t.part.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("unit_id"), F.col("p_name").alias("title"))
-    return search.short_match(titles, t.nation.where("n_nationkey % 50 = 0").select(F.col("n_nationkey").alias("qid"), F.substring("n_name", 1, 2).alias("query")))
+    unit = lambda kind, title: t.part.select(F.concat(F.lit(kind), F.col("p_partkey").cast("string")).alias("unit_id"), title.alias("title"), "p_partkey")
+    titles = unit("part:", F.col("p_name")).unionByName(unit("word:", F.substring("p_name", 3, 2)).where("p_partkey % 7 = 0"))
+    asking = t.part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.expr("substr(upper(p_name), 3, CASE WHEN p_partkey % 100 = 0 THEN 1 ELSE 2 END)").alias("query"))
+    return search.short_match(titles, asking)
 
 
 @query("search_prefix_terms", _BASE + f", x AS (SELECT DISTINCT unnest({_WORDS.format(x='body')}) AS term FROM u) SELECT n, substr(term, 1, CAST(n AS INTEGER)) AS prefix, count(*) AS terms FROM x, (VALUES (2), (3), (4)) AS p(n) WHERE length(term) >= n GROUP BY ALL")
@@ -185,27 +195,27 @@ def _(t):
 
 @query("rrf_raw", _fused() + " SELECT qid, unit_id, raw FROM n")
 def _(t):
-    return search.fuse(channels(t)).select("qid", "unit_id", "raw")
+    return fused(t).select("qid", "unit_id", "raw")
 
 
 @query("rrf_normalized", _fused() + " SELECT qid, unit_id, normalized FROM n")
 def _(t):
-    return search.fuse(channels(t)).select("qid", "unit_id", "normalized")
+    return fused(t).select("qid", "unit_id", "normalized")
 
 
 @query("rrf_degraded_no_vector", _fused(vector=False) + " SELECT qid, unit_id, raw, normalized FROM n")
 def _(t):
-    return search.fuse(channels(t, names=("word", "trigram"))).select("qid", "unit_id", "raw", "normalized")
+    return fused(t, names=("word", "trigram")).select("qid", "unit_id", "raw", "normalized")
 
 
 @query("rrf_explain", _fused() + " SELECT qid, unit_id, word, trigram, vector, raw, round(bound, 6) AS bound, normalized FROM n")
 def _(t):
     rank = lambda c: F.element_at("ranks", F.lit(c)).alias(c)
-    return search.fuse(channels(t)).select("qid", "unit_id", rank("word"), rank("trigram"), rank("vector"), "raw", F.round("bound", 6).alias("bound"), "normalized")
+    return fused(t).select("qid", "unit_id", rank("word"), rank("trigram"), rank("vector"), "raw", F.round("bound", 6).alias("bound"), "normalized")
 
 
 def boosted(t):
-    return search.with_boosts(search.fuse(channels(t)), units(t), asked(t))
+    return search.with_boosts(fused(t), units(t), asked(t))
 
 
 @query("rrf_boosted", _FINAL + " SELECT qid, unit_id, normalized, boost, final FROM f")
@@ -225,7 +235,7 @@ def _(t):
 
 @query("search_filtered", _fused(where="lang = 'de'") + " SELECT qid, unit_id, normalized FROM n")
 def _(t):
-    return search.fuse(channels(t, F.col("lang") == "de")).select("qid", "unit_id", "normalized")
+    return fused(t, F.col("lang") == "de").select("qid", "unit_id", "normalized")
 
 
 @query("search_final", _FINAL + ", o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final DESC, unit_id) AS position FROM f) SELECT qid, unit_id, final, position FROM o WHERE position <= 20")
@@ -273,4 +283,4 @@ def _(t):
 @query("eval_channel_compare", _fused() + ", o AS (SELECT qid, unit_id, row_number() OVER (PARTITION BY qid ORDER BY normalized DESC, unit_id) AS rank FROM n)," + _metrics("o"))
 def _(t):
     w = W.partitionBy("qid").orderBy(F.desc("normalized"), "unit_id")
-    return evals.retrieval(search.fuse(channels(t)).withColumn("rank", F.row_number().over(w)), relevant(t))
+    return evals.retrieval(fused(t).withColumn("rank", F.row_number().over(w)), relevant(t))

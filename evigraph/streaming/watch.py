@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window as W
+
+from evigraph.operators.checks import manifest_diff
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends (path, byte_size, sha256) of files not seen yet to a Parquet manifest, then stops; the checkpoint remembers what was seen."""
+    """Appends (path, byte_size, sha256, seen) of files not seen yet to a Parquet manifest, then stops; the checkpoint remembers what was seen."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
-    rows = files.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"))
+    rows = files.select("path", F.col("length").alias("byte_size"), F.sha2("content", 256).alias("sha256"), F.col("modificationTime").alias("seen"))
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def changes(spark: SparkSession, manifest: str) -> DataFrame:
+    """(path, change) between the newest and the one before of each path in a watched manifest (path, byte_size, sha256, seen)."""
+    rows = spark.read.parquet(manifest)
+    ordered = rows.withColumn("i", F.row_number().over(W.partitionBy("path").orderBy(F.desc("seen")))).where("i <= 2")
+    side = lambda i: ordered.where(F.col("i") == i).select("path", "byte_size", "sha256")
+    return manifest_diff(side(2), side(1)).where("change <> 'unchanged'")
+
+
 def latest_runs(log: DataFrame) -> DataFrame:
     """The newest status of each run of a streaming or batch log (run_id, status, ts, event_id), by one aggregation in update or complete mode."""
     return log.groupBy("run_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -73,7 +74,7 @@ def test_locate_equals_contains(spark):
     rng = random.Random(1)
     words = ["ab", "cd", "ef", "gh", "ij", "kl"]
     texts = [(i, " ".join(rng.choices(words, k=40))) for i in range(30)]
-    quotes = [(i, texts[i][1][rng.randint(0, 20) :][: rng.choice([5, 20, 45])]) for i in range(20)] + [(99, "not in any text of them at all here")]
+    quotes = [(i, texts[i][1][rng.randint(0, 20) :][: rng.choice([1, 2, 5, 9, 12, 20, 45])]) for i in range(20)] + [(99, "not in any text of them at all here")]
     got = evidence.locate(spark.createDataFrame(quotes, "quote_id long, quote string"), spark.createDataFrame(texts, "text_id long, text string")).collect()
     want = {(q, t, x.index(s)) for q, s in quotes for t, x in texts if s in x}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
@@ -128,7 +129,7 @@ def test_knn_and_metrics(spark):
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)]
     v = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
     q = v.where("id < 5").select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-    got = {(r["qid"], r["id"]) for r in V.knn(v, q, 3, block=7).collect()}
+    got = {(r["qid"], r["id"]) for r in V.knn(v, q, 3).collect()}
     cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
     want = {(i, j) for i in range(5) for j in sorted((j for j in range(60) if j != i), key=lambda j: -cos(rows[i][1], rows[j][1]))[:3]}
     assert got == want
@@ -136,8 +137,79 @@ def test_knn_and_metrics(spark):
     assert metric[0]["mrr"] == 0.5 and metric[1]["mrr"] == 0.0
 
 
-def test_a_chain_longer_than_the_rounds_is_no_cycle(spark):
-    chain = spark.range(0, 6, 1, 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    assert graph.cyclic(chain, 8).count() == 0
+def test_cycles_of_long_chains_are_found_in_few_rounds(spark):
+    chain = spark.range(0, 1000, 1, 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert graph.cyclic(chain).count() == 0
+    back = spark.createDataFrame([(1000, 900), (5000, 5001), (5001, 5000), (7, 9000), (9000, 9001)], "src long, dst long")
+    assert {r["node"] for r in graph.cyclic(chain.unionByName(back)).collect()} == {*range(1001), 5000, 5001}
+
+
+def test_cycles_equal_a_plain_search(spark):
+    rng = random.Random(3)
+    for _ in range(2):
+        edges = {(rng.randrange(25), rng.randrange(25)) for _ in range(22)}
+        reach = {a: {b for x, b in edges if x == a} for a in range(25)}
+        for _ in range(25):
+            reach = {a: s | {c for b in s for c in reach[b]} for a, s in reach.items()}
+        want = {a for a in reach if a in reach[a] or any(b in reach[b] for b in reach[a])}
+        assert {r["node"] for r in graph.cyclic(spark.createDataFrame(sorted(edges), "src long, dst long")).collect()} == want
+
+
+def test_paths_equal_all_walks(spark):
+    rng = random.Random(4)
+    edges = [(f"n{rng.randrange(14)}", rng.choice("pq"), f"n{rng.randrange(14)}", rng.choice(["supported", "uncertain", "conflicting"])) for _ in range(40)]
+    frame = spark.createDataFrame(edges, "src string, predicate string, dst string, evidence_status string").withColumn("directed", F.lit(True))
+    pairs = [(f"n{i}", f"n{(i * 5 + 3) % 14}") for i in range(14)]
+    order = {"supported": 0, "uncertain": 1, "conflicting": 2}
+    for direction in ("ignore", "respect"):
+        steps = {(a, b, p, order[s]) for a, p, b, s in edges} | ({(b, a, p, order[s]) for a, p, b, s in edges} if direction == "ignore" else set())
+        want = set()
+        for source, target in pairs:
+            walks = [((source,), (), ())] if source != target else []
+            for _ in range(4):
+                walks = [((*n, b), (*s, x), (*q, p)) for n, s, q in walks for a, b, p, x in steps if a == n[-1] and b not in n]
+                hits = sorted({(s, q, n) for n, s, q in walks if n[-1] == target})[:3]
+                if hits:
+                    want |= {(source, target, n, i + 1) for i, (_, _, n) in enumerate(hits)}
+                    break
+        got = graph.shortest_paths(frame, spark.createDataFrame(pairs, "source string, target string"), direction=direction).collect()
+        assert {(r["source"], r["target"], tuple(r["nodes"]), r["rank"]) for r in got} == want
+
+
+def test_bm25_equals_plain_scores_and_filters_come_first(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(30)]
+    docs = [(f"u{i:03}", " ".join(rng.choices(vocabulary, weights=[1 / k for k in range(1, 31)], k=rng.randint(0, 30))), i % 2) for i in range(300)]
+    asked = [(i, " ".join(rng.choices(vocabulary, k=4))) for i in range(6)] + [(99, "none of these")]
+    units, queries = spark.createDataFrame(docs, "unit_id string, body string, odd int").repartition(3), spark.createDataFrame(asked, "qid long, query string")
+    words = {u: b.split() for u, b, _ in docs}
+    mean = sum(map(len, words.values())) / len(words)
+    df = {w: sum(w in x for x in words.values()) for w in vocabulary}
+    idf = {w: max(math.log((len(docs) - d + 0.5) / (d + 0.5)), 1e-6) for w, d in df.items()}
+    score = lambda q, x: round(sum(idf[w] * x.count(w) * 2.2 / (x.count(w) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for w in set(q.split()) if w in x), 6)
+    for where, keep in ((None, lambda o: True), (F.col("odd") == 1, lambda o: o == 1)):
+        want = set()
+        for qid, q in asked:
+            hits = sorted(((-score(q, words[u]), u) for u, _, o in docs if keep(o) and score(q, words[u]) > 0))[:10]
+            want |= {(qid, u, i + 1) for i, (_, u) in enumerate(hits)}
+        got = search.rank_candidates(search.bm25(units, queries, T.words, where=where, n=10), 10).collect()
+        assert {(r["qid"], r["unit_id"], r["rank"]) for r in got} == want
+
+
+def test_questions_without_a_channel_are_bound_by_the_others(spark):
+    word, near = ranked(spark, [(1, "u", 1), (2, "u", 1)]), ranked(spark, [(1, "u", 1)])
+    got = {r["qid"]: r for r in search.fuse({"word": word, "vector": near}, able={"vector": near.select("qid")}).collect()}
+    assert got[1]["normalized"] == got[2]["normalized"] == 1.0 and got[1]["degraded"] == [] and got[2]["degraded"] == ["vector"]
+
+
+def test_cursors(spark):
+    c = spark.createDataFrame([("a", "a", 3), ("a", "b", 3), ("a", "a", 2)], "query_fingerprint string, given_fingerprint string, given_generation int")
+    assert [r["state"] for r in search.cursor_state(c, 3).collect()] == ["ok", "CURSOR_QUERY_MISMATCH", "CURSOR_STALE"]
+
+
+def test_run_chain(spark):
+    runs_ = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 4)], "id long, parent_id long")
+    got = {(r["start"], r["step"], r["id"]) for r in graph.chain(runs_, runs_.where("id = 3")).collect()}
+    assert got == {(3, 0, 3), (3, 1, 2), (3, 2, 1)}
     with pytest.raises(RuntimeError):
-        graph.cyclic(chain, 3)
+        graph.chain(runs_, runs_.where("id = 4"), 5)
