@@ -30,7 +30,19 @@ class Scratch:
         frame.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def _folder(self, name: str = ""):
+        spark = self.spark.sparkContext
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
     def drop(self, name: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        """Delete a table, or the whole folder."""
+        fs, path = self._folder(name)
+        fs.delete(path, True)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but these, once nothing reads them any more."""
+        fs, path = self._folder()
+        for found in fs.listStatus(path):
+            if found.getPath().getName() not in names:
+                fs.delete(found.getPath(), True)
