@@ -33,6 +33,7 @@ CENTROIDS = 3
 MAX_FIT_ROWS = 3000
 REJECT_QUANTILE, REJECT_FACTOR = 0.001, 0.8
 PREFIXES = (8, 32, 128, 512, 2048)  # code points
+PREFIX_SHARE = 4
 PIECE = 1 << 18
 UNDETERMINED = "und"
 _LETTERS: list[np.ndarray] = []
@@ -69,7 +70,7 @@ def _weights(bins, counts, idf) -> np.ndarray:
 
 
 def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list[tuple[str, np.ndarray, np.ndarray, int]]:
-    """(lang, bins, counts, size) of the sample's texts (size 0) and of their prefixes of ``PREFIXES`` code points."""
+    """(lang, bins, counts, size) of the sample's texts (size 0) and, for one text in ``PREFIX_SHARE``, of its prefixes of ``PREFIXES`` code points."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -78,17 +79,17 @@ def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
     text = F.col("text").cast("string")
     lot = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", text), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = labelled.where(lot < share[F.col("lang")]).select("lang", F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).distinct()
+    chosen = labelled.where(lot < share[F.col("lang")]).select("lang", F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.pmod(F.xxhash64("doc_id", text), F.lit(PREFIX_SHARE)) == 0).alias("prefixes")).distinct()
 
     def run(batches):
         for batch in batches:
-            for lang, doc_id, whole in zip(*(values(c) for c in batch.columns), strict=True):
-                cut = [(0, whole)] + [(n, whole[:n]) for n in PREFIXES if whole and len(whole) >= n]
+            for lang, doc_id, whole, prefixes in zip(*(values(c) for c in batch.columns), strict=True):
+                cut = [(0, whole)] + [(n, whole[:n]) for n in PREFIXES if prefixes and whole and len(whole) >= n]
                 found = [(n, *profile(t)) for n, t in cut]
-                arrays = [pa.array([x[i].astype(np.int32) for x in found], pa.list_(pa.int32())) for i in (1, 2)]
+                arrays = [pa.array([x[i].astype(kind) for x in found], pa.list_(pa.from_numpy_dtype(kind))) for i, kind in ((1, np.int16), (2, np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array([doc_id] * len(found), pa.int64()), pa.array([n for n, _ in cut], pa.int32()), *arrays], names=["lang", "doc_id", "size", "bins", "counts"])
 
-    rows = chosen.mapInArrow(run, "lang string, doc_id long, size int, bins array<int>, counts array<int>").toArrow()
+    rows = chosen.mapInArrow(run, "lang string, doc_id long, size int, bins array<short>, counts array<int>").toArrow()
     bins, counts = rows["bins"].combine_chunks(), rows["counts"].combine_chunks()
     found = [(lang, b, counts[i].values.to_numpy(), size, doc_id) for i, (lang, doc_id, size) in enumerate(zip(*(rows[c].to_pylist() for c in ("lang", "doc_id", "size")), strict=True)) if len(b := bins[i].values.to_numpy())]
     return [x[:4] for x in sorted(found, key=lambda x: (x[0], x[4] is None, x[4] or 0, x[3], x[1].tolist(), x[2].tolist()))]

@@ -33,6 +33,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -229,6 +230,16 @@ def _signs(terms: int) -> np.ndarray:
     return np.random.default_rng(0).choice(np.array([-1, 1], np.float32), (terms, SKETCH))
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """Covariances of the columns, times the number of rows; a few rows at a time are widened."""
+    sums, products = np.zeros(SKETCH), np.zeros((SKETCH, SKETCH))
+    for a in range(0, len(x), 4096):
+        part = x[a : a + 4096].astype(np.float32)
+        sums += part.sum(axis=0)
+        products += part.T @ part
+    return products - np.outer(sums, sums) / max(1, len(x))
+
+
 class Tree:
     """Halves a sample of sketches until a leaf stands for at most ``size`` of ``pieces``."""
 
@@ -238,10 +249,7 @@ class Tree:
 
         def grow(x: np.ndarray, share: float) -> int:
             me = len(self.axes)
-            wide = x.astype(np.float32)
-            wide -= wide.mean(axis=0) if len(x) else 0.0
-            axis = np.linalg.eigh((wide.T @ wide).astype(np.float64))[1][:, -1]
-            del wide
+            axis = np.linalg.eigh(_spread(x))[1][:, -1]
             axis *= np.sign(axis[np.argmax(np.abs(axis))]) or 1.0
             at = np.concatenate([x[a : a + 4096].astype(np.float64) @ axis for a in range(0, len(x) or 1, 4096)])
             cut = float(np.median(at)) if len(x) else 0.0
@@ -421,8 +429,12 @@ def routing(pieces: DataFrame, stats: Stats, shard: int) -> Tree:
 
     some = pieces.where(F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(-(-stats.pieces // SAMPLE))) == 0) if stats.pieces > SAMPLE else pieces
     got = some.select("ids").mapInArrow(run, "x binary").toArrow()["x"]
-    x = np.frombuffer(b"".join(v.as_py() for v in got), np.float16).reshape(-1, SKETCH)
-    return Tree(x[np.lexsort(x.T)], stats.pieces, shard)
+    x = np.empty((len(got), SKETCH), np.float16)
+    for i, value in enumerate(got):
+        x[i] = np.frombuffer(value.as_buffer(), np.float16)
+    del got
+    order = np.argsort(np.fromiter((xxhash.xxh64_intdigest(row.tobytes()) for row in x), np.uint64, len(x)), kind="stable")  # whatever order they came in
+    return Tree(x[order], stats.pieces, shard)
 
 
 def routed(pieces: DataFrame, stats: Stats, tree: Tree, scratch: Scratch) -> DataFrame:
