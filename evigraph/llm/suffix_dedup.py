@@ -171,6 +171,7 @@ def repeats(rows: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
     every = scratch.table(rows.select("rid", "text").mapInArrow(emit, "h long, c long, rid long, pos long"), "anchors")
     found = scratch.table(every.join(scratch.table(_several(every), "several"), "h", "left_semi"), "repeated")
     scratch.drop("anchors")
+    scratch.drop("several")
     contexts = scratch.table(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("at")), "contexts")
     grams = scratch.table(contexts.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "grams")
     several = contexts.join(grams.withColumnRenamed("h", "g"), F.col("h") == F.col("g")).select("h", "c", "n", "k", "at.rid", "at.pos")
@@ -241,6 +242,8 @@ def repeats(rows: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int =
         partly = partly.unionByName(many)
     wholly = contexts.where("n > 1").select("h", "c", F.lit(-side).cast("long").alias("low"), F.lit(length).cast("long").alias("high"))
     result = scratch.table(wholly.unionByName(partly).select(F.col("h").alias("h2"), F.col("c").alias("c2"), "low", "high"), "stretches")
+    scratch.drop("contexts")
+    scratch.drop("grams")
     spans = found.join(result, (F.col("h") == F.col("h2")) & (F.col("c") == F.col("c2"))).select("rid", F.struct((F.col("pos") + F.col("low")).alias("s"), (F.col("pos") + F.col("high")).alias("e")).alias("x"))
     return spans.groupBy("rid").agg(F.collect_list("x").alias("spans"))  # stretches of one document
 
