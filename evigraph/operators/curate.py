@@ -45,10 +45,15 @@ def possible_duplicates(new: DataFrame, known: DataFrame, similarity: float = DU
 
 
 def conflicts(claims: DataFrame) -> DataFrame:
-    """(subject, qualifier, a, b) with the same subject and qualifier and opposite polarity, a < b."""
-    left = claims.select("subject", "qualifier", F.col("id").alias("a"), F.col("polarity").alias("pa"))
-    right = claims.select("subject", "qualifier", F.col("id").alias("b"), F.col("polarity").alias("pb"))
-    return left.join(right, ["subject", "qualifier"]).where("a < b AND pa <> pb").select("subject", "qualifier", "a", "b")
+    """(subject, qualifier, id, polarity, side, size) of claims whose subject and qualifier have claims of another polarity.
+
+    Every two members of different polarity contradict each other; they are given as the members of a group with its sides, named by their
+    least id and with how many claims they have, and not pair by pair.
+    """
+    sides = claims.groupBy("subject", "qualifier", "polarity").agg(F.min("id").alias("side"), F.count("*").alias("size"))
+    groups = sides.groupBy("subject", "qualifier").agg(F.count("*").alias("n")).where("n > 1").select("subject", "qualifier")
+    told = sides.join(groups, ["subject", "qualifier"], "left_semi")
+    return claims.select("subject", "qualifier", "polarity", "id").join(told, ["subject", "qualifier", "polarity"]).select("subject", "qualifier", "id", "polarity", "side", "size")
 
 
 def merge_relations(relations: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def _(t):
     return found.select("subject", "normalized_hash", "id", "copies", F.array_join("evidence_ids", ",").alias("evidence"))
 
 
-@query("claims_conflicts", "SELECT a.o_custkey AS subject, a.o_orderpriority AS qualifier, a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderkey < b.o_orderkey AND a.o_orderstatus <> b.o_orderstatus")
+@query("claims_conflicts", "WITH c AS (SELECT o_custkey AS subject, o_orderpriority AS qualifier, o_orderkey AS id, o_orderstatus AS polarity, min(o_orderkey) OVER s AS side, count(*) OVER s AS size, min(o_orderstatus) OVER g <> max(o_orderstatus) OVER g AS open FROM orders WINDOW s AS (PARTITION BY o_custkey, o_orderpriority, o_orderstatus), g AS (PARTITION BY o_custkey, o_orderpriority)) SELECT subject, qualifier, id, polarity, side, size FROM c WHERE open")
 def _(t):
     return curate.conflicts(t.orders.select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("qualifier"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("polarity")))
 
