@@ -286,19 +286,22 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 50) -> DataFram
     """(node, root): the least node of each connected component, for all nodes of the edges (u, v).
 
     Each step is a table in the shared folder; edges only ever move towards
-    smaller nodes, and the loop ends when a round changes nothing.
+    smaller nodes, and the loop ends when a round changes nothing.  The least neighbours are tables as well, so
+    that both sides of a join are plain shuffles, whose hot partitions the skew join can split.
     """
     both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     now = scratch.table(edges.select("u", "v").where("u <> v").distinct(), "edges0")
     state = None
     for i in range(1, rounds + 1):
         sides = both(now)
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = scratch.table(sides.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), f"least{i}")
         large = sides.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
+        large = scratch.table(large, f"large{i}")
+        least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m"), f"smaller{i}")
         small = large.join(least, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         now = scratch.table(small, f"edges{i}")
-        scratch.drop(f"edges{i - 1}")
+        for name in (f"edges{i - 1}", f"least{i}", f"large{i}", f"smaller{i}"):
+            scratch.drop(name)
         was, state = state, now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if state == was:
             break
@@ -329,6 +332,7 @@ def _named(rows: DataFrame, link, scratch: Scratch) -> DataFrame:
     ids = linked.join(ids, "root").select(F.col("fp").alias("k"), "component_id", "root")
     named = nodes.join(ids, nodes.fp == ids.k, "left").select(F.col("fp").alias("k"), F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     named = scratch.table(named, "named")  # both sides are then read by a plain shuffle, whose hot partitions the skew join can split
+    scratch.keep("fingerprints", "named")
     return rows.join(named, rows.fp == named.k).drop("k")
 
 
