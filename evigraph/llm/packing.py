@@ -185,6 +185,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def vocabulary_size(spark, path: str) -> int:
+    """Ids of a tokenizer, counted in a task, so that the driver need not hold it."""
+
+    def run(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([encoder(path).terms], pa.int64())], names=["n"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "n long").first()["n"]
+
+
 class Stats:
     """Number and mean length of all pieces, and the idf of every term; as large as the vocabulary."""
 
@@ -461,7 +471,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard:
     scratch = Scratch(docs.sparkSession, "packing")
     table = scratch.table(cut(docs, path, window), "pieces")
     pieces = table.where("sequence_id IS NULL")
-    stats = statistics(pieces, encoder(path).terms)
+    stats = statistics(pieces, vocabulary_size(docs.sparkSession, path))
 
     def rows_of(out):
         """out: (doc_id, start, ids, doc_tokens, sequence_id, offset)."""
