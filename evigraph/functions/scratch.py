@@ -24,10 +24,10 @@ class Scratch:
             root = "file://" + tempfile.gettempdir() + "/evigraph-scratch"
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    def table(self, frame: DataFrame, name: str) -> DataFrame:
-        """Write the frame once and return a reader over the files, which cuts the lineage."""
+    def table(self, frame: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write the frame once, in folders by the columns in ``by``, and return a reader over the files, which cuts the lineage."""
         path = f"{self.root}/{name}"
-        frame.write.mode("overwrite").parquet(path)
+        frame.write.mode("overwrite").partitionBy(*by).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def _folder(self, name: str = ""):
