@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evigraph.llm import language_id, line_dedup, mixing, packing, quality_model, quality_rules, secret_scan, simhash, suffix_dedup, winnowing
+from evigraph.llm import alignment, language_id, line_dedup, mixing, packing, quality_model, quality_rules, secret_scan, simhash, suffix_dedup, winnowing
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "op11_alignment": alignment.op11_alignment,
     }
 
 
