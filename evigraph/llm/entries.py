@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evigraph.llm import alignment, language_id, line_dedup, mixing, packing, quality_model, quality_rules, secret_scan, simhash, suffix_dedup, vector_codes, winnowing
+from evigraph.llm import alignment, language_id, line_dedup, mixing, packing, quality_model, quality_rules, secret_scan, simhash, suffix_dedup, vector_codes, vector_graph, winnowing
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
         "op11_alignment": alignment.op11_alignment,
+        "op12_near_vectors": vector_graph.op12_near_vectors,
         "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict:
         "op8_mixing": mixing.OP8_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
+        "op12_near_vectors": vector_graph.OP12_SQL,
         "op13_vector_codes": vector_codes.OP13_SQL,
     }
