@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.common import Scratch, documents
 
-BLOCK_CHARS = 12_000_000  # characters of a block's documents
+BLOCK_CHARS = 16_000_000  # characters of a block's documents
 FLUSH = 200_000  # alignments of a task that are sent to the blocks together
 BATCH = 2_000  # segments that are encoded together
 MARK = "\x1f"  # stands before a segment while a text is cut
@@ -227,18 +227,23 @@ def _aligned(first: str, second: str):
     return run
 
 
-def linked_pairs(groups: str) -> tuple[int, int, int, list[int]]:
-    """Numbers of first tokens, second tokens and groups, and the linked pairs as numbers (first id times 2^32, plus second)."""
-    n_a, n_b, pairs, parts = 0, 0, [], groups.split(";")
-    for part in parts:
-        left, right = part.split("|")
-        right = list(map(int, right.split(",")))
-        left = left.split(",")
-        n_a, n_b = n_a + len(left), n_b + len(right)
-        for x in left:
-            x = int(x) << 32
-            pairs += [x + y for y in right]
-    return n_a, n_b, len(parts), pairs
+def linked_pairs(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts, pairs, ends) of segments, given their groups: numbers of first tokens, second tokens and groups of
+    each; the linked pairs of all as numbers (first id times 2^32, plus second); and where each segment's pairs end."""
+    text = "\n".join(strings)
+    raw = np.frombuffer(text.encode(), np.uint8)
+    before = np.concatenate(([10], raw[(raw < 48) | (raw > 57)]))  # the sign in front of each id: , ; | or a new line
+    ids = np.array(text.translate({10: " ", 44: " ", 59: " ", 124: " "}).split(), np.int64)
+    starts = (before == 10) | (before == 59)
+    group, right = np.cumsum(starts) - 1, np.cumsum(before == 124) > np.cumsum(starts) - 1
+    segment = (np.cumsum(before == 10) - 1)[starts]
+    n_left, n_right = np.bincount(group[~right]), np.bincount(group[right])
+    m = n_left * n_right
+    first, second = (np.repeat(np.cumsum(n) - n, m) for n in (n_left, n_right))
+    k = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    pairs = (ids[~right][first + k // np.repeat(n_right, m)] << 32) + ids[right][second + k % np.repeat(n_right, m)]
+    counts = np.stack([np.bincount(segment, w, len(strings)) for w in (n_left, n_right, np.ones(len(m)))], 1).astype(np.int64)
+    return counts, pairs, np.cumsum(np.bincount(segment, m, len(strings))).astype(np.int64)
 
 
 def _composed(row_type: pa.DataType, with_groups: bool):
@@ -251,14 +256,12 @@ def _composed(row_type: pa.DataType, with_groups: bool):
         for where, text in zip(alignments["locals"], alignments["groups"], strict=True):
             for k, s in zip(unpack(where.as_py()), zstandard.decompress(text.as_py()).decode().split("\n"), strict=True):
                 strings[k] = s
-        counts, flat, ends = np.zeros((len(strings), 3), np.int64), [], np.zeros(len(strings) + 1, np.int64)
-        for k, s in enumerate(strings):
-            if s:
-                *counts[k], pairs = linked_pairs(s)
-                flat += pairs
-            ends[k + 1] = len(flat)
-        pairs, number = np.unique(np.array(flat, np.int64), return_inverse=True)
-        del flat
+        counts, ends, pairs = np.zeros((len(strings), 3), np.int64), np.zeros(len(strings) + 1, np.int64), np.empty(0, np.int64)
+        if sound := [k for k, s in enumerate(strings) if s]:
+            counts[sound], pairs, last = linked_pairs([strings[k] for k in sound])
+            ends[np.array(sound) + 1] = np.diff(last, prepend=0)
+            ends = np.cumsum(ends)
+        pairs, number = np.unique(pairs, return_inverse=True)
         bad = np.array([not s for s in strings], bool)
         held, out, sizes = np.zeros(len(pairs), np.int64), {"groups": [], "links": []}, []
         for blob in docs["codes"]:
