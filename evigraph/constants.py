@@ -38,5 +38,5 @@ RETRY_STATUS, MAX_RETRIES = (408, 429), 2
 BM25_K1, BM25_B, BM25_FLOOR = 1.2, 0.75, 1e-6
 DUPLICATE_SIMILARITY, RESOLUTION_MARGIN = 0.92, 0.05
 REPAIR_WINDOW = 200
-MAX_QUERY, MAX_BUNDLE = 4000, 500
+MAX_BUNDLE = 500
 EVIDENCE_ORDER = {"supported": 0, "uncertain": 1, "conflicting": 2, "unreviewed": 3}

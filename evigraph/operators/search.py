@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from evigraph.constants import BM25_B, BM25_FLOOR, BM25_K1, BOOST_ALIAS, BOOST_CAP, BOOST_NAME, BOOST_PREFIX, CANDIDATES, CHANNEL_WEIGHTS, MAX_CANDIDATES, MAX_PAGE, MAX_QUERY, MAX_SNIPPET, RRF_K
+from evigraph.constants import BOOST_ALIAS, BOOST_CAP, BOOST_NAME, BOOST_PREFIX, CANDIDATES, CHANNEL_WEIGHTS, MAX_CANDIDATES, MAX_PAGE, MAX_SNIPPET, RRF_K
 from evigraph.functions import text as T
 from evigraph.functions.scratch import Scratch
-
-QUERY_BLOCK = 512  # queries that are scored together
+from evigraph.operators.index import TextIndex
 
 
 def rank_candidates(hits: DataFrame, n: int = CANDIDATES, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -27,76 +22,9 @@ def rank_candidates(hits: DataFrame, n: int = CANDIDATES, keys: tuple[str, ...]
 
 
 def bm25(units: DataFrame, queries: DataFrame, tokens, text: str = "body", where: Column | None = None, n: int = CANDIDATES) -> DataFrame:
-    """(qid, unit_id, score) of the units that share a term with a query; at least the best ``n`` of each query, ties included.
-
-    Statistics cover the whole index; ``where`` only restricts the hits.  Queries are scored in
-    blocks of ``QUERY_BLOCK``: the terms of a block (each question is at most ``MAX_QUERY`` characters) go to all
-    tasks, each unit is read once and keeps only the terms that the block asks for, with how often it has them.  These
-    postings are a table; from it come document frequencies, and the scores of a batch of units as one
-    product of its weights with the terms of the queries, of which only the best leave the task.
-    Terms are told apart by 64-bit hashes.
-    """
-    blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    scratch, out = Scratch(units.sparkSession, "bm25"), None
-    for i in range(blocks):
-        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-        part = _bm25_block(units, some, tokens, text, where, n, scratch, f"postings{i}")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _hashes(tokens, text: Column) -> Column:
-    return F.transform(tokens(text), lambda x: F.xxhash64(x))
-
-
-def _bm25_block(units: DataFrame, queries: DataFrame, tokens, text: str, where: Column | None, n: int, scratch: Scratch, name: str) -> DataFrame:
-    spark = units.sparkSession
-    asked = [(r.qid, np.unique(np.array(r.terms, np.int64))) for r in queries.select("qid", _hashes(tokens, F.substring("query", 1, MAX_QUERY)).alias("terms")).collect()]
-    terms = np.unique(np.concatenate([t for _, t in asked])) if asked else np.empty(0, np.int64)
-    if not len(terms):
-        return spark.createDataFrame([], f"qid {dict(queries.dtypes)['qid']}, unit_id string, score double")
-    shared = spark.sparkContext.broadcast(terms)
-
-    def match(batches):
-        known = shared.value
-        for batch in batches:
-            found = []
-            for value in batch.column(2):
-                h = value.values.to_numpy()
-                at = np.searchsorted(known, h)
-                at[at == len(known)] = 0
-                found.append((len(h), *np.unique(at[known[at] == h], return_counts=True)))
-            lists = [pa.array([x[k].astype(np.int32) for x in found], pa.list_(pa.int32())) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.int64()), *lists], names=["unit_id", "hit", "n", "terms", "f"])
-
-    indexed = units.select("unit_id", (where if where is not None else F.lit(True)).alias("hit"), _hashes(tokens, F.col(text)).alias("h"))
-    postings = scratch.table(indexed.mapInArrow(match, "unit_id string, hit boolean, n long, terms array<int>, f array<int>"), name)
-    count, mean = postings.agg(F.count("*"), F.avg("n")).first()
-    df = np.zeros(len(terms))
-    for r in postings.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # one row a term of the block
-        df[r["t"]] = r["count"]
-    idf = np.maximum(np.log((count - df + 0.5) / (df + 0.5)), BM25_FLOOR)
-    wants = np.zeros((len(terms), len(asked)))
-    for k, (_, t) in enumerate(asked):
-        wants[np.searchsorted(terms, t), k] = 1.0
-    qids = [q for q, _ in asked]
-    model = spark.sparkContext.broadcast((idf, wants, qids))
-
-    def score(batches):
-        idf, wants, qids = model.value
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                weights = np.zeros((part.num_rows, len(idf)))
-                for k, (size, t, f) in enumerate(zip(part.column(1).to_pylist(), part.column(2), part.column(3), strict=True)):
-                    t, f = t.values.to_numpy(), f.values.to_numpy()
-                    weights[k, t] = idf[t] * f * (BM25_K1 + 1) / (f + BM25_K1 * (1 - BM25_B + BM25_B * size / mean))
-                s = np.round(weights @ wants, 6)
-                least = np.partition(s, -n, axis=0)[-n] if len(s) > n else 0.0
-                row, q = np.nonzero((s >= least) & (s > 0))
-                yield pa.RecordBatch.from_arrays([pa.array([qids[k] for k in q]), part.column(0).take(pa.array(row)), pa.array(s[row, q])], names=["qid", "unit_id", "score"])
-
-    return postings.where("hit AND size(terms) > 0").select("unit_id", "n", "terms", "f").mapInArrow(score, f"qid {dict(queries.dtypes)['qid']}, unit_id string, score double")
+    """(qid, unit_id, score) as ``TextIndex.search`` gives it, for units that are asked once: the index is built for them and not kept."""
+    index = TextIndex(units.sparkSession, Scratch(units.sparkSession, "bm25").root, tokens)
+    return index.update(units, text).search(queries, where, n)
 
 
 def fuse(channels: dict[str, DataFrame], weights: dict[str, float] = CHANNEL_WEIGHTS, k: int = RRF_K, executed: tuple[str, ...] | None = None, able: dict[str, DataFrame] | None = None) -> DataFrame:

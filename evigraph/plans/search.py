@@ -7,7 +7,9 @@ from pyspark.sql.window import Window as W
 
 from evigraph.functions import text as T
 from evigraph.functions import vector as V
+from evigraph.functions.scratch import Scratch
 from evigraph.operators import evals, search
+from evigraph.operators.index import TextIndex, kept_index
 from evigraph.plans.registry import Tables, query
 
 
@@ -21,11 +23,11 @@ def asked(t: Tables):
 
 
 def word_channel(t, where=None):
-    return search.rank_candidates(search.bm25(units(t), asked(t), T.words, where=where))
+    return search.rank_candidates(kept_index(t.documents, units(t), "word", T.words).search(asked(t), where))
 
 
 def trigram_channel(t, where=None):
-    return search.rank_candidates(search.bm25(units(t), asked(t), T.trigrams, where=where))
+    return search.rank_candidates(kept_index(t.documents, units(t), "trigram", T.trigrams).search(asked(t), where))
 
 
 def with_vector(t):
@@ -121,6 +123,20 @@ def _(t):
     return word_channel(t).select("qid", "unit_id", "score", "rank")
 
 
+_CHANGED = """WITH u AS (SELECT 'doc:' || doc_id AS unit_id, doc_id, string_split(text, chr(10))[1] AS title, CASE WHEN doc_id % 10 = 1 THEN string_split(text, chr(10))[1] || ' ' || lang ELSE text END AS body, lang, source FROM documents WHERE doc_id % 10 <> 2),
+q AS (SELECT d.doc_id AS qid, string_split(d.text, chr(10))[1] AS query FROM documents AS d WHERE doc_id % 50 = 0)"""
+
+
+@query("search_index_update", _CHANGED + "," + _bm25("w", _WORDS) + " SELECT qid, unit_id, score, rank FROM w")
+def _(t):
+    """An index of nine tenths of the documents after one tenth was changed, one was deleted and one came new, without reading the others again."""
+    u = units(t)
+    index = TextIndex(t.spark, Scratch(t.spark, "index-update").root, T.words).update(u.where("doc_id % 10 <> 3"))
+    shorter = u.withColumn("body", F.when(F.col("doc_id") % 10 == 1, F.concat("title", F.lit(" "), "lang")).otherwise(F.col("body")))
+    index = index.update(shorter.where("doc_id % 10 IN (1, 3)"), gone=u.where("doc_id % 10 = 2"))
+    return search.rank_candidates(index.search(asked(t))).select("qid", "unit_id", "score", "rank")
+
+
 @query("search_bm25_trigram", _BASE + "," + _bm25("t", _TRI) + " SELECT qid, unit_id, score, rank FROM t")
 def _(t):
     return trigram_channel(t).select("qid", "unit_id", "score", "rank")
