@@ -1,7 +1,7 @@
 """Near vectors by a robust-pruned flat graph.
 
 1. Equal vectors are one node with a weight.  Cluster centres are fitted on a bounded sample (``SAMPLE_ROWS`` a centre, at most
-   ``SAMPLE_BYTES``); every node goes to the shard of its nearest centre and of all others whose border is within ``OVERLAP``.
+   ``SAMPLE_BYTES``); every node goes to the shards of its ``NEAREST`` nearest centres.
 2. In each shard a graph is built: nodes are inserted in batches, a greedy search from the medoids of its parts finds what each meets, and robust
    pruning keeps the neighbours that no kept one stands in front of.  The lists of a node in all its shards are united.
 3. In each shard every member is searched: greedily from the medoids, then on through everything within ``EXPAND`` of it
@@ -37,7 +37,7 @@ from evigraph.llm.simhash import components
 THRESHOLD = 0.9  # cosine of linked vectors
 SHARD = 1_000  # nodes of a shard, before overlap
 SAMPLE_ROWS, SAMPLE_BYTES = 16, 64_000_000  # of the sample that centres are fitted on: rows a centre, and bytes at most
-OVERLAP = 0.09  # a node is in all shards whose border is this near (unit vectors)
+NEAREST = 4  # shards of a node
 DEGREE, BEAM, WIDTH, ALPHA = 24, 32, 4, 1.2  # neighbours of a node, beam of a search, nodes expanded together, pruning factor
 EXPAND = 0.05  # a range search goes on through nodes this much below the threshold
 PASSES, MEDOIDS = 2, 128  # times that each node is inserted, medoids (of parts of the shard) that a search starts from
@@ -340,14 +340,10 @@ def _linked(nodes: DataFrame, n: int, length: int, threshold: float, shard: int,
             take, place, is_core, lists = [], [], [], []
             plain = np.flatnonzero(core < 0)
             at = x[plain] @ middle.T
-            own = at.argmax(1)
-            apart = np.sqrt(np.maximum(2 - 2 * (middle @ middle.T)[own], 1e-12))
-            inside = (at[np.arange(len(plain)), own][:, None] - at) / apart <= OVERLAP
-            for k, row in enumerate(inside):
-                shards = np.flatnonzero(row)
-                take += [plain[k]] * len(shards)
-                place += shards.tolist()
-                lists += [shards] * len(shards)
+            closest = np.sort(np.argsort(-at, axis=1, kind="stable")[:, :NEAREST], axis=1)
+            take += np.repeat(plain, closest.shape[1]).tolist()
+            place += closest.ravel().tolist()
+            lists += [row for row in closest for _ in range(len(row))]
             is_core += [False] * len(take)
             for c in range(len(split)):
                 mine = np.flatnonzero(core == c)
