@@ -33,7 +33,7 @@ CENTROIDS = 3
 MAX_FIT_ROWS = 3000
 REJECT_QUANTILE, REJECT_FACTOR = 0.001, 0.8
 PREFIXES = (8, 32, 128, 512, 2048)  # code points
-PREFIX_SHARE = 4
+MAX_PREFIX_ROWS = 750  # texts whose prefixes are read as well
 PIECE = 1 << 18
 UNDETERMINED = "und"
 _LETTERS: list[np.ndarray] = []
@@ -70,16 +70,17 @@ def _weights(bins, counts, idf) -> np.ndarray:
 
 
 def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list[tuple[str, np.ndarray, np.ndarray, int]]:
-    """(lang, bins, counts, size) of the sample's texts (size 0) and, for one text in ``PREFIX_SHARE``, of its prefixes of ``PREFIXES`` code points."""
+    """(lang, bins, counts, size) of the sample's texts (size 0) and, for about ``MAX_PREFIX_ROWS`` of them, of their prefixes of ``PREFIXES`` code points."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     each = max(1, max_fit_rows // len(counts))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
+    most = int(min(1.0, MAX_PREFIX_ROWS / sum(min(n, each) for n in counts.values())) * (1 << 20))
     text = F.col("text").cast("string")
     lot = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", text), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    chosen = labelled.where(lot < share[F.col("lang")]).select("lang", F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.pmod(F.xxhash64("doc_id", text), F.lit(PREFIX_SHARE)) == 0).alias("prefixes")).distinct()
+    chosen = labelled.where(lot < share[F.col("lang")]).select("lang", F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 20)) < most).alias("prefixes")).distinct()
 
     def run(batches):
         for batch in batches:
@@ -96,7 +97,7 @@ def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list
 
 
 def fit(profiles: list[tuple[str, np.ndarray, np.ndarray, int]], centroids: int = CENTROIDS) -> dict | None:
-    """The model: idf, langs (one per centroid), centroids, and limits: (log2 of the number of n-grams, least cosine)."""
+    """The model: idf, langs (one per centroid), centroids, and limits: (log2 of the number of different n-grams, which repetition does not raise; least cosine)."""
     rows = [(lang, bins, counts) for lang, bins, counts, size in profiles if not size]
     if not rows:
         return None
@@ -124,7 +125,7 @@ def fit(profiles: list[tuple[str, np.ndarray, np.ndarray, int]], centroids: int
     model = {"idf": idf, "langs": langs, "centroids": np.concatenate(centres).astype(np.float64)}
     points = []
     for size in PREFIXES:
-        found = [(np.log2(counts.sum()), max(c for c, of in zip(model["centroids"][:, bins] @ _weights(bins, counts, idf), langs, strict=True) if of == lang)) for lang, bins, counts, n in profiles if n == size]
+        found = [(np.log2(len(bins)), max(c for c, of in zip(model["centroids"][:, bins] @ _weights(bins, counts, idf), langs, strict=True) if of == lang)) for lang, bins, counts, n in profiles if n == size]
         if found:
             logs, cosines = np.array(found).T
             points.append((float(np.median(logs)), REJECT_FACTOR * float(np.quantile(cosines, REJECT_QUANTILE))))
@@ -141,7 +142,7 @@ def predict(text: str | None, model: dict | None) -> tuple[str, float, bool]:
     cosines = model["centroids"][:, bins] @ _weights(bins, counts, model["idf"])
     i = int(np.argmax(cosines))
     score = min(1.0, max(0.0, float(cosines[i])))
-    return model["langs"][i], score, score < float(np.interp(np.log2(counts.sum()), *model["limits"]))
+    return model["langs"][i], score, score < float(np.interp(np.log2(len(bins)), *model["limits"]))
 
 
 def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
