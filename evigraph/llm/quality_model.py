@@ -8,7 +8,7 @@ are trained by stochastic gradient descent in numpy on a bounded sample of at
 most about ``max_fit_rows`` labelled rows, chosen by a hash of the id.  Scoring
 folds each vector into one number per bucket, which gives the same result.
 
-Edge cases: null and empty texts score 0; white space alone counts as empty;
+Edge cases: null and empty texts have the learned prior as their score; white space alone counts as empty;
 without labelled rows every text scores 0.5; very long texts go through in
 pieces cut at white space.  Rows with a null label are not used.  Repeated rows
 score alike, other columns are ignored, an empty table gives an empty result.
@@ -139,9 +139,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], share: float = 0.5, se
 
 def score(text: str | None, model: dict) -> float:
     found = features(text)
-    if not len(found):
-        return 0.0
-    z = float(model["table"][found].mean(dtype=np.float64)) + model["bias"]
+    z = float(model["table"][found].mean(dtype=np.float64)) + model["bias"] if len(found) else 0.0  # an empty text is told by the prior alone
     z = (len(found) * z + PRIOR_FEATURES * model["prior"]) / (len(found) + PRIOR_FEATURES)
     return 1 / (1 + math.exp(-min(50.0, max(-50.0, z))))
 
