@@ -50,8 +50,14 @@ def numbered(frame: DataFrame, name: str, scratch: Scratch | None) -> DataFrame:
     """The frame with row numbers in a column.
 
     They are written with the rows once, since numbers that are made again (by a retry, or by
-    a second reading) may differ if the rows come from a shuffle.  Without a scratch folder they
-    are only computed: for frames that are read straight from files, whose splits don't change.
+    a second reading) may differ.  Without a scratch folder the frame must be read straight from files: a row's number is then made of its file's place
+    in the order of paths and its place in that file, which hold however the files are split and whichever executors read them.
     """
-    rows = frame.withColumn(name, F.monotonically_increasing_id())
-    return rows if scratch is None else scratch.table(rows, "numbered")
+    if scratch is not None:
+        return scratch.table(frame.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    spark = frame.sparkSession
+    paths = sorted(r[0] for r in frame.select(F.col("_metadata.file_path")).distinct().collect())  # one a file
+    path, file = fresh(frame, "__path"), fresh(frame, "__file")
+    files = spark.createDataFrame(list(enumerate(paths)), f"{file} long, {path} string")
+    rows = frame.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(name))
+    return rows.join(F.broadcast(files), path).withColumn(name, F.shiftleft(file, 40) + F.col(name)).drop(path, file)

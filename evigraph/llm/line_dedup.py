@@ -175,7 +175,7 @@ def op9_line_dedup(spark, sf_dir) -> DataFrame:
         F.count("*").alias("n_lines"), F.sum("n_links").alias("n_links"), F.count_if("dropped").alias("n_dropped"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("dropped"), F.col("pos")))), lambda x: x.cast("string")), ",").alias("dropped"),
     )
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id")
+    rows = numbered(docs.select("doc_id"), "rid", None)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.join(flags, F.col("rid") == F.col("k"), "left").select("doc_id", zero("n_lines"), zero("n_links"), zero("n_dropped"), F.coalesce("dropped", F.lit("")).alias("dropped"))
 

@@ -502,3 +502,35 @@ def test_language_id_keeps_a_column_named_like_its_own(spark):
     docs = spark.createDataFrame([(1, "a text of words", "mine"), (2, None, None)], "doc_id long, text string, __text string")
     found = {r["doc_id"]: (r["text"], r["__text"], r["lang_pred"]) for r in language_id.identify(docs, None, docs.columns).collect()}
     assert found == {1: ("a text of words", "mine", "und"), 2: (None, None, "und")}
+
+
+@pytest.mark.parametrize("name", ["suffix", "lines", "winnowing", "near", "mix"])
+def test_row_numbers_hold_when_the_cores_change(spark, tmp_path, name, monkeypatch):
+    """Every job of an operator reads the files in other splits than the job before."""
+    texts = corpus(9, 80)
+    docs = saved(spark, tmp_path, texts, ids=[k // 2 for k in range(len(texts))])
+    run = {
+        "suffix": lambda d: suffix_dedup.removed(d, 40, 15, stored=True),
+        "lines": lambda d: line_dedup.deduped(d, stored=True),
+        "winnowing": lambda d: winnowing.with_next(d, 10, stored=True).groupBy("k", "h", "text", "borrowed").count(),
+        "near": lambda d: simhash.one_of_each(d, stored=True),
+        "mix": lambda d: mixing.mixed(d, stored=True),
+    }[name]
+    want = sorted(map(str, run(docs).collect()))
+    numbers, write = iter(range(10**6)), type(docs.write).parquet
+    keys = {"spark.sql.files.maxPartitionBytes": ("2k", "64m", "700"), "spark.sql.files.openCostInBytes": ("1", "4m", "10")}
+
+    def change():
+        k = next(numbers)
+        for key, found in keys.items():
+            spark.conf.set(key, found[k % 3])
+
+    monkeypatch.setattr(type(docs.write), "parquet", lambda *a, **b: (change(), write(*a, **b))[1])
+    try:
+        out = run(docs)
+        change()
+        got = sorted(map(str, out.collect()))
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert got == want and next(numbers) >= 1
