@@ -54,6 +54,38 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine")
     return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(order, "id")).cast("long")).where(F.col("rank") <= k)
 
 
+CELL = 4096  # vectors, and queries, of a cell
+
+
+def knn_within(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """(qid, id, score): the ``k`` nearest by cosine among the vectors (by, id, v) of a query's (by, qid, qv) own group, of at least this score.
+
+    A group is cut into cells of about ``CELL`` vectors and ``CELL`` queries; each cell is one matrix product in a task of its own, from which
+    only the best ``k`` of a query (and ties) leave.  So a group of any size is spread, and no query meets another group.
+    """
+    cut = lambda df, n: df.groupBy(F.col("by").alias("of")).agg(F.ceil(F.count("*") / CELL).alias(n))
+    sizes = cut(vectors, "cells").join(cut(queries, "askers").withColumnRenamed("of", "o"), F.col("of").eqNullSafe(F.col("o"))).select("of", "cells", "askers")
+    here = lambda df, *cols: df.join(sizes, F.col("by").eqNullSafe(F.col("of"))).select(F.col("of").alias("of"), *cols)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    v = here(vectors, F.col("id").cast("long").alias("id"), "v", own("id", "cells").alias("cell"), every("askers").alias("asker"))
+    q = here(queries, F.col("qid").cast("long").alias("qid"), "qv", own("qid", "askers").alias("by_asker"), every("cells").alias("by_cell")).withColumnRenamed("of", "by")
+
+    def run(a, b):
+        ids, qids = a["id"].to_numpy(), b["qid"].to_numpy()
+        x, y = (c.combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(n), -1) for c, n in ((a["v"], ids), (b["qv"], qids)))
+        if not len(ids) or not len(qids):
+            return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        s = np.round((x @ y.T) / np.sqrt(np.outer((x * x).sum(1), (y * y).sum(1))), 6)
+        s[ids[:, None] == qids[None, :]] = -np.inf
+        edge = np.maximum(least, np.partition(s, -k, axis=0)[-k] if len(s) > k else -np.inf)
+        row, col = np.nonzero((s >= edge) & np.isfinite(s))
+        return pa.table({"qid": qids[col], "id": ids[row], "score": s[row, col]})
+
+    near = v.groupBy("of", "cell", "asker").cogroup(q.groupBy("by", "by_cell", "by_asker")).applyInArrow(run, "qid long, id long, score double")
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).drop("rank")
+
+
 def _knn_block(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     rows = queries.select(F.col("qid").cast("long").alias("qid"), "qv").collect()
     schema = "qid long, id long, score double"

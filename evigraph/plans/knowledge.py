@@ -186,6 +186,43 @@ def _(t):
     return impact(t)
 
 
+_REASONS = f"""WITH {_LOC}, {_HEADS},
+r AS (SELECT doc_id, source AS source_id, unnest(CASE WHEN doc_id <> head AND source = 'src3' THEN ['source_revision_behind', 'source_removed'] WHEN doc_id <> head THEN ['source_revision_behind'] WHEN source = 'src3' THEN ['source_removed'] ELSE ['referenced'] END) AS reason FROM documents JOIN h ON source = source_id),
+e AS (SELECT source_id, 'evidence' AS kind, item_id || ':' || doc_id AS id, 'revision' AS dk, CAST(doc_id AS VARCHAR) AS dep, reason, item_id FROM l JOIN r USING (doc_id)),
+c AS (SELECT source_id, 'claim' AS kind, CAST(item_id AS VARCHAR) AS id, 'evidence' AS dk, id AS dep, reason, item_id FROM e),
+y AS (SELECT source_id, 'synthesis' AS kind, CAST(item_id % 7 AS VARCHAR) AS id, 'claim' AS dk, id AS dep, reason FROM c WHERE item_id % 2 = 0
+  UNION SELECT source_id, 'synthesis', CAST(item_id % 7 AS VARCHAR), 'evidence', id, reason FROM e WHERE item_id % 2 = 1),
+a AS (SELECT source_id, kind, id, dk, dep, reason FROM e UNION SELECT source_id, kind, id, dk, dep, reason FROM c UNION SELECT * FROM y),
+i AS (SELECT source_id, kind, id, count(DISTINCT dk || '/' || dep) AS n_dependencies, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM a GROUP BY ALL)"""
+
+
+def impacted(t):
+    """Every document is a revision of its source; benchmark texts are claims, those found in it are their evidence; syntheses are written from claims (even items) or evidence (odd ones)."""
+    d = t.documents
+    heads = d.groupBy(F.col("source").alias("source_id")).agg(F.max("doc_id").alias("head")).withColumn("removed", F.col("source_id") == "src3")
+    revisions = d.select(F.col("source").alias("source_id"), F.col("doc_id").alias("revision_id")).join(heads, "source_id")
+    found = located(t).select("item_id", F.col("doc_id").alias("revision_id"), F.concat_ws(":", F.col("item_id").cast("string"), F.col("doc_id").cast("string")).alias("evidence_id"))
+    claims = found.select(F.lit("claim").alias("kind"), F.col("item_id").alias("id"), "evidence_id")
+    odd = F.col("item_id") % 2 == 1
+    syntheses = found.select((F.col("item_id") % 7).alias("id"), F.when(odd, F.col("evidence_id")).alias("evidence_id"), F.lit("claim").alias("assertion_kind"), F.when(~odd, F.col("item_id")).alias("assertion_id")).distinct()
+    return lineage.impact_items(revisions, found.select("evidence_id", "revision_id"), claims, syntheses)
+
+
+@query("source_impact_reasons", _REASONS + " SELECT * FROM i")
+def _(t):
+    return impacted(t)[0].select("source_id", "kind", "id", "n_dependencies", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("source_impact_dependencies", _REASONS + " SELECT DISTINCT source_id, kind, id, dk AS dependency_kind, dep AS dependency_id FROM a")
+def _(t):
+    return impacted(t)[1]
+
+
+@query("source_impact_page", _REASONS + ", p AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY kind, id) AS position FROM i WHERE kind > 'claim' OR (kind = 'claim' AND id > '5')) SELECT source_id, kind, id, position, 7::BIGINT AS generation FROM p WHERE position <= 20")
+def _(t):
+    return lineage.impact_page(impacted(t)[0], 7, 20, ("claim", "5"), 7).select("source_id", "kind", "id", "position", "generation")
+
+
 @query("source_impact_counts", _IMPACT + " SELECT source_id, kind, count(*) AS n FROM i GROUP BY ALL")
 def _(t):
     return impact(t).groupBy("source_id", "kind").agg(F.count("*").alias("n"))
@@ -232,6 +269,13 @@ def _(t):
     return checks.differences(built, again)
 
 
+@query("rebuild_differences", "WITH a AS (SELECT doc_id, text AS x, lang FROM documents), b AS (SELECT doc_id, CASE WHEN toxic = 1 THEN text || '!' ELSE text END AS x, lang FROM documents LEFT JOIN labels USING (doc_id) WHERE coalesce(quality, 1) = 1) SELECT doc_id AS key, 'missing' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY doc_id UNION ALL SELECT doc_id, 'extra', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY doc_id")
+def _(t):
+    """By hash trees: which rows of a rebuilt projection differ, comparing only key ranges whose digests differ."""
+    again = t.documents.join(t.labels, "doc_id", "left").where("coalesce(quality, 1) = 1").withColumn("text", F.when(F.col("toxic") == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return checks.tree_differences(t.documents, again, "doc_id", "text", "lang")
+
+
 @query("doctor", "SELECT 'orders_customer' AS \"check\", (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) = 0 AS ok, false AS optional, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS violations UNION ALL SELECT 'unlabelled', (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) = 0, true, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))")
 def _(t):
     return checks.doctor([("orders_customer", checks.orphans(t.orders, "orders", "o_orderkey", "o_custkey", t.customer, "c_custkey"), False), ("unlabelled", checks.orphans(t.documents, "documents", "doc_id", "doc_id", t.labels, "doc_id"), True)])

@@ -421,6 +421,76 @@ def _(t):
     return _bundle(t)[1]
 
 
+# A bundle by all rules: documents are claims (most), syntheses written from the two documents before them, or chunks without evidence; labels are the sides of a conflict about their source.
+_KIND = "CASE WHEN length(text) % 5 = 0 THEN 'synthesis' WHEN length(text) % 5 = 1 THEN 'chunk' ELSE 'claim' END"
+_ALL_RULES = _FINAL.replace("WITH u AS", "WITH RECURSIVE u AS", 1) + f""", o AS (SELECT qid, unit_id, row_number() OVER (PARTITION BY qid ORDER BY final DESC, unit_id) AS rank FROM f),
+k AS (SELECT doc_id, source, lang, length(text) AS n, {_KIND} AS kind, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+h AS (SELECT qid, kind, doc_id AS id, rank FROM o JOIN u USING (unit_id) JOIN k USING (doc_id) WHERE rank <= 40),
+ev AS (SELECT 'e' || doc_id AS evidence_id, source, source AS revision, n % 400 AS s, n % 400 + 15 + n % 3 * 10 AS e, n // 4 AS tokens, n % 7 <> 3 AS available, lang <> 'fr' AS allowed FROM k WHERE kind = 'claim'),
+su AS (SELECT doc_id AS id, 'e' || doc_id AS evidence_id FROM k WHERE kind = 'claim'),
+ci AS (SELECT a.doc_id AS id, b.doc_id AS member FROM k AS a JOIN k AS b ON b.doc_id IN (a.doc_id - 1, a.doc_id - 2) AND b.kind = 'claim' WHERE a.kind = 'synthesis'),
+me AS (SELECT source || '/' || n % 100 AS grp, CASE WHEN toxic = 1 THEN 'con' ELSE 'pro' END AS side, doc_id AS id FROM k WHERE kind = 'claim' AND toxic IS NOT NULL),
+le AS (SELECT qid, kind, id, rank, evidence_id FROM h JOIN su USING (id) WHERE kind = 'claim' UNION ALL SELECT qid, kind, h.id, rank, evidence_id FROM h JOIN ci USING (id) JOIN su ON su.id = ci.member WHERE kind = 'synthesis'),
+fo AS (SELECT qid, evidence_id, min(rank) AS rank FROM le GROUP BY ALL),
+tc AS (SELECT DISTINCT qid, grp FROM h JOIN me USING (id) WHERE kind = 'claim'),
+he AS (SELECT qid, grp, side, evidence_id, available, allowed FROM tc JOIN me USING (grp) LEFT JOIN su USING (id) LEFT JOIN ev USING (evidence_id)),
+fe AS (SELECT DISTINCT qid, grp, side, evidence_id FROM he WHERE available AND allowed),
+mi AS (SELECT qid, 'side:' || grp || ':' || side AS item, CASE WHEN bool_or(coalesce(available, false)) THEN 'filtered_out' ELSE 'unavailable' END AS reason FROM he GROUP BY qid, grp, side HAVING NOT bool_or(coalesce(available AND allowed, false))),
+ro AS (SELECT qid, evidence_id, coalesce(rank, 1073741824) AS rank, ev.* EXCLUDE (evidence_id) FROM (SELECT qid, evidence_id FROM fo UNION SELECT qid, evidence_id FROM fe) LEFT JOIN fo USING (qid, evidence_id) JOIN ev USING (evidence_id)),
+us AS (SELECT * FROM ro WHERE available AND allowed),
+fi AS (SELECT DISTINCT qid, evidence_id FROM (SELECT fe.*, row_number() OVER (PARTITION BY qid, grp, side ORDER BY rank, evidence_id) AS i FROM fe JOIN us USING (qid, evidence_id)) WHERE i = 1),
+fr AS (SELECT us.*, CASE WHEN fi.qid IS NULL THEN 1 ELSE 0 END AS first FROM us LEFT JOIN fi USING (qid, evidence_id) WHERE fi.qid IS NOT NULL OR rank < 1073741824),
+re AS (SELECT DISTINCT a.qid, a.evidence_id FROM fr AS a JOIN fr AS b ON a.qid = b.qid AND a.revision = b.revision AND a.s >= b.s AND a.e <= b.e AND (b.rank < a.rank OR (b.rank = a.rank AND b.evidence_id < a.evidence_id)) WHERE a.first = 1),
+sh AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY first, rank, evidence_id) > 3 AS beyond FROM fr WHERE (qid, evidence_id) NOT IN (SELECT qid, evidence_id FROM re)),
+pl AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY first, beyond AND first = 1, rank, evidence_id) AS place FROM sh),
+fold AS (SELECT qid, 0::BIGINT AS place, 4000::BIGINT AS free, 0 AS n, []::VARCHAR[] AS sources, NULL::VARCHAR AS evidence_id, NULL::VARCHAR AS reason FROM (SELECT DISTINCT qid FROM pl) UNION ALL
+  SELECT qid, place, CASE WHEN reason IS NULL THEN free - tokens ELSE free END, CASE WHEN reason IS NULL THEN n + 1 ELSE n END, CASE WHEN reason IS NULL AND NOT list_contains(sources, source) THEN list_append(sources, source) ELSE sources END, evidence_id, reason
+  FROM (SELECT pl.qid, pl.place, fold.free, fold.n, fold.sources, pl.tokens, pl.source, pl.evidence_id, CASE WHEN fold.n >= 8 THEN 'max_evidence' WHEN NOT list_contains(fold.sources, pl.source) AND len(fold.sources) >= 4 THEN 'max_sources' WHEN pl.tokens > fold.free THEN 'max_tokens' END AS reason FROM fold JOIN pl ON pl.qid = fold.qid AND pl.place = fold.place + 1)),
+ta AS (SELECT qid, evidence_id, place FROM fold WHERE place > 0 AND reason IS NULL)"""
+
+
+def _assembled(t):
+    w = W.partitionBy("qid").orderBy(F.desc("final"), "unit_id")
+    ranked = boosted(t).select("qid", "unit_id", F.row_number().over(w).cast("long").alias("rank")).where("rank <= 40")
+    n = F.length("text").cast("long")
+    k = t.documents.join(t.labels.select("doc_id", "toxic"), "doc_id", "left").withColumn("n", n).withColumn("kind", F.when(n % 5 == 0, "synthesis").when(n % 5 == 1, "chunk").otherwise("claim")).withColumn("id", F.col("doc_id").cast("string"))
+    hits = ranked.join(units(t).select("unit_id", "doc_id"), "unit_id").join(k.select("doc_id", "kind", "id"), "doc_id").select("qid", "kind", "id", "rank")
+    claims = k.where("kind = 'claim'")
+    support = claims.select("kind", "id", F.concat(F.lit("e"), "id").alias("evidence_id"))
+    rows = claims.select(F.concat(F.lit("e"), "id").alias("evidence_id"), "source", F.col("source").alias("revision"), (F.col("n") % 400).alias("s"), (F.col("n") % 400 + 15 + F.col("n") % 3 * 10).alias("e"), F.expr("n DIV 4").alias("tokens"), (F.col("n") % 7 != 3).alias("available"), (F.col("lang") != "fr").alias("allowed"))
+    cites = k.where("kind = 'synthesis'").select("id", F.lit("claim").alias("kind"), F.explode(F.array((F.col("doc_id") - 1).cast("string"), (F.col("doc_id") - 2).cast("string"))).alias("member"))
+    members = claims.where("toxic IS NOT NULL").select(F.concat_ws("/", "source", (F.col("n") % 100).cast("string")).alias("group"), F.when(F.col("toxic") == 1, "con").otherwise("pro").alias("side"), "kind", "id")
+    return evidence.assemble(hits, support, cites, members, rows, sources=4, most=8, share=0.4, tokens=4000)
+
+
+@query("bundle_all_rules", _ALL_RULES + " SELECT qid, evidence_id, row_number() OVER (PARTITION BY qid ORDER BY ta.place) AS position, source, tokens, beyond AS share_relaxed FROM ta JOIN pl USING (qid, evidence_id)")
+def _(t):
+    return _assembled(t)[0]
+
+
+@query("bundle_all_omissions", _ALL_RULES + """ SELECT qid, kind || ':' || id AS item, 'no_evidence' AS reason FROM h WHERE (qid, kind, id) NOT IN (SELECT qid, kind, id FROM le) UNION ALL SELECT * FROM mi
+UNION ALL SELECT DISTINCT qid, 'side:' || grp || ':' || side, 'budget' FROM fe WHERE (qid, grp, side) NOT IN (SELECT qid, grp, side FROM fe JOIN ta USING (qid, evidence_id))
+UNION ALL SELECT qid, evidence_id, CASE WHEN NOT available THEN 'unavailable' ELSE 'filtered_out' END FROM ro WHERE NOT (available AND allowed) UNION ALL SELECT qid, evidence_id, 'repeated' FROM re UNION ALL SELECT qid, evidence_id, reason FROM fold WHERE reason IS NOT NULL""")
+def _(t):
+    return _assembled(t)[1]
+
+
+@query("bundle_context", f"""WITH l AS (SELECT doc_id, item_id, strpos(d.text, b.text) - 1 AS s, strpos(d.text, b.text) - 1 + length(b.text) AS e FROM benchmark AS b JOIN documents AS d ON contains(d.text, b.text) WHERE length(b.text) BETWEEN 1 AND 1000),
+x AS (SELECT doc_id, ls, unnest(range(len(ls))) AS ordinal FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+p AS (SELECT doc_id, ordinal, coalesce(list_sum(list_transform(ls[1:ordinal], lambda y: length(y) + 1)), 0)::BIGINT AS a, length(ls[ordinal + 1]) AS n, ordinal // 5 AS section FROM x),
+w AS (SELECT doc_id, a, a + n AS b, coalesce(lag(a) OVER (PARTITION BY doc_id, section ORDER BY ordinal), a) AS f, coalesce(lead(a + n) OVER (PARTITION BY doc_id, section ORDER BY ordinal), a + n) AS t FROM p),
+m AS (SELECT l.doc_id, item_id, s, e, min(f) AS f, max(t) AS t FROM l JOIN w ON w.doc_id = l.doc_id AND a < e AND b > s GROUP BY ALL)
+SELECT doc_id, item_id, greatest(least(f, s), s - 100) AS context_start, least(greatest(t, e), e + 100) AS context_end, least(f, s) < s - 100 AS truncated_start, greatest(t, e) > e + 100 AS truncated_end FROM m""")
+def _(t):
+    """Quotes with the lines around them; five lines are a section."""
+    found = located(t).select(F.col("doc_id").alias("revision"), "item_id", F.col("char_start").alias("s"), (F.col("char_start") + F.length("quote")).alias("e"))
+    lines = t.documents.select(F.col("doc_id").alias("revision"), F.split("text", "\n", -1).alias("ls"))
+    ends = F.aggregate("ls", F.array(F.lit(0).cast("long")), lambda s, y: F.concat(s, F.array(F.element_at(s, -1) + F.length(y) + 1)))
+    lines = lines.join(found.select("revision").distinct(), "revision", "left_semi").withColumn("starts", ends)
+    rows = lines.select("revision", "starts", F.posexplode("ls").alias("ordinal", "line")).select("revision", F.expr("ordinal DIV 5").alias("section"), "ordinal", F.get("starts", "ordinal").alias("p_start"), (F.get("starts", "ordinal") + F.length("line")).alias("p_end"))
+    return evidence.with_context(found, rows, 100).select(F.col("revision").alias("doc_id"), "item_id", "context_start", "context_end", "truncated_start", "truncated_end")
+
+
 # Formats.
 
 
