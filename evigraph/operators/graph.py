@@ -43,9 +43,10 @@ def allowed(edges: DataFrame, allow: list[str] | None = None, deny: list[str] |
 def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1, direction: str = "both", allow: list[str] | None = None, deny: list[str] | None = None, max_nodes: int = MAX_NODES) -> DataFrame:
     """(root, node, depth, truncated): breadth-first, each node at its least depth, cut after max_nodes by (depth, node).
 
-    Each frontier is a table.  A hop reads the edges once and keeps at most max_nodes + 1 new nodes of
-    a root; a root that holds more than max_nodes is not expanded any further, since what lies
-    deeper comes later in the order.
+    Each frontier is a table.  A hop reads the edges once, keeps those of frontier nodes, and of each such node only its first
+    2 * max_nodes + 1 neighbours: a root takes at most max_nodes + 1 of them, and no more than max_nodes can be ones that it has
+    already, so the rest of a hub's neighbours can't be in any result.  A root that holds more than max_nodes is not
+    expanded any further, since what lies deeper comes later in the order.
     """
     if not 0 <= depth <= MAX_NEIGHBOR_DEPTH:
         raise ValueError(f"depth must be 0 to {MAX_NEIGHBOR_DEPTH}")
@@ -53,7 +54,9 @@ def neighbors(edges: DataFrame, roots: DataFrame, depth: int = 1, direction: str
     seen = scratch.table(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "0")
     frontier = seen
     for d in range(1, depth + 1):
-        reached = frontier.join(steps, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
+        met = steps.join(frontier.select(F.col("node").alias("a")).distinct(), "a", "left_semi").distinct()
+        first = met.withColumn("i", F.row_number().over(W.partitionBy("a").orderBy("b"))).where(F.col("i") <= 2 * max_nodes + 1).select("a", "b")
+        reached = frontier.join(first, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
         fresh = reached.join(seen.select("root", "node"), ["root", "node"], "left_anti")
         best = fresh.withColumn("i", F.row_number().over(W.partitionBy("root").orderBy("node"))).where(F.col("i") <= max_nodes + 1)
         layer = scratch.table(best.select("root", "node", F.lit(d).alias("depth")), str(d))
