@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
+from evigraph.functions.scratch import Scratch
 from evigraph.operators import checks, curate, evals, evidence, lineage, runs
 from evigraph.plans.registry import Tables, query
 from evigraph.sources import workspace
@@ -296,6 +297,35 @@ def _(t):
     return runs.latest(_log(t))
 
 
+_STATUS = {"view": "queued", "click": "running", "purchase": "succeeded", "error": "failed", "signup": "paused"}
+
+
+def _replay(t, make):
+    """A stream over the events, read to its end."""
+    scratch = Scratch(t.spark, "stream")
+    stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.sf_dir}/events.parque[t]")  # a pattern, since a stream takes no single file
+    out = watch.replayed(make(stream.withColumn("ts", F.col("ts").cast("timestamp"))), f"{scratch.root}/out", f"{scratch.root}/checkpoint")
+    return out.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else c for c, kind in out.dtypes])
+
+
+@query("watch_debounced", """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS burst FROM g)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM b GROUP BY user_id, burst HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""")
+def _(t):
+    return _replay(t, lambda s: watch.debounced(s, "user_id", "30 minutes"))
+
+
+@query("runs_moves_stream", f"""WITH RECURSIVE l AS (SELECT user_id AS run_id, event_id, ts, {"CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items()) + " ELSE 'interrupted' END"} AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+m AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}')" for a, found in watch.RUN_MOVES.items() for b in found)}) AS v(a, b)),
+r AS (SELECT run_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS was, NULL::VARCHAR AS status, NULL::VARCHAR AS outcome, NULL::VARCHAR AS now FROM (SELECT DISTINCT run_id FROM l) UNION ALL
+  SELECT run_id, i, event_id, ts, was, status, CASE WHEN ok THEN 'moved' ELSE 'refused' END, CASE WHEN ok THEN status ELSE was END
+  FROM (SELECT l.run_id, l.i, l.event_id, l.ts, r.now AS was, l.status, CASE WHEN r.now IS NULL THEN l.status = 'queued' ELSE (r.now, l.status) IN (SELECT (a, b) FROM m) END AS ok FROM r JOIN l ON l.run_id = r.run_id AND l.i = r.i + 1))
+SELECT run_id, event_id, ts, was, status, outcome FROM r WHERE i > 0""")
+def _(t):
+    status = F.create_map(*[F.lit(x) for kv in _STATUS.items() for x in kv])
+    return _replay(t, lambda s: watch.run_moves(s.select(F.col("user_id").alias("run_id"), "event_id", "ts", F.coalesce(status[F.col("event_type")], F.lit("interrupted")).alias("status"))))
+
+
 @query("runs_usage", "SELECT user_id AS run_id, round(sum(value), 4) AS used, round(greatest(2000 - sum(value), 0), 4) AS remaining FROM events GROUP BY user_id")
 def _(t):
     s = F.sum("value")
