@@ -146,6 +146,20 @@ class Graph:
             self.near[to[full]] = -1
             self.near[to[full], :DEGREE] = self.prune(to[full], wide[full], DEGREE)
 
+    def _beyond(self, q: np.ndarray, node: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The neighbours of (query, node) that the query has not met, which are then met; in parts, so that a crowd's lists are never spread out together."""
+        out, n = [np.empty(0, np.int64)], len(self.x)
+        for k in range(0, len(q), 16_384):
+            near = self.near[node[k : k + 16_384]]
+            row, at = np.nonzero(near >= 0)
+            who, to = q[k + row], near[row, at].astype(np.int64)
+            new = ~met[who, to]
+            pair = np.unique(who[new] * n + to[new])
+            met[pair // n, pair % n] = True
+            out.append(pair)
+        pair = np.concatenate(out)
+        return pair // n, pair % n
+
     def in_range(self, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) for the nodes found at this cosine or above, by range-expanding greedy search."""
         out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
@@ -163,13 +177,7 @@ class Graph:
                     s[k : k + 65_536] = np.einsum("nd,nd->n", exact[q[k : k + 65_536]], self.x[node[k : k + 65_536]])
                 out.append((q[s >= threshold] + low, node[s >= threshold]))
                 on = s >= threshold - EXPAND
-                q, node = np.repeat(q[on], self.near.shape[1]), self.near[node[on]].ravel().astype(np.int64)
-                new = node >= 0
-                q, node = q[new], node[new]
-                new = ~met[q, node]
-                pair = np.unique(q[new] * len(self.x) + node[new])
-                q, node = pair // len(self.x), pair % len(self.x)
-                met[q, node] = True
+                q, node = self._beyond(q[on], node[on], met)
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
