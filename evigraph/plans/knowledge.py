@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
 from evigraph.functions.scratch import Scratch
-from evigraph.operators import checks, curate, evals, evidence, lineage, runs
+from evigraph.operators import checks, curate, evals, evidence, lineage, proposals, runs
 from evigraph.plans.registry import Tables, query
 from evigraph.sources import workspace
 from evigraph.streaming import watch
@@ -297,6 +297,49 @@ def _(t):
     return runs.latest(_log(t))
 
 
+# Proposals: one a customer, with an item for each of its orders; the customers are nodes, the orders claims.
+_PROPOSED = """WITH i AS (SELECT o_custkey AS proposal_id, o_orderkey AS item_id, o_orderstatus AS st, o_orderpriority AS pr,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 'rejected' WHEN o_totalprice BETWEEN 480000 AND 490000 THEN 'pending' ELSE 'accepted' END AS decision,
+  CASE WHEN o_orderstatus = 'P' AND o_totalprice > 490000 THEN 'exists' WHEN o_orderstatus <> 'P' AND o_totalprice < 2500 THEN 'stale' END AS problem FROM orders),
+v AS (SELECT proposal_id, count(*) FILTER (WHERE decision = 'pending') AS pending, count(*) FILTER (WHERE decision = 'accepted') AS accepted, count(*) FILTER (WHERE decision = 'rejected') AS rejected,
+  min(problem) FILTER (WHERE decision = 'accepted') AS problem, count(*) FILTER (WHERE decision = 'accepted' AND problem = 'stale') > 0 AS old FROM i GROUP BY proposal_id),
+w AS (SELECT proposal_id, pending, accepted, rejected, problem, CASE WHEN old THEN 'stale' WHEN problem IS NOT NULL OR pending > 0 THEN 'reviewing' WHEN accepted = 0 THEN 'rejected' ELSE 'applied' END AS state FROM v),
+a AS (SELECT i.* FROM i JOIN w USING (proposal_id) WHERE state = 'applied' AND decision = 'accepted')"""
+
+
+def _proposed(t):
+    """(items, records)"""
+    claim = F.create_map(F.lit("lifecycle_status"), F.lit("active"), F.lit("priority"), F.col("o_orderpriority"))
+    node = F.create_map(F.lit("name"), F.col("c_name"))
+    ids = lambda c: F.col(c).cast("string")
+    records = t.customer.select(F.lit("node").alias("kind"), ids("c_custkey").alias("id"), node.alias("state")).unionByName(t.orders.select(F.lit("claim").alias("kind"), ids("o_orderkey").alias("id"), claim.alias("state")))
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    retract, summary = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "O"
+    held = F.when(retract, proposals.state_hash(claim)).when(summary, proposals.state_hash(node))
+    taken = F.col("o_totalprice") > 490000
+    items = o.select(
+        F.col("o_custkey").alias("proposal_id"), F.col("o_orderkey").alias("item_id"), F.col("o_orderkey").alias("ordinal"), F.when(retract, "retract_claim").when(summary, "update_node_summary").otherwise("add_claim").alias("op"),
+        F.when(retract, ids("o_orderkey")).when(summary, ids("o_custkey")).otherwise(F.concat(F.when(taken, "").otherwise("new:"), ids("o_orderkey"))).alias("target_id"),
+        F.when(summary, F.create_map(F.lit("summary"), F.col("o_orderpriority"))).when(~retract, F.create_map(F.lit("text"), F.col("o_orderpriority"))).alias("payload"),
+        F.when(F.col("o_totalprice") < 2500, "other").otherwise(held).alias("before_sha256"), F.lit(True).alias("valid"),
+        F.when(F.col("o_orderpriority") == "5-LOW", "rejected").when(F.col("o_totalprice").between(480000, 490000), "pending").otherwise("accepted").alias("decision"),
+    )
+    return items, records
+
+
+@query("proposal_apply_verdicts", _PROPOSED + " SELECT * FROM w")
+def _(t):
+    return proposals.applied(*_proposed(t))[1]
+
+
+@query("proposal_apply_records", _PROPOSED + """, s AS (SELECT proposal_id, arg_max(pr, item_id) AS summary FROM a WHERE st = 'O' GROUP BY proposal_id)
+SELECT 'node' AS kind, CAST(c_custkey AS VARCHAR) AS id, '{"name":"' || c_name || '"' || coalesce(',"summary":"' || summary || '"', '') || '}' AS state FROM customer LEFT JOIN s ON proposal_id = c_custkey
+UNION ALL SELECT 'claim', CAST(o_orderkey AS VARCHAR), '{"lifecycle_status":"' || CASE WHEN a.item_id IS NULL THEN 'active' ELSE 'retracted' END || '","priority":"' || o_orderpriority || '"}' FROM orders LEFT JOIN a ON a.item_id = o_orderkey AND a.st = 'F'
+UNION ALL SELECT 'claim', 'new:' || item_id, '{"lifecycle_status":"active","text":"' || pr || '"}' FROM a WHERE st = 'P'""")
+def _(t):
+    return proposals.applied(*_proposed(t))[0].select("kind", "id", T.canonical_map(F.col("state")).alias("state"))
+
+
 _STATUS = {"view": "queued", "click": "running", "purchase": "succeeded", "error": "failed", "signup": "paused"}
 
 

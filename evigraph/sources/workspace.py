@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -295,17 +296,29 @@ class Versions:
         found = self.numbers()
         return self.spark.read.parquet(f"{self.root}/v{found[-1]}/{table}") if found else None
 
-    def rebuild(self, tables: dict[str, DataFrame], check=None) -> int:
-        """Writes all tables under a name that no reader looks for, calls ``check`` on what was written, and renames the folder, which is the switch."""
-        number = (self.numbers() or [0])[-1] + 1
-        building = f"{self.root}/building-{number}"
-        self.fs.delete(self.path(building), True)
+    def at(self, table: str, number: int) -> DataFrame:
+        """A table as it was in a version that is still kept; a reader that holds on to one is told when it is gone."""
+        if number not in self.numbers():
+            raise LookupError(f"CURSOR_STALE: version {number} is gone")
+        return self.spark.read.parquet(f"{self.root}/v{number}/{table}")
+
+    def rebuild(self, tables: dict[str, DataFrame], check=None, base: int | None = None, carry: tuple[str, ...] = ()) -> int:
+        """Writes all tables under a name that no reader looks for, calls ``check`` on what was written, and renames the folder, which is the switch.
+
+        ``carry`` names tables of the current version that are taken over as they are (runtime tables).  With ``base`` the switch
+        only takes place if that version is still the current one; of two writers that began from the same version, the second fails.
+        """
+        number = (self.numbers() or [0])[-1] + 1 if base is None else base + 1
+        building = f"{self.root}/building-{number}-{uuid.uuid4().hex}"
+        tables = {**{name: self.current(name) for name in carry}, **tables}
         for name, df in tables.items():
             df.write.parquet(f"{building}/{name}")
         if check is not None:
             check({name: self.spark.read.parquet(f"{building}/{name}") for name in tables})
-        if not self.fs.rename(self.path(building), self.path(f"{self.root}/v{number}")):
-            raise RuntimeError(f"version {number} could not be put in place")
+        behind = base is not None and (self.numbers() or [0])[-1] != base
+        if behind or self.fs.exists(self.path(f"{self.root}/v{number}")) or not self.fs.rename(self.path(building), self.path(f"{self.root}/v{number}")):
+            self.fs.delete(self.path(building), True)
+            raise RuntimeError(f"version {number} could not be put in place: another one was")
         for old in self.numbers()[: -self.keep]:
             self.fs.delete(self.path(f"{self.root}/v{old}"), True)
         return number

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.functions import vector as V
-from evigraph.operators import checks, curate, evidence, lineage
+from evigraph.operators import checks, curate, evidence, lineage, proposals
+from evigraph.sources.workspace import Versions
 from evigraph.streaming import watch
 
 
@@ -86,3 +87,30 @@ def test_bundle_limits_and_context(spark):
     paragraphs = spark.createDataFrame([("r1", 0, 0, 0, 100), ("r1", 0, 1, 101, 120), ("r1", 1, 2, 121, 140)], "revision string, section long, ordinal long, p_start long, p_end long")
     spans = spark.createDataFrame([("r1", 105, 110), ("r1", 125, 130), ("r9", 3, 5)], "revision string, s long, e long")
     assert rows(evidence.with_context(spans, paragraphs, 50)) == [("r1", 105, 110, 55, 120, True, False), ("r1", 125, 130, 121, 140, False, False), ("r9", 3, 5, 3, 5, False, False)]
+
+
+def test_proposals_are_applied_as_a_whole_and_published_once(spark, tmp_path):
+    records = spark.createDataFrame([("node", "n1", {"name": "a"}), ("claim", "c1", {"lifecycle_status": "active"})], "kind string, id string, state map<string,string>")
+    held = {r["id"]: r["h"] for r in records.select("id", proposals.state_hash(F.col("state")).alias("h")).collect()}
+    item = lambda p, i, op, target, payload=None, before=None, decision="accepted", valid=True: (p, i, i, op, target, payload, before, valid, decision)
+    items = spark.createDataFrame(
+        [
+            item("p1", 1, "update_node_summary", "n1", {"summary": "old"}, held["n1"]), item("p1", 2, "update_node_summary", "n1", {"summary": "new", "lifecycle_status": "x"}, held["n1"]), item("p1", 3, "add_claim", "c2", {"t": "x"}),
+            item("p2", 1, "update_node_summary", "n1", {"summary": "late"}, held["n1"]), item("p3", 1, "retract_claim", "c1", None, held["c1"]), item("p3", 2, "delete_all", "c1"), item("p4", 1, "add_claim", "c3", {}, None, "pending"),
+            item("p5", 1, "add_claim", "c4", {}, None, "rejected"), item("p6", 1, "retract_claim", "zz"), item("p7", 1, "add_claim", "c5", {}, None, "accepted", False), item("p8", 1, "retract_claim", "c1", None, "other", "rejected"),
+        ],
+        "proposal_id string, item_id long, ordinal long, op string, target_id string, payload map<string,string>, before_sha256 string, valid boolean, decision string",
+    )
+    versions = Versions(spark, str(tmp_path / "versions"))
+    base = versions.rebuild({"records": records, "runs": records.limit(1)})
+    got = {r["proposal_id"]: (r["state"], r["problem"]) for r in proposals.publish(versions, items, base).collect()}
+    assert got == {"p1": ("applied", None), "p2": ("stale", "twice"), "p3": ("reviewing", "unknown_op"), "p4": ("reviewing", None), "p5": ("rejected", None), "p6": ("reviewing", "missing"), "p7": ("reviewing", "invalid"), "p8": ("rejected", None)}
+    now = {r["id"]: r["state"] for r in versions.current("records").collect()}
+    assert now == {"n1": {"name": "a", "summary": "new"}, "c1": {"lifecycle_status": "active"}, "c2": {"t": "x", "lifecycle_status": "active"}}
+    with pytest.raises(RuntimeError):  # a second writer that began from the same version
+        proposals.publish(versions, items, base)
+    assert versions.numbers() == [base, base + 1] and versions.at("records", base).count() == 2
+    versions.rebuild({"records": records}, carry=("verdicts",))
+    assert versions.current("verdicts").count() == 8
+    with pytest.raises(LookupError, match="CURSOR_STALE"):
+        versions.at("records", 99)
