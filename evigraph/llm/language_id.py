@@ -93,7 +93,7 @@ def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list
     rows = chosen.mapInArrow(run, "lang string, doc_id long, size int, bins array<short>, counts array<int>").toArrow()
     bins, counts = rows["bins"].combine_chunks(), rows["counts"].combine_chunks()
     found = [(lang, b, counts[i].values.to_numpy(), size, doc_id) for i, (lang, doc_id, size) in enumerate(zip(*(rows[c].to_pylist() for c in ("lang", "doc_id", "size")), strict=True)) if len(b := bins[i].values.to_numpy())]
-    return [x[:4] for x in sorted(found, key=lambda x: (x[0], x[4] is None, x[4] or 0, x[3], x[1].tolist(), x[2].tolist()))]
+    return [x[:4] for x in sorted(found, key=lambda x: (x[0], x[4] is None, x[4] or 0, x[3], x[1].tobytes(), x[2].tobytes()))]
 
 
 def fit(profiles: list[tuple[str, np.ndarray, np.ndarray, int]], centroids: int = CENTROIDS) -> dict | None:
