@@ -12,8 +12,9 @@ Document frequencies, number and mean length of the pieces are those of the whol
 table.  For routing, the BM25 weights of a piece are sketched by signed random
 projection; a tree that halves a sample at the median along its main direction
 gives each piece a leaf, and a shard is a run of pieces in the order of the leaves
-(within a leaf, along its main direction).  Neither files nor splits matter.  A seed
-searches its own shard, so neighbours that the tree parts are missed.
+(within a leaf, along its main direction).  Shards begin where a range partition
+cuts, so reruns may pack other neighbours together.  A seed searches its own
+shard, so neighbours that the tree parts are missed.
 
 Token ids of texts in the common Latin range are made by splitting all texts of a
 batch with array operations, encoding each distinct split once, and gathering; all other
