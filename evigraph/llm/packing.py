@@ -6,15 +6,17 @@ window with others.  Pieces of the whole table are routed to shards of bounded s
 by the rare terms they share, and indexed there by BM25 over their token ids; each
 seed piece retrieves its best unused neighbours, which fill the window greedily.
 The last neighbour is cut at the window's end, and what is left of it is the next
-seed, so windows have no padding but for the last of a task.
+seed, so windows have no padding but for the last of a few shards.
 
 Document frequencies, number and mean length of the pieces are those of the whole
 table.  For routing, the BM25 weights of a piece are sketched by signed random
 projection; a tree that halves a sample at the median along its main direction
 gives each piece a leaf, and a shard is a run of pieces in the order of the leaves
-(within a leaf, along its main direction).  Shards begin where a range partition
-cuts, so reruns may pack other neighbours together.  A seed searches its own
-shard, so neighbours that the tree parts are missed.
+(within a leaf, in bins along its main direction).  Shards are cut from the counted
+pieces of all bins; a bin of more pieces than a shard takes, such as copies, is dealt out by hash.  Sketches
+are sums of whole numbers, and nothing depends on files, splits, partitions or
+samples that Spark draws, so reruns pack the same pieces together.  A seed
+searches its own shard, so neighbours that the tree parts are missed.
 
 Token ids of texts in the common Latin range are made by splitting all texts of a
 batch with array operations, encoding each distinct split once, and gathering; all other
@@ -48,7 +50,10 @@ WHOLE = 1 << 62  # in the sequence ids of whole windows
 SHARD = 2048
 SKETCH = 256  # dimensions
 SAMPLE = 1 << 16  # pieces at most that the routing tree is fitted on
+BINS = 64  # of a leaf
+GROUP = 4  # shards that one packer goes through
 LEAST = 16  # sampled pieces in a node that is split
+STEPS = 64  # of a weight of 1 in a sketch
 COMMON = 1024  # terms whose weights are sketched by a matrix product
 WIDE = 24  # a term that one piece of so many holds has a row of its own in a shard
 BATCH_CHARS = 1 << 20
@@ -224,7 +229,7 @@ class Stats:
             first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
             tf, pair = np.diff(np.append(first, len(pair))), pair[first]
             doc, term = pair >> 32, pair & 0xFFFFFFFF
-            weight = (self.idf[term] * self.frequency(tf, n[doc])).astype(np.float32)
+            weight = np.rint(self.idf[term] * self.frequency(tf, n[doc]) * STEPS).astype(np.float32)  # sums are exact in any order
             dense, at = np.zeros((len(some), len(common)), np.float32), row[term]
             dense[doc[at >= 0], at[at >= 0]] = weight[at >= 0]
             found = dense @ shared
@@ -281,7 +286,7 @@ class Tree:
         """Leaf of each sketch, in the order of the leaves, and where it lies along the leaf's main direction."""
         node = np.zeros(len(x), np.int64)
         while True:
-            at = np.einsum("ij,ij->i", x, self.axes[node])
+            at = (x * self.axes[node]).sum(axis=1)
             inner = self.kids[node, 0] >= 0
             if not inner.any():
                 return self.kids[node, 1], at.round(6)
@@ -448,20 +453,38 @@ def routing(pieces: DataFrame, stats: Stats, shard: int) -> Tree:
     return Tree(x[order], stats.pieces, shard)
 
 
-def routed(pieces: DataFrame, stats: Stats, tree: Tree, scratch: Scratch) -> DataFrame:
-    """The pieces with leaf and at, in the order of their routes within and across partitions.
+def routed(pieces: DataFrame, stats: Stats, tree: Tree, shard: int, scratch: Scratch) -> DataFrame:
+    """The pieces with their shard; a partition has whole groups of shards, in order.
 
-    They are written first, since dealing them out by ranges reads them twice.
+    They are written first, since their routes are counted before they are dealt out.
     """
 
     def run(batches):
         for batch in batches:
             leaf, at = tree.route(stats.sketches(_lists(batch.column(3), len(stats.idf))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(at)], names=[*batch.schema.names, "leaf", "at"])
-
-    keys = ["leaf", "at", "doc_id", "start", "tie"]
-    found = pieces.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, "doc_id long, start long, doc_tokens long, ids binary, leaf long, at double")
-    return scratch.table(found.withColumn("tie", F.xxhash64("ids")), "routed").repartitionByRange(*keys).sortWithinPartitions(*keys)
+            part = np.clip((at + 1) * (BINS / 2), 0, BINS - 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf), pa.array(at), pa.array(part)], names=[*batch.schema.names, "leaf", "at", "bin"])
+
+    found = pieces.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, "doc_id long, start long, doc_tokens long, ids binary, leaf long, at double, bin long")
+    table = scratch.table(found.withColumn("tie", F.xxhash64("ids")), "routed")
+    counts = table.groupBy("leaf", "bin").agg(F.count("*").alias("n")).orderBy("leaf", "bin").toArrow()  # at most BINS rows a leaf, of which there are at most SAMPLE / LEAST * 2
+    cuts = counts.drop_columns("n").append_column("first", pa.array(cut_shards(counts["n"].to_pylist(), shard))).append_column("parts", pa.array([-(-n // shard) for n in counts["n"].to_pylist()], pa.int64()))
+    number = F.col("first") + F.pmod(F.xxhash64("doc_id", "start", "tie"), F.col("parts"))
+    dealt = table.join(F.broadcast(pieces.sparkSession.createDataFrame(cuts)), ["leaf", "bin"]).withColumn("shard", number).withColumn("group", F.expr(f"shard div {GROUP}"))
+    return dealt.repartition("group").sortWithinPartitions("shard", "leaf", "at", "doc_id", "start", "tie")
+
+
+def cut_shards(counts: list[int], size: int) -> list[int]:
+    """The (first) shard of each bin: bins that follow each other share one while they fit; a bigger bin has as many of its own as it needs."""
+    first, shard, used = [], 0, 0
+    for n in counts:
+        if used and used + n > size:
+            shard, used = shard + 1, 0
+        first.append(shard)
+        used += n
+        if n > size:
+            shard, used = shard + -(-n // size), 0
+    return first
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard: int = SHARD, with_ids: bool = False) -> DataFrame:
@@ -490,27 +513,30 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, shard:
                 yield rows_of(list(zip(doc_id, start, _lists(batch.column(3), len(stats.idf)), total, seq, [0] * len(seq), strict=True)))
 
     def deal(batches):
-        packer, pool = Packer(window, stats), []
-        base = TaskContext.get().partitionId() << 36
+        packer, pool, now = None, [], -1
 
         def emit():
             packer.pack(pool)
             out, packer.out = packer.out, []
+            base = now // GROUP << 32
+            pool.clear()
             return rows_of([(doc_id, start, ids[start - first : start - first + n], total, base + seq, at) for (doc_id, first, ids, total), start, n, seq, at in out])
 
         for batch in batches:
-            for doc_id, start, total, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), _lists(batch.column(3), len(stats.idf)), strict=True):
-                pool.append(((doc_id, start, ids, total), start, ids))
-                if len(pool) >= shard:
+            for number, doc_id, start, total, ids in zip(*(batch.column(k).to_pylist() for k in (4, 0, 1, 2)), _lists(batch.column(3), len(stats.idf)), strict=True):
+                if pool and (number != now or len(pool) >= 2 * shard):  # only repeated rows make a shard so big
                     yield emit()
-                    pool.clear()
+                if packer is None or number // GROUP != now // GROUP:
+                    packer = Packer(window, stats)
+                now = number
+                pool.append(((doc_id, start, ids, total), start, ids))
         if pool:
             yield emit()
 
     whole = table.where("sequence_id IS NOT NULL").mapInArrow(windows, schema)
     if not stats.pieces:
         return whole
-    return whole.unionByName(routed(pieces, stats, routing(pieces, stats, shard), scratch).select("doc_id", "start", "doc_tokens", "ids").mapInArrow(deal, schema))
+    return whole.unionByName(routed(pieces, stats, routing(pieces, stats, shard), shard, scratch).select("doc_id", "start", "doc_tokens", "ids", "shard").mapInArrow(deal, schema))
 
 
 def _encoded(batches, encode: Encoder):
