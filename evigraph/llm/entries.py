@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mixing": mixing.op8_mixing,
         "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_quality_rules": quality_rules.op10_quality_rules,
+        "quality_ablation": quality_rules.quality_ablation,
         "op11_alignment": alignment.op11_alignment,
         "op12_near_vectors": vector_graph.op12_near_vectors,
         "op13_vector_codes": vector_codes.op13_vector_codes,
@@ -28,6 +29,7 @@ def oracle_sql() -> dict:
         "op8_mixing": mixing.OP8_SQL,
         "op9_line_dedup": line_dedup.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
+        "quality_ablation": quality_rules.QUALITY_ABLATION_SQL,
         "op12_near_vectors": vector_graph.OP12_SQL,
         "op13_vector_codes": vector_codes.OP13_SQL,
     }

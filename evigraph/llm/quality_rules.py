@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import documents, whole_text, word_array
+from evigraph.llm.common import Scratch, documents, whole_text, word_array
 
 WINDOW = 5
 
@@ -100,10 +100,21 @@ def ablation(ledger: DataFrame, policy: str) -> DataFrame:
     return each.groupBy("rule").agg(count(F.col("bits").bitwiseAND(F.col("bit")) != 0)("failed"), count(F.col("bits") == F.col("bit"))("failed_alone"), count(without == 0)("kept_without"))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written once; policies and ablations read it and not the texts."""
+    return Scratch(docs.sparkSession, "quality-ledger").table(evaluate(docs), "ledger")
+
+
 def op10_quality_rules(spark, sf_dir) -> DataFrame:
-    ledger = apply_policy(evaluate(documents(spark, sf_dir)), "v1")
-    base = F.col("fail_bits").bitwiseAND(F.lit(mask("base")).cast("long")) != 0
-    return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
+    ledger = apply_policy(stored(documents(spark, sf_dir)), "base").withColumn("base_failed", ~F.col("kept"))
+    return apply_policy(ledger, "v1").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+def quality_ablation(spark, sf_dir) -> DataFrame:
+    """Both policies' ablations from one stored ledger."""
+    ledger = stored(documents(spark, sf_dir))
+    of = lambda policy: ablation(ledger, policy).withColumn("policy", F.lit(policy))
+    return of("base").unionByName(of("v1"))
 
 
 OP10_SQL = r"""
@@ -128,3 +139,12 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100
       + (CASE WHEN 100 * n_upper > 50 * word_chars THEN 32 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM f
 """
+
+QUALITY_ABLATION_SQL = (
+    "WITH l AS ("
+    + OP10_SQL.strip()
+    + """), r(policy, whole, rule, bit) AS (VALUES ('base', 3, 'few_words', 1), ('base', 3, 'repeated_windows', 2), ('v1', 63, 'few_words', 1), ('v1', 63, 'repeated_windows', 2),
+  ('v1', 63, 'symbols', 4), ('v1', 63, 'repeated_lines', 8), ('v1', 63, 'word_length', 16), ('v1', 63, 'shouting', 32))
+SELECT policy, rule, CAST(sum(CASE WHEN fail_bits & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN fail_bits & whole = bit THEN 1 ELSE 0 END) AS BIGINT) AS failed_alone,
+  CAST(sum(CASE WHEN fail_bits & (whole - bit) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS kept_without FROM l, r GROUP BY policy, rule"""
+)

@@ -159,6 +159,26 @@ def test_packing_searches_the_whole_table_whatever_the_files(spark, tmp_path):
     assert mates[0] == mates[1]
 
 
+def test_packing_is_the_same_in_every_partitioning(spark, tmp_path):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choices(WORDS, k=rng.randint(1, 30))) for _ in range(300)] + ["the same text again"] * 90
+    docs, found = saved(spark, tmp_path, texts), []
+    for partitions, cores in ((3, 2), (8, 5)):
+        for name, value in (("spark.sql.shuffle.partitions", partitions), ("spark.sql.leafNodeDefaultParallelism", cores)):
+            spark.conf.set(name, value)
+        rows = packing.pack(spark.read.parquet(str(tmp_path / "documents")), window=64, shard=20).where(f"sequence_id < {packing.WHOLE}").collect()
+        found.append(sorted((r["sequence_id"], r["offset"], r["doc_id"], r["start"], r["length"]) for r in rows))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    assert found[0] == found[1] and {r[2] for r in found[0]} == set(range(len(texts)))
+    assert docs.count() == len(texts)
+
+
+def test_shards_are_cut_from_counts():
+    assert packing.cut_shards([3, 4, 5, 25, 2, 8, 1], 10) == [0, 0, 1, 2, 5, 5, 6]
+    assert packing.cut_shards([], 10) == []
+
+
 def test_packing_counts_terms_over_the_whole_table(spark, tmp_path):
     docs = saved(spark, tmp_path, texts := corpus(14, 40))
     encoder = packing.encoder(packing.vocabulary())
