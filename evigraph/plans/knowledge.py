@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
 from evigraph.functions.scratch import Scratch
-from evigraph.operators import checks, curate, evals, evidence, lineage, proposals, runs
+from evigraph.operators import checks, chunks, curate, evals, evidence, lineage, proposals, runs
 from evigraph.plans.registry import Tables, query
 from evigraph.sources import workspace
 from evigraph.streaming import watch
@@ -525,3 +525,25 @@ def _(t):
 def _(t):
     counts = watch.windowed_counts(t.events)
     return counts.select("event_type", F.col("window.start").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("chunk_sections", r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+f AS (SELECT *, starts_with(line, '```') AS mark, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS fences FROM l),
+c AS (SELECT *, CASE WHEN fences % 2 = 1 OR mark THEN 'code' || CAST((fences + 1) // 2 AS BIGINT) WHEN starts_with(line, '|') THEN 'table' WHEN regexp_matches(line, '^[\x20\x09-\x0D]*$') THEN 'blank' ELSE 'text' END AS kind FROM f),
+h AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY k) AS was FROM c),
+b AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> kind OR (kind = 'text' AND regexp_matches(line, '^#{1,6} ')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS block,
+  sum(CASE WHEN kind = 'text' AND starts_with(line, '# ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS section FROM h),
+g AS (SELECT doc_id, block, max(section) AS section, CASE WHEN min(kind) = 'text' THEN 1180 ELSE 4000 END AS width, string_agg(line, chr(10) ORDER BY k) AS text FROM b WHERE kind <> 'blank' GROUP BY doc_id, block),
+e AS (SELECT *, width = 4000 AND length(text) > 1180 AS own, unnest(range(0, (length(text) - 1) // width + 1)) AS i FROM g),
+p AS (SELECT doc_id, section, block, i, own, substr(text, i * width + 1, width) AS text FROM e),
+z AS (SELECT *, CASE WHEN coalesce(own OR lag(own) OVER w OR section <> lag(section) OVER w, true) THEN 1 ELSE 0 END AS ends FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY block, i)),
+r AS (SELECT *, sum(ends) OVER (PARTITION BY doc_id ORDER BY block, i) AS run, ceil((length(text) + 2) / 4) AS n FROM z),
+s AS (SELECT *, CAST(floor(coalesce(sum(n) OVER (PARTITION BY doc_id, run ORDER BY block, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 600) AS BIGINT) AS step FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run, step ORDER BY block, i) AS j FROM s),
+m AS (SELECT doc_id, run, step, max(section) AS section, min(i) FILTER (WHERE j = 1) = 0 AS fresh, string_agg(CASE WHEN j > 1 AND i = 0 THEN chr(10) || chr(10) ELSE '' END || text, '' ORDER BY j) AS body FROM o GROUP BY doc_id, run, step),
+t AS (SELECT *, coalesce(right(lag(body) OVER (PARTITION BY doc_id, run ORDER BY step), 400), '') AS tail FROM m),
+x AS (SELECT *, tail || CASE WHEN tail <> '' AND fresh THEN chr(10) || chr(10) ELSE '' END || body AS whole FROM t)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY run, step) - 1 AS ordinal, CAST(section AS BIGINT) AS section, CAST(ceil(length(whole) / 4) AS BIGINT) AS tokens, CAST(length(tail) AS BIGINT) AS overlap, sha256(whole) AS text_sha256 FROM x""")
+def _(t):
+    found = chunks.section_chunks(t.documents.select(F.col("doc_id").alias("owner_id"), "text"))
+    return found.select(F.col("owner_id").alias("doc_id"), "ordinal", "section", "tokens", "overlap", F.sha2("text", 256).alias("text_sha256"))

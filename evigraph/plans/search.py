@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from evigraph.functions import text as T
 from evigraph.functions import vector as V
 from evigraph.functions.scratch import Scratch
-from evigraph.operators import evals, search
+from evigraph.operators import clauses, evals, search
 from evigraph.operators.index import TextIndex, kept_index
 from evigraph.plans.registry import Tables, query
 
@@ -157,6 +157,27 @@ def _(t):
     return sizes.groupBy("n", F.substring(F.col("term"), F.lit(1), F.col("n")).alias("prefix")).agg(F.count("*").alias("terms"))
 
 
+# Documents whose id is divisible by 50 ask with the first six words of their title: one that must be there, a phrase and two more of which one must, one that must not, and a prefix.
+_CLAUSES = _BASE + rf""",
+uw AS MATERIALIZED (SELECT unit_id, {_WORDS.format(x='body')} AS ts FROM u),
+qw AS (SELECT qid, {_WORDS.format(x='query')} AS w FROM q),
+qc AS (SELECT qid, w[1] AS must, w[2:3] AS phrase, w[4:5] AS choice, w[6:6] AS banned, substr(w[1], 1, 3) AS pre FROM qw WHERE len(w) > 0 AND length(w[1]) BETWEEN 2 AND 900 AND length(array_to_string(w[1:6], ' ')) <= 900),
+h AS (SELECT qid, unit_id, len(list_filter(ts, lambda x: x = must)) AS n1, len(list_filter(ts, lambda x: starts_with(x, pre))) AS n2, len(phrase) AS np, len(choice) AS ns,
+  CASE len(phrase) WHEN 0 THEN 0 WHEN 1 THEN len(list_filter(ts, lambda x: x = phrase[1])) ELSE len(list_filter(range(1, len(ts)), lambda i: ts[i] = phrase[1] AND ts[i + 1] = phrase[2])) END AS n3,
+  coalesce(list_sum(list_transform(choice, lambda s: len(list_filter(ts, lambda x: x = s)))), 0) AS n4, len(banned) > 0 AND list_has_any(ts, banned) AS bad FROM uw CROSS JOIN qc WHERE list_contains(ts, must))
+SELECT qid, unit_id, CAST(n1 + n2 + n3 + n4 AS BIGINT) AS hits FROM h WHERE n2 > 0 AND (np + ns = 0 OR n3 + n4 > 0) AND NOT bad"""
+
+
+@query("search_clauses", _CLAUSES)
+def _(t):
+    w = F.col("w")
+    asking = asked(t).select("qid", T.words(F.col("query")).alias("w")).where(F.size("w") > 0)
+    q = asking.where(F.length(w[0]).between(2, 900) & (F.length(F.array_join(F.slice("w", 1, 6), " ")) <= 900)).select(
+        "qid", F.array(w[0]).alias("every"), F.concat(F.array(F.array_join(F.slice("w", 2, 2), " ")), F.slice("w", 4, 2)).alias("some"), F.slice("w", 6, 1).alias("none"), F.array(F.substring(w[0], 1, 3)).alias("prefixes")
+    )
+    return clauses.match(units(t), q)
+
+
 @query("search_snippet", "SELECT doc_id, substr(text, greatest(strpos(lower(text), 'licensed') - 40, 1), 88) AS snippet FROM documents WHERE contains(lower(text), 'licensed')")
 def _(t):
     return t.documents.where(F.contains(F.lower("text"), F.lit("licensed"))).select("doc_id", search.snippet(F.col("text"), F.lit("licensed")).alias("snippet"))
