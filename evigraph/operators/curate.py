@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from evigraph.constants import DUPLICATE_SIMILARITY, RESOLUTION_MARGIN
 from evigraph.functions import text as T
+from evigraph.functions.scratch import Scratch
 from evigraph.functions import vector as V
 
 
@@ -81,12 +84,35 @@ def resolve_entities(mentions: DataFrame, channels: list[DataFrame], margin: flo
     for i, channel in enumerate(channels):
         part = channel.select("mention_id", "node_id", "score", F.lit(i).alias("priority"))
         union = part if union is None else union.unionByName(part)
-    best = union.withColumn("least", F.min("priority").over(W.partitionBy("mention_id"))).where("priority = least").groupBy("mention_id", "node_id").agg(F.max("score").alias("score"))
+    decided = settle(union.withColumn("least", F.min("priority").over(W.partitionBy("mention_id"))).where("priority = least"), margin)
+    return mentions.select("mention_id").join(decided, "mention_id", "left").select("mention_id", F.coalesce("decision", F.lit("new")).alias("decision"), "target")
+
+
+def settle(candidates: DataFrame, margin: float = RESOLUTION_MARGIN) -> DataFrame:
+    """(mention_id, decision, target) of candidates (mention_id, node_id, score): the best one, unless the next is within the margin."""
+    best = candidates.groupBy("mention_id", "node_id").agg(F.max("score").alias("score"))
     w = W.partitionBy("mention_id").orderBy(F.desc("score"), "node_id")
     top = best.withColumn("next", F.lead("score").over(w)).withColumn("i", F.row_number().over(w)).where("i = 1")
     close = F.col("next").isNotNull() & (F.round(F.col("score") - F.col("next"), 9) < margin)
-    decided = top.select("mention_id", F.when(close, "ambiguous").otherwise("existing").alias("d"), F.when(~close, F.col("node_id")).alias("target"))
-    return mentions.select("mention_id").join(decided, "mention_id", "left").select("mention_id", F.coalesce("d", F.lit("new")).alias("decision"), "target")
+    return top.select("mention_id", F.when(close, "ambiguous").otherwise("existing").alias("decision"), F.when(~close, F.col("node_id")).alias("target"))
+
+
+def cascade(mentions: DataFrame, steps: list[tuple[str, Callable[[DataFrame], DataFrame]]], margin: float = RESOLUTION_MARGIN) -> DataFrame:
+    """(mention_id, decision, target, channel) of mentions (mention_id, which is unique, and what the steps need).
+
+    A step is a channel's name and a function from mentions to candidates (mention_id, node_id, score); those for which it has any are decided.
+    What is left after a step is a table, so that a dear channel (full text, vectors) is
+    only asked for mentions that the cheap ones before it could not settle.
+    """
+    scratch = Scratch(mentions.sparkSession, "cascade")
+    left, decided = mentions, []
+    for i, (name, candidates) in enumerate(steps):
+        decided.append(scratch.table(settle(candidates(left), margin).withColumn("channel", F.lit(name)), f"decided{i}"))
+        left = scratch.table(left.join(decided[-1].select("mention_id"), "mention_id", "left_anti"), f"left{i}")
+    out = left.select("mention_id", F.lit("new").alias("decision"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("channel"))
+    for part in decided:
+        out = out.unionByName(part)
+    return out
 
 
 def review_summary(items: DataFrame, mode: str = "strict") -> DataFrame:

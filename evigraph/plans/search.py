@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 from evigraph.functions import text as T
 from evigraph.functions import vector as V
 from evigraph.functions.scratch import Scratch
-from evigraph.operators import clauses, evals, search
+from evigraph.operators import clauses, curate, evals, search
 from evigraph.operators.index import TextIndex, kept_index
 from evigraph.plans.registry import Tables, query
 
@@ -321,3 +321,43 @@ def _(t):
 def _(t):
     w = W.partitionBy("qid").orderBy(F.desc("normalized"), "unit_id")
     return evals.retrieval(fused(t).withColumn("rank", F.row_number().over(w)), relevant(t))
+
+
+# Mentions are the documents whose id is divisible by 50, nodes all others: by an identifier made of the text's length, by title, by source, language and length, by words, by vectors.
+_NODE = "doc_id % 50 <> 0"
+_CASCADE = _BASE + "," + _bm25("w", _WORDS, _NODE) + "," + _vector("u." + _NODE) + rf""",
+m AS (SELECT doc_id, 'doc:' || doc_id AS node, 'doc:' || length(text) AS given, {_NORM.format(x="string_split(text, chr(10))[1]")} AS name, source || ':' || lang || ':' || length(text) AS alias FROM documents),
+a AS (SELECT * FROM m WHERE doc_id % 50 = 0), k AS (SELECT * FROM m WHERE {_NODE}),
+c AS (SELECT a.doc_id AS id, k.node, 1.0::DOUBLE AS score, 1 AS p, 'identifier' AS channel FROM a JOIN k ON k.node = a.given
+  UNION ALL SELECT a.doc_id, k.node, 0.95::DOUBLE, 2, 'name' FROM a JOIN k USING (name)
+  UNION ALL SELECT a.doc_id, k.node, 0.9::DOUBLE, 3, 'alias' FROM a JOIN k USING (alias)
+  UNION ALL SELECT qid, unit_id, round(score / max(score) OVER (PARTITION BY qid), 6), 4, 'text' FROM w WHERE score >= 8
+  UNION ALL SELECT qid, unit_id, score, 5, 'vector' FROM v WHERE score >= 0.3),
+f AS (SELECT * FROM c QUALIFY p = min(p) OVER (PARTITION BY id)),
+b AS (SELECT id, node, channel, max(score) AS score FROM f GROUP BY ALL),
+o AS (SELECT *, lead(score) OVER w AS next, row_number() OVER w AS i FROM b WINDOW w AS (PARTITION BY id ORDER BY score DESC, node)),
+r AS (SELECT id, channel, node, next IS NOT NULL AND round(score - next, 9) < 0.05 AS close FROM o WHERE i = 1)
+SELECT doc_id AS mention_id, CASE WHEN node IS NULL THEN 'new' WHEN close THEN 'ambiguous' ELSE 'existing' END AS decision, CASE WHEN NOT close THEN r.node END AS target, channel FROM (SELECT doc_id FROM a) LEFT JOIN r ON id = doc_id"""
+
+
+@query("entity_cascade", _CASCADE)
+def _(t):
+    size = F.length("text").cast("string")
+    all_ = t.documents.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("node_id"), F.concat(F.lit("doc:"), size).alias("given"), F.element_at(F.split("text", "\n", -1), 1).alias("title"), F.concat("source", F.lit(":"), "lang", F.lit(":"), size).alias("alias"))
+    all_ = all_.withColumn("name", T.normalize_name(F.col("title")))
+    nodes = all_.where(_NODE).select("node_id", "name", "alias")
+    equal = lambda on, key, score: lambda left: left.select("mention_id", F.col(on).alias("wanted")).join(nodes, F.col("wanted") == F.col(key)).select("mention_id", "node_id", F.lit(score).alias("score"))
+
+    def by_text(left):
+        found = kept_index(t.documents, units(t), "word", T.words).search(left.select(F.col("mention_id").alias("qid"), F.col("title").alias("query")), F.expr(_NODE))
+        ranked = search.rank_candidates(found).where("score >= 8")
+        return ranked.select(F.col("qid").alias("mention_id"), F.col("unit_id").alias("node_id"), F.round(F.col("score") / F.max("score").over(W.partitionBy("qid")), 6).alias("score"))
+
+    def by_vector(left):
+        base = t.embeddings.join(t.documents.where(_NODE).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+        asking = left.join(t.embeddings, F.col("mention_id") == F.col("vec_id")).select(F.col("mention_id").alias("qid"), F.col("embedding").alias("qv"))
+        near = V.knn(base.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), asking, 100).where("score >= 0.3")
+        return near.select(F.col("qid").alias("mention_id"), F.concat(F.lit("doc:"), F.col("id").cast("string")).alias("node_id"), "score")
+
+    steps = [("identifier", equal("given", "node_id", 1.0)), ("name", equal("name", "name", 0.95)), ("alias", equal("alias", "alias", 0.9)), ("text", by_text), ("vector", by_vector)]
+    return curate.cascade(all_.where("doc_id % 50 = 0").select(F.col("doc_id").alias("mention_id"), "given", "title", "name", "alias"), steps)

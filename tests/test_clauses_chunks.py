@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from evigraph.operators import chunks, clauses
+from evigraph.operators import chunks, clauses, curate
 
 WORDS = "alpha beta gamma delta epsilon zeta".split()
 EMPTY = {"every": [], "some": [], "none": [], "prefixes": []}
@@ -119,3 +119,21 @@ def test_section_chunks_equal_a_walk_through_the_lines(spark):
     assert max(r["tokens"] for r in rows) <= 1000 and any(r["overlap"] == 400 for r in rows)
     assert all(r["tokens"] == -(-len(r["text"]) // 4) for r in rows)
     assert chunks.section_chunks(frame.where("false")).isEmpty()
+
+
+def test_cascade_asks_each_channel_only_for_what_is_left(spark):
+    mentions = spark.createDataFrame([(i,) for i in range(5)], "mention_id long")
+    asked = []
+
+    def channel(*found):
+        def step(left):
+            asked.append({r["mention_id"] for r in left.collect()})
+            return spark.createDataFrame(found, "mention_id long, node_id string, score double").join(left, "mention_id", "left_semi")
+
+        return step
+
+    steps = [("identifier", channel((0, "a", 1.0))), ("name", channel((0, "x", 1.0), (1, "b", 0.95), (1, "b", 0.9))), ("text", channel((2, "c", 0.9), (2, "d", 0.86))), ("vector", channel((2, "c", 0.9), (3, "c", 0.9), (3, "d", 0.85)))]
+    got = {tuple(r) for r in curate.cascade(mentions, steps).select("mention_id", "decision", "target", "channel").collect()}
+    assert got == {(0, "existing", "a", "identifier"), (1, "existing", "b", "name"), (2, "ambiguous", None, "text"), (3, "existing", "c", "vector"), (4, "new", None, None)}
+    assert asked == [{0, 1, 2, 3, 4}, {1, 2, 3, 4}, {2, 3, 4}, {3, 4}]
+    assert curate.cascade(mentions.where("false"), steps[:1]).isEmpty()
