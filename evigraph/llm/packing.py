@@ -246,40 +246,44 @@ def _signs(terms: int) -> np.ndarray:
     return np.random.default_rng(0).choice(np.array([-1, 1], np.float32), (terms, SKETCH))
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    """Covariances of the columns, times the number of rows; a few rows at a time are widened."""
+def _spread(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Covariances of the columns of some rows, times their number; a few rows at a time are widened."""
     sums, products = np.zeros(SKETCH), np.zeros((SKETCH, SKETCH))
-    for a in range(0, len(x), 4096):
-        part = x[a : a + 4096].astype(np.float32)
+    for a in range(0, len(rows), 4096):
+        part = x[rows[a : a + 4096]].astype(np.float32)
         sums += part.sum(axis=0)
         products += part.T @ part
-    return products - np.outer(sums, sums) / max(1, len(x))
+    return products - np.outer(sums, sums) / max(1, len(rows))
 
 
 class Tree:
-    """Halves a sample of sketches until a leaf stands for at most ``size`` of ``pieces``."""
+    """Halves a sample of sketches until a leaf stands for at most ``size`` of ``pieces``.
+
+    The driver fits it, so the halves are row numbers, not copies of the sample.
+    """
 
     def __init__(self, sample: np.ndarray, pieces: int, size: int):
         self.axes, self.cuts, self.kids = [], [], []
         self.leaves = 0
 
-        def grow(x: np.ndarray, share: float) -> int:
+        def grow(rows: np.ndarray, share: float) -> int:
             me = len(self.axes)
-            axis = np.linalg.eigh(_spread(x))[1][:, -1]
+            axis = np.linalg.eigh(_spread(sample, rows))[1][:, -1].copy()  # a view would hold all directions of the node
             axis *= np.sign(axis[np.argmax(np.abs(axis))]) or 1.0
-            at = np.concatenate([x[a : a + 4096].astype(np.float64) @ axis for a in range(0, len(x) or 1, 4096)])
-            cut = float(np.median(at)) if len(x) else 0.0
+            at = np.concatenate([sample[rows[a : a + 1024]].astype(np.float64) @ axis for a in range(0, len(rows) or 1, 1024)])
+            cut = float(np.median(at)) if len(rows) else 0.0
             self.axes.append(axis)
             self.cuts.append(cut)
             self.kids.append((-1, self.leaves))
             low = at < cut
-            if share * pieces > size and len(x) >= LEAST and 0 < low.sum() < len(x):
-                self.kids[me] = (grow(x[low], share / 2), grow(x[~low], share / 2))
+            if share * pieces > size and len(rows) >= LEAST and 0 < low.sum() < len(rows):
+                self.kids[me] = (grow(rows[low], share / 2), grow(rows[~low], share / 2))
             else:
                 self.leaves += 1
             return me
 
-        grow(sample, 1.0)
+        grow(np.arange(len(sample)), 1.0)
+        del grow  # refers to itself, so it would hold the sample until garbage is collected
         self.axes, self.cuts, self.kids = np.array(self.axes), np.array(self.cuts), np.array(self.kids)
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -430,11 +434,11 @@ def statistics(pieces: DataFrame, terms: int) -> Stats:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-2, -1])), pa.array(np.append(df[some], [n, size]))], names=["term", "n"])
 
-    found = {r.term: r.n for r in pieces.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n, size = found.pop(-2, 0), found.pop(-1, 0)
-    df = np.zeros(terms, np.int64)
-    df[list(found)] = list(found.values())
-    return Stats(n, size / max(n, 1), df)
+    found = pieces.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(terms + 2, np.int64)  # the last two are the number of pieces and of ids
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    n, size = df[terms:].tolist()
+    return Stats(n, size / max(n, 1), df[:terms])
 
 
 def routing(pieces: DataFrame, stats: Stats, shard: int) -> Tree:
@@ -444,13 +448,19 @@ def routing(pieces: DataFrame, stats: Stats, shard: int) -> Tree:
             yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary())], names=["x"])
 
     some = pieces.where(F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(-(-stats.pieces // SAMPLE))) == 0) if stats.pieces > SAMPLE else pieces
-    got = some.select("ids").mapInArrow(run, "x binary").toArrow()["x"]
-    x = np.empty((len(got), SKETCH), np.float16)
-    for i, value in enumerate(got):
-        x[i] = np.frombuffer(value.as_buffer(), np.float16)
-    del got
-    order = np.argsort(np.fromiter((xxhash.xxh64_intdigest(row.tobytes()) for row in x), np.uint64, len(x)), kind="stable")  # whatever order they came in
-    return Tree(x[order], stats.pieces, shard)
+    x = ordered(some.select("ids").mapInArrow(run, "x binary").toArrow()["x"])
+    pa.default_memory_pool().release_unused()
+    return Tree(x, stats.pieces, shard)
+
+
+def ordered(sketches: pa.ChunkedArray) -> np.ndarray:
+    """The sketches, by their hash, whatever order they came in; each is copied once."""
+    order = np.argsort(np.fromiter((xxhash.xxh64_intdigest(s.as_buffer()) for s in sketches), np.uint64, len(sketches)), kind="stable")
+    place, x = np.empty(len(order), np.int64), np.empty((len(order), SKETCH), np.float16)
+    place[order] = np.arange(len(order))
+    for at, sketch in zip(place, sketches, strict=True):
+        x[at] = np.frombuffer(sketch.as_buffer(), np.float16)
+    return x
 
 
 def routed(pieces: DataFrame, stats: Stats, tree: Tree, shard: int, scratch: Scratch) -> DataFrame:

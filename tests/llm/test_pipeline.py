@@ -1,6 +1,10 @@
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 from evigraph.llm import language_id, mixing, packing, simhash
 
 import corpus_pipeline
@@ -78,3 +82,18 @@ def test_stages_equal_brute_force(spark, tmp_path):
     encoder = packing.Encoder(packing.vocabulary())
     assert sum(r["length"] for r in pieces) == sum(len(encoder.encode(r["text"])) + 1 for r in mixed)
     assert corpus_pipeline.run(spark, sf).count() == len(pieces)
+
+
+def test_routing_tree_holds_no_copies_of_its_sample():
+    x = np.random.default_rng(23).standard_normal((16384, packing.SKETCH), np.float32).astype(np.float16)
+    rows = [r.tobytes() for r in x]
+    tracemalloc.start()
+    tree = packing.Tree(x, 64 * 2048, 2048)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tree.leaves == 64 and peak < 2 * x.nbytes
+    leaf, _ = tree.route(x.astype(np.float32))
+    assert np.bincount(leaf).tolist() == [256] * 64
+    one = packing.ordered(pa.chunked_array([rows[:5000], rows[5000:]], pa.binary()))
+    other = packing.ordered(pa.chunked_array([rows[::-1]], pa.binary()))
+    assert np.array_equal(one, other) and sorted(r.tobytes() for r in one) == sorted(rows)
