@@ -91,8 +91,10 @@ def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array([doc_id] * len(found), pa.int64()), pa.array([n for n, _ in cut], pa.int32()), *arrays], names=["lang", "doc_id", "size", "bins", "counts"])
 
     rows = chosen.mapInArrow(run, "lang string, doc_id long, size int, bins array<short>, counts array<int>").toArrow()
-    bins, counts = rows["bins"].combine_chunks(), rows["counts"].combine_chunks()
-    found = [(lang, b, counts[i].values.to_numpy(), size, doc_id) for i, (lang, doc_id, size) in enumerate(zip(*(rows[c].to_pylist() for c in ("lang", "doc_id", "size")), strict=True)) if len(b := bins[i].values.to_numpy())]
+    found = []
+    for batch in rows.to_batches():  # views of the collected batches, which are not copied
+        bins, counts = batch.column("bins"), batch.column("counts")
+        found += [(lang, b, counts[i].values.to_numpy(), size, doc_id) for i, (lang, doc_id, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "doc_id", "size")), strict=True)) if len(b := bins[i].values.to_numpy())]
     return [x[:4] for x in sorted(found, key=lambda x: (x[0], x[4] is None, x[4] or 0, x[3], x[1].tobytes(), x[2].tobytes()))]
 
 
@@ -118,10 +120,11 @@ def fit(profiles: list[tuple[str, np.ndarray, np.ndarray, int]], centroids: int
         for _ in range(8):
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
             near = np.argmax(x @ c.T, axis=1)
-            c = np.array([x[near == k].sum(0) if np.any(near == k) else c[k] for k in range(len(c))])
+            c = np.array([np.sum(x, 0, where=(near == k)[:, None]) if np.any(near == k) else c[k] for k in range(len(c))])  # without copies of the rows
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
         langs += [lang] * len(c)
         centres.append(c)
+        del x  # before the next language's
     model = {"idf": idf, "langs": langs, "centroids": np.concatenate(centres).astype(np.float64)}
     points = []
     for size in PREFIXES:

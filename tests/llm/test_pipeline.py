@@ -97,3 +97,14 @@ def test_routing_tree_holds_no_copies_of_its_sample():
     one = packing.ordered(pa.chunked_array([rows[:5000], rows[5000:]], pa.binary()))
     other = packing.ordered(pa.chunked_array([rows[::-1]], pa.binary()))
     assert np.array_equal(one, other) and sorted(r.tobytes() for r in one) == sorted(rows)
+
+
+def test_language_model_holds_one_matrix_at_a_time():
+    rng = np.random.default_rng(24)
+    bins = [np.sort(rng.choice(language_id.BINS, 40, replace=False)) for _ in range(900)]
+    rows = [(f"l{i // 300}", b, rng.integers(1, 9, len(b)), 0) for i, b in enumerate(bins)]
+    tracemalloc.start()
+    model = language_id.fit(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model["langs"]) == 9 and peak < 1.5 * 300 * language_id.BINS * 4
