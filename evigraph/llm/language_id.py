@@ -11,7 +11,7 @@ languages (Italian next to Spanish) do not.
 
 The model is fitted on a bounded sample: at most about ``max_fit_rows`` labelled
 rows in all, as many from each language, chosen by a hash of id and text; equal rows count once.  Every row
-is classified, over its whole text.
+is classified, over its whole text.  One task fits it; the driver gets the model, not the sample.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0 and
 rejected; very long texts are counted in pieces; without labelled rows all texts
@@ -69,12 +69,12 @@ def _weights(bins, counts, idf) -> np.ndarray:
     return x / max(np.sqrt(x @ x), 1e-12)
 
 
-def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list[tuple[str, np.ndarray, np.ndarray, int]]:
-    """(lang, bins, counts, size) of the sample's texts (size 0) and, for about ``MAX_PREFIX_ROWS`` of them, of their prefixes of ``PREFIXES`` code points."""
+def sampled(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> DataFrame | None:
+    """lang, doc_id, size, bins and counts of the sample's texts (size 0) and, for about ``MAX_PREFIX_ROWS`` of them, of their prefixes of ``PREFIXES`` code points; None without labelled rows."""
     labelled = docs.where(F.col("lang").isNotNull() & ~held_out())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return []
+        return None
     each = max(1, max_fit_rows // len(counts))
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))])
     most = int(min(1.0, MAX_PREFIX_ROWS / sum(min(n, each) for n in counts.values())) * (1 << 20))
@@ -90,14 +90,44 @@ def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list
                 arrays = [pa.array([x[i].astype(kind) for x in found], pa.list_(pa.from_numpy_dtype(kind))) for i, kind in ((1, np.int16), (2, np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array([doc_id] * len(found), pa.int64()), pa.array([n for n, _ in cut], pa.int32()), *arrays], names=["lang", "doc_id", "size", "bins", "counts"])
 
-    rows = chosen.mapInArrow(run, "lang string, doc_id long, size int, bins array<short>, counts array<int>").toArrow()
+    return chosen.mapInArrow(run, "lang string, doc_id long, size int, bins array<short>, counts array<int>")
+
+
+def _ordered(batches) -> list[tuple[str, np.ndarray, np.ndarray, int]]:
+    """(lang, bins, counts, size) of the sample's rows, in the same order however they came; views of the batches, which are not copied."""
     found = []
-    for batch in rows.to_batches():  # views of the collected batches, which are not copied
+    for batch in batches:
         bins, counts = batch.column("bins"), batch.column("counts")
         found += [(lang, b, counts[i].values.to_numpy(), size, doc_id) for i, (lang, doc_id, size) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "doc_id", "size")), strict=True)) if len(b := bins[i].values.to_numpy())]
     return [x[:4] for x in sorted(found, key=lambda x: (x[0], x[4] is None, x[4] or 0, x[3], x[1].tobytes(), x[2].tobytes()))]
 
 
+def training_profiles(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> list[tuple[str, np.ndarray, np.ndarray, int]]:
+    """The rows of ``sampled``, collected."""
+    rows = sampled(docs, max_fit_rows)
+    return [] if rows is None else _ordered(rows.toArrow().to_batches())
+
+
+def learned(docs: DataFrame, max_fit_rows: int = MAX_FIT_ROWS) -> dict | None:
+    """What ``fit`` makes of the sample, fitted in one task: the sample is bounded, and the driver gets the model only."""
+    rows = sampled(docs, max_fit_rows)
+    if rows is None:
+        return None
+
+    def run(batches):
+        model = fit(_ordered(batches))
+        if model:
+            parts = [("idf", model["idf"]), *zip(model["langs"], model["centroids"], strict=True), *(("limits", x) for x in model["limits"])]
+            for k, (name, x) in enumerate(parts):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([name]), pa.array([x], pa.list_(pa.float64()))], names=["k", "name", "x"])
+
+    found = rows.repartition(1).mapInArrow(run, "k long, name string, x array<double>").toArrow().sort_by("k")
+    if not len(found):
+        return None
+    names, x = found["name"].to_pylist(), [v.values.to_numpy() for v in found["x"]]
+    return {"idf": x[0], "langs": names[1:-2], "centroids": np.array(x[1:-2]), "limits": (x[-2], x[-1])}
+
+
 def fit(profiles: list[tuple[str, np.ndarray, np.ndarray, int]], centroids: int = CENTROIDS) -> dict | None:
     """The model: idf, langs (one per centroid), centroids, and limits: (log2 of the number of different n-grams, which repetition does not raise; least cosine)."""
     rows = [(lang, bins, counts) for lang, bins, counts, size in profiles if not size]
@@ -169,10 +199,10 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str] | None = None,
 def accepted(docs: DataFrame) -> DataFrame:
     """The documents (all their columns) that the classifier doesn't reject."""
     names = tuple(fresh(docs, f"__{n}") for n in ("lang", "score", "rejected"))
-    return identify(docs, fit(training_profiles(docs)), docs.columns, names).where(~F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return identify(docs, learned(docs), docs.columns, names).where(~F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_language_id(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir)
-    found = identify(docs, fit(training_profiles(docs)))
+    found = identify(docs, learned(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -259,9 +259,16 @@ def _spread(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Tree:
     """Halves a sample of sketches until a leaf stands for at most ``size`` of ``pieces``.
 
-    The driver fits it, so the halves are row numbers, not copies of the sample.
+    One task fits it, and the halves are row numbers, not copies of the sample.
     """
 
+    @classmethod
+    def of(cls, axes: np.ndarray, cuts: np.ndarray, kids: np.ndarray) -> Tree:
+        """A tree that was fitted elsewhere."""
+        tree = cls.__new__(cls)
+        tree.axes, tree.cuts, tree.kids, tree.leaves = axes, cuts, kids, int(np.count_nonzero(kids[:, 0] < 0))
+        return tree
+
     def __init__(self, sample: np.ndarray, pieces: int, size: int):
         self.axes, self.cuts, self.kids = [], [], []
         self.leaves = 0
@@ -442,15 +449,26 @@ def statistics(pieces: DataFrame, terms: int) -> Stats:
 
 
 def routing(pieces: DataFrame, stats: Stats, shard: int) -> Tree:
+    """Fitted in one task on at most about ``SAMPLE`` sketches; the driver gets the tree only."""
+
     def run(batches):
         for batch in batches:
             x = stats.sketches(_lists(batch.column(0), len(stats.idf)))
             yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary())], names=["x"])
 
     some = pieces.where(F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(-(-stats.pieces // SAMPLE))) == 0) if stats.pieces > SAMPLE else pieces
-    x = ordered(some.select("ids").mapInArrow(run, "x binary").toArrow()["x"])
-    pa.default_memory_pool().release_unused()
-    return Tree(x, stats.pieces, shard)
+    total = stats.pieces
+
+    def grow(batches):
+        tree = Tree(ordered(pa.chunked_array([batch.column(0) for batch in batches], pa.binary())), total, shard)
+        for a in range(0, len(tree.axes), 1024):
+            axes, cuts, kids = tree.axes[a : a + 1024], tree.cuts[a : a + 1024], tree.kids[a : a + 1024]
+            yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(axes)), pa.int64()), pa.array(list(axes), pa.list_(pa.float64())), pa.array(cuts), pa.array(kids[:, 0]), pa.array(kids[:, 1])], names=["k", "axis", "cut", "low", "high"])
+
+    found = some.select("ids").mapInArrow(run, "x binary").repartition(1).mapInArrow(grow, "k long, axis array<double>, cut double, low long, high long").toArrow().sort_by("k")
+    if not len(found):  # no row was chosen
+        return Tree(np.empty((0, SKETCH), np.float16), total, shard)
+    return Tree.of(np.array([v.values.to_numpy() for v in found["axis"]]), found["cut"].to_numpy(), np.stack([found["low"].to_numpy(), found["high"].to_numpy()], axis=1))
 
 
 def ordered(sketches: pa.ChunkedArray) -> np.ndarray:

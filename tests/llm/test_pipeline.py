@@ -1,3 +1,4 @@
+import os
 import random
 import tracemalloc
 from collections import Counter
@@ -108,3 +109,35 @@ def test_language_model_holds_one_matrix_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(model["langs"]) == 9 and peak < 1.5 * 300 * language_id.BINS * 4
+
+
+def test_models_are_fitted_in_a_task(spark, tmp_path, monkeypatch):
+    rng = random.Random(25)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(150)] for lang, letters in (("en", "abcdefgh"), ("de", "efghijklm"))}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.randint(1, 60))), lang) for i in range(600) for lang in [rng.choice(["en", "de"])]]
+    spark.createDataFrame([*rows, (600, None, "en"), (601, "12", None)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    wanted = language_id.fit(language_id.training_profiles(docs))
+    pieces = packing.cut(docs, packing.vocabulary(), 64).where("sequence_id IS NULL")
+    stats = packing.statistics(pieces, packing.encoder(packing.vocabulary()).terms)
+    lists = [np.frombuffer(r["ids"], packing.id_type(len(stats.idf))) for r in pieces.select("ids").collect()]
+    tree = packing.Tree(packing.ordered(pa.chunked_array([[x.tobytes() for x in stats.sketches(lists).astype(np.float16)]], pa.binary())), stats.pieces, 64)
+
+    driver, fit, init = os.getpid(), language_id.fit, packing.Tree.__init__
+
+    def elsewhere(f):
+        def held(*args, **more):
+            assert os.getpid() != driver, "fitted in the driver"
+            return f(*args, **more)
+
+        return held
+
+    monkeypatch.setattr(language_id, "fit", elsewhere(fit))
+    monkeypatch.setattr(packing.Tree, "__init__", elsewhere(init))
+    got = language_id.learned(docs)
+    assert got["langs"] == wanted["langs"] == ["de"] * 3 + ["en"] * 3
+    assert all(np.array_equal(got[k], wanted[k]) for k in ("idf", "centroids")) and all(np.array_equal(a, b) for a, b in zip(got["limits"], wanted["limits"], strict=True))
+    assert language_id.accepted(docs).count() > 0 and language_id.learned(docs.where("lang IS NULL")) is None and language_id.learned(docs.where("text IS NULL")) is None
+    found = packing.routing(pieces, stats, 64)
+    assert found.leaves == tree.leaves > 4
+    assert np.array_equal(found.kids, tree.kids) and all(np.allclose(getattr(found, k), getattr(tree, k), atol=1e-6) for k in ("axes", "cuts"))  # threads of the matrix products differ
