@@ -43,8 +43,9 @@ def vector_channel(t, where=None):
 
 
 def fused(t, where=None, names=("word", "trigram", "vector")):
-    """The fused channels; questions without a vector do without that channel."""
-    return search.fuse(channels(t, where, names), able={"vector": with_vector(t)} if "vector" in names else None)
+    """The fused channels, as a table; questions without a vector do without that channel."""
+    hits = search.fuse(channels(t, where, names), able={"vector": with_vector(t)} if "vector" in names else None)
+    return Scratch(t.spark, "fused").table(hits, "hits")
 
 
 def channels(t, where=None, names=("word", "trigram", "vector")):
@@ -252,7 +253,7 @@ def _(t):
 
 
 def boosted(t):
-    return search.with_boosts(fused(t), units(t), asked(t))
+    return Scratch(t.spark, "boosted").table(search.with_boosts(fused(t), units(t), asked(t)), "hits")
 
 
 @query("rrf_boosted", _FINAL + " SELECT qid, unit_id, normalized, boost, final FROM f")
