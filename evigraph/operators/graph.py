@@ -9,6 +9,8 @@ from pyspark.sql.window import Window as W
 from evigraph.constants import EVIDENCE_ORDER, MAX_EDGES, MAX_NEIGHBOR_DEPTH, MAX_NODES, MAX_PATH_DEPTH, MAX_PATHS
 from evigraph.functions.scratch import Scratch
 
+FEW = 500_000  # nodes that may be broadcast
+
 
 def oriented(edges: DataFrame, direction: str = "outgoing") -> DataFrame:
     """(a, b, predicate, forward): steps a traversal may take.  Undirected edges may be walked both ways in any direction."""
@@ -94,9 +96,10 @@ def subgraph(edges: DataFrame, nodes: DataFrame, max_edges: int = MAX_EDGES) ->
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 4, paths: int = 3, direction: str = "ignore") -> DataFrame:
     """(source, target, length, nodes, predicates, rank): paths of the least length only, no node twice.
 
-    Walks start from both ends and meet in the middle.  A side keeps only walks that reach a
-    node at its least depth (the parts of a shortest path are shortest), each layer is a table, and a pair leaves
-    both sides once it is found.  Ties go by the evidence status of the edges, then predicates, then node ids.
+    Walks grow from both ends, on the side that has fewer, and one more step joins the two sides: it is looked up for the pairs of their last
+    nodes, so a hub's neighbours are not walked to.  A side keeps only walks that reach a node at its least depth (the
+    parts of a shortest path are shortest), each layer is a table, and a pair leaves both sides once it is found.  Ties go
+    by the evidence status of the edges, then predicates, then node ids.
     """
     if not 1 <= depth <= MAX_PATH_DEPTH or not 1 <= paths <= MAX_PATHS:
         raise ValueError(f"depth must be 1 to {MAX_PATH_DEPTH}, paths 1 to {MAX_PATHS}")
@@ -107,28 +110,50 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 4, paths: in
     key = ["source", "target"]
     start = lambda end: scratch.table(pairs.select(*key).where("source <> target").distinct().select(*key, F.col(end).alias("at"), F.array(end).alias("nodes"), F.array().cast("array<int>").alias("statuses"), F.array().cast("array<string>").alias("predicates")), f"{end}0")
     sides = {"source": [start("source")], "target": [start("target")]}
+    sizes = {end: layers[0].count() for end, layers in sides.items()}
+    near: dict[str, DataFrame] = {}  # steps from the nodes of a side's last layer
     found = []
 
+    def unfound(walks: DataFrame) -> DataFrame:
+        for x in found:
+            walks = walks.join(x.select(*key).distinct(), key, "left_anti")
+        return walks
+
+    def steps(end: str) -> DataFrame:
+        if end not in near:
+            nodes = scratch.table(unfound(sides[end][-1]).select(F.col("at").alias("a")).distinct(), f"{end}-nodes{len(sides[end])}")
+            few = F.broadcast(nodes) if nodes.count() <= FEW else nodes
+            near[end] = scratch.table((ahead if end == "source" else behind).join(few, "a", "left_semi").distinct(), f"{end}-steps{len(sides[end])}")
+        return near[end]
+
     def grow(end: str) -> None:
-        layers, steps = sides[end], ahead if end == "source" else behind
+        layers, way_on, open_ = sides[end], steps(end), unfound(sides[end][-1])
         add = (lambda old, new: F.concat(old, F.array(new))) if end == "source" else (lambda old, new: F.concat(F.array(new), old))
+        work = open_.groupBy(F.col("at").alias("a")).agg(F.count("*").alias("n")).join(way_on.groupBy("a").agg(F.count("*").alias("m")), "a").agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+        if work > 4 * way_on.count():
+            # a hub in many walks: nothing goes on from nodes whose only neighbour is the hub
+            ends, back = way_on.select(F.col("b").alias("a")).distinct(), ahead if end == "source" else behind
+            ends = scratch.table(ends, f"{end}-ends{len(layers)}")
+            two = back.join(F.broadcast(ends) if ends.count() <= FEW else ends, "a", "left_semi").groupBy(F.col("a").alias("b")).agg(F.min("b").alias("first"), F.max("b").alias("last"))
+            way_on = scratch.table(way_on.join(two, "b").where("first <> a OR last <> a").drop("first", "last"), f"{end}-through{len(layers)}")
         seen = layers[0].select(*key, "at")
         for layer in layers[1:]:
             seen = seen.unionByName(layer.select(*key, "at"))
-        open_ = layers[-1]
-        for x in found:
-            open_ = open_.join(x.select(*key).distinct(), key, "left_anti")
-        walks = open_.join(steps, F.col("at") == F.col("a")).select(*key, F.col("b").alias("at"), add("nodes", "b").alias("nodes"), add("statuses", "status").alias("statuses"), add("predicates", "predicate").alias("predicates"))
+        walks = open_.join(way_on, F.col("at") == F.col("a")).select(*key, F.col("b").alias("at"), add("nodes", "b").alias("nodes"), add("statuses", "status").alias("statuses"), add("predicates", "predicate").alias("predicates"))
         layers.append(scratch.table(walks.distinct().join(seen.distinct(), [*key, "at"], "left_anti"), f"{end}{len(layers)}"))
+        sizes[end] = layers[-1].count()
+        near.pop(end)
 
     for length in range(1, depth + 1):
-        grow("source" if length % 2 else "target")
-        left, right = sides["source"][(length + 1) // 2], sides["target"][length // 2]
-        right = right.select(*key, "at", F.slice("nodes", F.lit(2), F.size("nodes")).alias("rest"), F.col("statuses").alias("s"), F.col("predicates").alias("p"))
-        met = left.join(right, [*key, "at"])
-        for x in found:
-            met = met.join(x.select(*key).distinct(), key, "left_anti")
-        met = met.select(*key, F.lit(length).cast("long").alias("length"), F.concat("nodes", "rest").alias("nodes"), F.concat("statuses", "s").alias("statuses"), F.concat("predicates", "p").alias("predicates"))
+        if length > 1:  # the side with fewer walks grows
+            grow(min(sides, key=lambda end: (sizes[end], len(sides[end]))))
+        left, right = unfound(sides["source"][-1]), unfound(sides["target"][-1])
+        right = right.select(*key, F.col("at").alias("to"), F.col("nodes").alias("rest"), F.col("statuses").alias("s"), F.col("predicates").alias("p"))
+        # the step between the two sides: pairs of their nodes first, so that a hub's neighbours are not walked to
+        end = "source" if sizes["source"] <= sizes["target"] else "target"
+        here, there = ("at", "to") if end == "source" else ("to", "at")
+        met = left.join(right, key).join(steps(end), (F.col(here) == F.col("a")) & (F.col(there) == F.col("b")))
+        met = met.select(*key, F.lit(length).cast("long").alias("length"), F.concat("nodes", "rest").alias("nodes"), F.concat("statuses", F.array("status"), "s").alias("statuses"), F.concat("predicates", F.array("predicate"), "p").alias("predicates"))
         w = W.partitionBy(*key).orderBy("statuses", "predicates", "nodes")
         found.append(scratch.table(met.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= paths), f"found{length}"))
     out = found[0]

@@ -213,3 +213,20 @@ def test_run_chain(spark):
     assert got == {(3, 0, 3), (3, 1, 2), (3, 2, 1)}
     with pytest.raises(RuntimeError):
         graph.chain(runs_, runs_.where("id = 4"), 5)
+
+
+def test_hubs_of_many_pairs_are_not_walked_to_all_their_neighbours(spark, monkeypatch):
+    # two hubs with 400 leaves each, joined by a way of two steps; leaves of a directed chain go on with one neighbour
+    rows = [(f"{h}{k}", "in", h) for h in ("x", "y") for k in range(400)] + [("x", "up", "m"), ("y", "up", "m")]
+    e = spark.createDataFrame([(*r, True, "supported") for r in rows], "src string, predicate string, dst string, directed boolean, evidence_status string")
+    pairs = spark.createDataFrame([(f"x{k}", f"y{k}") for k in range(300)] + [(f"x{k}", f"x{k + 1}") for k in range(50)], "source string, target string")
+    written, table = {}, graph.Scratch.table
+    monkeypatch.setattr(graph.Scratch, "table", lambda self, frame, name, *by: written.setdefault(name, table(self, frame, name, *by)))
+    got = {(r["source"], r["target"]): r["nodes"] for r in graph.shortest_paths(e, pairs, 4).collect()}
+    assert got == {(f"x{k}", f"y{k}"): [f"x{k}", "x", "m", "y", f"y{k}"] for k in range(300)} | {(f"x{k}", f"x{k + 1}"): [f"x{k}", "x", f"x{k + 1}"] for k in range(50)}
+    assert max(f.count() for f in written.values()) < 5_000
+    monkeypatch.undo()
+    chain = [("s", "to", "h")] + [("h", "to", f"l{k}") for k in range(30)] + [("l7", "to", "n"), ("n", "to", "t")]
+    e = spark.createDataFrame([(*r, True, "supported") for r in chain], "src string, predicate string, dst string, directed boolean, evidence_status string")
+    pairs = spark.createDataFrame([("s", "t")], "source string, target string")
+    assert [r["nodes"] for r in graph.shortest_paths(e, pairs, 4, direction="respect").collect()] == [["s", "h", "l7", "n", "t"]]
