@@ -88,6 +88,16 @@ def resolve_entities(mentions: DataFrame, channels: list[DataFrame], margin: flo
     return mentions.select("mention_id").join(decided, "mention_id", "left").select("mention_id", F.coalesce("decision", F.lit("new")).alias("decision"), "target")
 
 
+def equal(mentions: DataFrame, nodes: DataFrame, score: float) -> DataFrame:
+    """(mention_id, node_id, score): candidates of mentions (mention_id, wanted) by an equal key (nodes: node_id, key).
+
+    All have one score, so the first two nodes of a key tell all that ``settle`` asks: which is first, and whether there is another.
+    """
+    w = W.partitionBy("key").orderBy("node_id")
+    first = nodes.select("node_id", "key").distinct().withColumn("i", F.row_number().over(w)).where(F.col("i") <= 2)
+    return mentions.join(first, F.col("wanted") == F.col("key")).select("mention_id", "node_id", F.lit(score).alias("score"))
+
+
 def settle(candidates: DataFrame, margin: float = RESOLUTION_MARGIN) -> DataFrame:
     """(mention_id, decision, target) of candidates (mention_id, node_id, score): the best one, unless the next is within the margin."""
     best = candidates.groupBy("mention_id", "node_id").agg(F.max("score").alias("score"))

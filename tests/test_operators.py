@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph.functions import text as T
 from evigraph.functions import vector as V
-from evigraph.operators import checks, curate, evals, evidence, graph, lineage, runs, search
+from evigraph.operators import checks, curate, evals, evidence, graph, lineage, records, runs, search
 
 
 def one(spark, column, **values):
@@ -230,3 +230,23 @@ def test_hubs_of_many_pairs_are_not_walked_to_all_their_neighbours(spark, monkey
     e = spark.createDataFrame([(*r, True, "supported") for r in chain], "src string, predicate string, dst string, directed boolean, evidence_status string")
     pairs = spark.createDataFrame([("s", "t")], "source string, target string")
     assert [r["nodes"] for r in graph.shortest_paths(e, pairs, 4, direction="respect").collect()] == [["s", "h", "l7", "n", "t"]]
+
+
+def test_equal_keys_give_two_nodes_of_many(spark):
+    nodes = spark.createDataFrame([(f"n{k:03d}", "many") for k in range(500)] + [("one", "single")], "node_id string, key string")
+    mentions = spark.createDataFrame([(k, "many") for k in range(40)] + [(99, "single"), (100, "none")], "mention_id long, wanted string")
+    found = curate.equal(mentions, nodes, 0.9)
+    assert found.count() == 81 and {r["node_id"] for r in found.where("mention_id = 7").collect()} == {"n000", "n001"}
+    got = {r["mention_id"]: (r["decision"], r["target"]) for r in curate.resolve_entities(mentions, [found]).collect()}
+    assert got == {k: ("ambiguous", None) for k in range(40)} | {99: ("existing", "one"), 100: ("new", None)}
+
+
+def test_nodes_of_questions_with_one_key_are_not_grouped(spark):
+    nodes = spark.createDataFrame([("a b", "x"), ("n1", "A  b"), ("n2", "other"), ("A b", "y")], "node_id string, name string")
+    aliases = spark.createDataFrame([(f"m{k}", "shared") for k in range(30)] + [("n1", "a b"), ("A b", "a b")], "node_id string, alias string")
+    asked = spark.createDataFrame([(1, "A b"), (2, "shared"), (3, " Shared "), (4, None), (5, "nothing"), (6, "a b")], "qid long, given string")
+    found = records.find_nodes(asked, nodes, aliases)
+    assert "Union" in found._jdf.queryExecution().toString()
+    rows = found.collect()
+    got = {(r["qid"], r["node_id"]): r["by"] for r in rows}
+    assert len(rows) == len(got) and got == {(2, f"m{k}"): "alias" for k in range(30)} | {(3, f"m{k}"): "alias" for k in range(30)} | {(q, n): by for q in (1, 6) for n, by in (("a b", "id"), ("n1", "name"), ("A b", "id" if q == 1 else "alias"))}
