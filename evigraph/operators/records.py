@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from evigraph.constants import MAX_PAGE, PAGE, RECORD_TYPES
 from evigraph.functions import text as T
+from evigraph.functions.scratch import Scratch
 
 UNIT = ("unit_id", "record_type", "record_id", "title", "aliases", "body", "tags", "language", "lifecycle_status", "content_sha256")
 HIDDEN = ("rowid", "embedding")
+FEW = 500_000  # keys that may be broadcast
 
 
 def get(asked: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
@@ -22,8 +25,15 @@ def find_nodes(asked: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFr
     """(qid, node_id, by): nodes (node_id, name) that are asked for (qid, given) by id, name or alias (node_id, alias); of several ways the first counts."""
     norm = lambda c: T.normalize_name(F.col(c))
     keys = nodes.select(F.col("node_id").alias("k"), "node_id", F.lit(0).alias("way")).unionByName(nodes.select(norm("name").alias("k"), "node_id", F.lit(1).alias("way"))).unionByName(aliases.select(norm("alias").alias("k"), "node_id", F.lit(2).alias("way")))
-    asks = asked.select("qid", F.explode(F.array_distinct(F.array(F.col("given"), norm("given")))).alias("k"))
-    best = asks.join(keys, "k").groupBy("qid", "node_id").agg(F.min("way").alias("way"))
+    scratch = Scratch(asked.sparkSession, "find")
+    asks = scratch.table(asked.select("qid", F.explode(F.array_distinct(F.array(F.col("given"), norm("given")))).alias("k")).distinct(), "asks")
+    wanted = asks.select("k").distinct()
+    known = keys.join(F.broadcast(wanted) if asks.count() <= FEW else wanted, "k", "left_semi").groupBy("k", "node_id").agg(F.min("way").alias("way"))
+    known = scratch.table(known, "known")
+    # a node can only come twice for a question that finds nodes by two keys; the others' nodes, which may be many, are told as they are met
+    held = asks.join(known.select("k").distinct(), "k", "left_semi").withColumn("n", F.count("*").over(W.partitionBy("qid")))
+    held = scratch.table(held, "held")
+    best = held.where("n = 1").join(known, "k").select("qid", "node_id", "way").unionByName(held.where("n > 1").join(known, "k").groupBy("qid", "node_id").agg(F.min("way").alias("way")))
     return best.select("qid", "node_id", F.element_at(F.array(F.lit("id"), F.lit("name"), F.lit("alias")), F.col("way") + 1).alias("by"))
 
 
